@@ -21,10 +21,22 @@ from .common import worker_cache
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
-#: Words whose ids a worker keeps; the store is emptied beyond it.
+#: Words and ids that a worker keeps; its store is emptied beyond either.
 KEPT_WORDS = 400_000
-#: Words of more symbols than this are encoded but not kept.
-KEPT_LENGTH = 64
+KEPT_IDS = 4_000_000
+
+
+class Words(dict):
+    """Numbers words as they are first looked up; ``new`` holds those that have no ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -124,16 +136,14 @@ class Model:
         self.surface = surface
         self.surface_flat, self.surface_at = _ragged(surface)
         self.digits_flat, self.digits_at = _ragged([b"%d," % i for i in range(len(pieces))])
-        self.words: dict[str, int] = {}
         self._reset()
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _reset(self) -> None:
-        self.words.clear()
-        self.store = [np.zeros(0, np.int64)]
-        self.store_at = [np.zeros(1, np.int64)]
+        self.words = Words()
+        self.flat, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of symbols makes; -1 for none."""
@@ -258,45 +268,23 @@ class Model:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of texts and where each text's ids begin (one more at the end)."""
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > KEPT_WORDS or len(self.flat) > KEPT_IDS:
             self._reset()
-        known, odd, number_of = self.words, {}, []
-        counts = np.zeros(len(texts), np.int64)
+        number, counts = [], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            if not text:
-                continue
-            words = WORD.findall(SPACE + text.replace(" ", SPACE))
-            counts[i] = len(words)
-            for x in words:
-                k = known.get(x)
-                if k is None:
-                    k = odd.get(x)
-                    if k is None:
-                        k = odd[x] = -1 - len(odd)
-                number_of.append(k)
-        ids = np.array(number_of, np.int64)
-        flat, at = np.concatenate(self.store), np.concatenate([x[:-1] for x in self.store_at] + [self.store_at[-1][-1:]])
-        new_flat, new_at = self.encode_words(list(odd)) if odd else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-        table, starts = np.concatenate([flat, new_flat]), np.concatenate([at[:-1], new_at + len(flat)])
-        base = len(at) - 1
-        ids = np.where(ids < 0, base - 1 - ids, ids)
-        short = [x for x in odd if len(x) <= KEPT_LENGTH]
-        if len(short) == len(odd):
-            for x in odd:
-                known[x] = base - 1 - odd[x]
-            self.store, self.store_at = [table], [starts]
-        else:
-            chosen = np.array([-1 - odd[x] for x in short], np.int64)
-            index, begin = _spans(new_at[chosen], new_at[chosen + 1] - new_at[chosen]) if len(chosen) else (np.zeros(0, np.int64), np.zeros(1, np.int64))
-            for j, x in enumerate(short):
-                known[x] = base + j
-            self.store, self.store_at = [np.concatenate([flat, new_flat[index]])], [np.concatenate([at[:-1], begin + len(flat)])]
-        lengths = starts[ids + 1] - starts[ids]
-        index, _ = _spans(starts[ids], lengths)
-        per_text = np.zeros(len(texts) + 1, np.int64)
-        ends = np.r_[0, np.cumsum(lengths)]
-        per_text[1:] = ends[np.cumsum(counts)]
-        return table[index], per_text
+            if text:
+                words = WORD.findall(SPACE + text.replace(" ", SPACE))
+                counts[i] = len(words)
+                number.extend(map(self.words.__getitem__, words))
+        if new := self.words.new:
+            flat, at = self.encode_words(new)
+            self.at = np.concatenate([self.at[:-1], at + len(self.flat)])
+            self.flat = np.concatenate([self.flat, flat])
+            self.words.new = []
+        numbers = np.array(number, np.int64)
+        lengths = self.at[numbers + 1] - self.at[numbers]
+        index, begin = _spans(self.at[numbers], lengths)
+        return self.flat[index], begin[np.r_[0, np.cumsum(counts)]]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters, one for each byte."""
@@ -338,7 +326,7 @@ def model(path: str) -> Model:
 
 
 #: Characters of text encoded in one go.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 def _chunks(texts: list[str]) -> Iterator[list[str]]:
