@@ -83,6 +83,19 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return joined.select(*rows.columns, *[got[c].alias(c) for c in others])
 
 
+class Words(dict):
+    """Numbers words as they are first looked up; ``new`` holds those that its owner has yet to work out."""
+
+    def __init__(self):
+        super().__init__()
+        self.new = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 def crc_mod(column: Column, n: int) -> Column:
     """crc32 of a number's decimal text, modulo n."""
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))

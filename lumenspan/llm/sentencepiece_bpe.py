@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import Words, worker_cache
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
@@ -26,19 +26,6 @@ KEPT_WORDS = 400_000
 KEPT_IDS = 4_000_000
 
 
-class Words(dict):
-    """Numbers words as they are first looked up; ``new`` holds those that have no ids yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new = []
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        n = self[word] = len(self)
-        return n
-
-
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
     """(number, value) of a protobuf message's fields."""
     at = 0
