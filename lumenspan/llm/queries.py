@@ -59,6 +59,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import near_groups
 
