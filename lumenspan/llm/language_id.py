@@ -281,29 +281,58 @@ def predict(docs: DataFrame, trained: dict, model_path: str, id_col: str = "doc_
     bound, token = docs.sparkSession.sparkContext.broadcast(trained), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = worker_cache("language_id")
-        if kept.get("of") != token:
-            pieces, longest = vocabulary(model_path)
-            kept["of"], kept["scorer"] = token, Scorer(pieces, longest, bound.value["log_p"])
-        scorer, names = kept["scorer"], bound.value["languages"]
+        scorer = _scorer(token, bound.value, model_path)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            labels, scores = [], []
-            for s in range(0, len(texts), 256):
-                if not names:
-                    labels += [UNKNOWN] * len(texts[s : s + 256])
-                    scores += [0.0] * len(texts[s : s + 256])
-                    continue
-                total, words = scorer.texts(texts[s : s + 256])
-                best = total.argmax(1)
-                p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-                labels += [names[b] if w else UNKNOWN for b, w in zip(best, words, strict=True)]
-                scores += np.where(words > 0, p, 0.0).tolist()
+            labels, scores = _judged(scorer, bound.value["languages"], [x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, trained: dict, model_path: str, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose language is told with a score of at least ``least``; all columns stay.
+
+    The text is scored beside the whole row in one pass, so nothing is joined
+    or shuffled; rows that repeat an id are judged each on its own.
+    """
+    names = docs.columns
+    bound, token = docs.sparkSession.sparkContext.broadcast(trained), uuid.uuid4().hex
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(token, bound.value, model_path)
+        for batch in batches:
+            _, scores = _judged(scorer, bound.value["languages"], [x or "" for x in batch.column(at).to_pylist()])
+            yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _scorer(token: str, trained: dict, model_path: str) -> Scorer:
+    kept = worker_cache("language_id")
+    if kept.get("of") != token:
+        pieces, longest = vocabulary(model_path)
+        kept["of"], kept["scorer"] = token, Scorer(pieces, longest, trained["log_p"])
+    return kept["scorer"]
+
+
+def _judged(scorer: Scorer, names: list[str], texts: list[str]) -> tuple[list[str], list[float]]:
+    """The language and the score of each text."""
+    labels, scores = [], []
+    for s in range(0, len(texts), 256):
+        part = texts[s : s + 256]
+        if not names:
+            labels += [UNKNOWN] * len(part)
+            scores += [0.0] * len(part)
+            continue
+        total, words = scorer.texts(part)
+        best = total.argmax(1)
+        p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        labels += [names[b] if w else UNKNOWN for b, w in zip(best, words, strict=True)]
+        scores += np.where(words > 0, p, 0.0).tolist()
+    return labels, scores
+
+
 def is_held_out(id_col: str = "doc_id"):
     return F.coalesce(crc_mod(F.col(id_col), 4) == 2, F.lit(False))
 

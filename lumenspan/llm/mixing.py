@@ -54,7 +54,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = 7,
+    weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = 7, extra: list[str] | None = None,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of docs.
 
@@ -71,17 +71,18 @@ def mix(
     is a source; repeated rows and ties of the hash are ordered by id, equal
     ids taking places in either order.  Two runs give the same rows.
     """
+    extra = extra or []
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *extra)
     sized = written(
-        sized.select("*", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("h")), "sizes"
+        sized.select("*", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("__o")), "sizes"
     )
     rows = sized.count()
     buckets = 1
     while buckets * BUCKET_ROWS < rows and buckets < MOST_BUCKETS:
         buckets *= 2
     shift = 63 - (buckets.bit_length() - 1)
-    sized = sized.withColumn("b", F.shiftright("h", shift) if shift < 63 else F.lit(0).cast("long"))
+    sized = sized.withColumn("b", F.shiftright("__o", shift) if shift < 63 else F.lit(0).cast("long"))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = written(sources, "sources")
     goal = targets(sources.select("source", "source_size"), weights, share, most)
@@ -92,10 +93,10 @@ def mix(
         _place(offsets["source"]).alias("k"),
         "offset", "source_size", "target",
     )
-    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "b").orderBy("__o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     summed = sized.withColumn("run", F.sum("size").over(inside)).withColumn("k", _place(F.col("source")))
     placed = summed.join(meta, "k", "left").withColumn("cum", F.col("offset") + F.col("run"))
-    placed = written(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "h"), "queue")
+    placed = written(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "__o", *extra), "queue")
     epochs = [
         F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("cum") + F.lit(e) * F.col("source_size")) / F.col("target"))
         for e in range(max(1, -int(-most // 1)))
@@ -105,7 +106,7 @@ def mix(
     budget = goal.agg(F.sum("target")).first()[0] or 0.0
     limit = 2.0
     in_bin = lambda v: F.least(F.floor(v / F.lit(limit) * bins), F.lit(bins)).cast("long")
-    finish = placed.select("source", "h", "doc_id", "size", F.explode(F.array(*epochs)).alias("v")).where("v is not null")
+    finish = placed.select("source", "__o", "doc_id", "size", F.explode(F.array(*epochs)).alias("v")).where("v is not null")
     counted = finish.groupBy(in_bin(F.col("v")).alias("bin")).agg(F.sum("size").alias("s"))
     total = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     cut = (
@@ -114,7 +115,7 @@ def mix(
     )
     if cut:
         edge, done = cut[0]["bin"], cut[0]["through"] - cut[0]["s"]
-        last = Window.orderBy("v", F.col("source").isNull(), "source", "h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+        last = Window.orderBy("v", F.col("source").isNull(), "source", "__o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
         inner = finish.where(in_bin(F.col("v")) == edge).withColumn("through", F.sum("size").over(last) + F.lit(done))
         top = inner.where(F.col("through") <= F.lit(budget)).agg(F.max("v")).first()[0]
         stop = top if top is not None else edge * limit / bins
@@ -122,5 +123,32 @@ def mix(
     else:
         passes = [F.when(v.isNotNull(), 1).otherwise(0) for v in epochs]
     times = sum(passes[1:], passes[0])
-    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * times).cast("long").alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * times).cast("long").alias("taken"), *extra)
 
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it; columns as they were.
+
+    A row's number of passes is joined back by id and a hash of source and
+    text, so rows that repeat an id with other texts keep their own; of fully
+    equal rows each gets the passes of all on average, the extra ones going
+    to either.  Rows of size 0 take nothing and go.
+    """
+    names = docs.columns
+    same = F.xxhash64(F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), same.alias("__h"))
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"), same.alias("h"))
+    taken = mix(own, extra=["h"], **options).where("taken > 0").select("doc_id", "h", (F.col("taken") / F.col("size")).cast("int").alias("n"))
+    taken = written(taken.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "passes")
+    joined = marked.join(taken, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h")))
+    # equal rows stand side by side, so that the first of them give what all take together
+    repeated = not taken.where("rows > 1").isEmpty()
+    if repeated:
+        place = F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))
+        twice = joined.where("rows > 1").withColumn("__p", place).withColumn(
+            "n", F.floor(F.col("n") / F.col("rows")).cast("int") + F.when(F.col("__p") <= F.col("n") % F.col("rows"), 1).otherwise(0)
+        )
+        joined = joined.where("rows = 1").select("__row", "n").unionByName(twice.select("__row", "n"))
+    again = joined.where("n > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("__e"))
+    return again.select(*[F.col("__row").getField(c).alias(c) for c in names])

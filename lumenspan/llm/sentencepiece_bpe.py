@@ -328,8 +328,8 @@ def _chunks(texts: list[str]) -> Iterator[list[str]]:
         yield part
 
 
-def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded) of each row.
+def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids, decoded, and the columns named in keep) of each row.
 
     Whole texts are encoded; null counts as empty, which has no ids.  Rows are
     independent: repeated rows give repeated results, and columns other than
@@ -337,6 +337,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     every executor.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
+    keep = keep or []
+    schema += "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(model_path)
@@ -359,6 +361,8 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             if with_ids:
                 columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(all_texts, pa.string())]
                 names += ["ids", "decoded"]
+            columns += [batch.column(2 + i) for i in range(len(keep))]
+            names += keep
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
