@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import aggregate_plans, evaluation_plans, join_plans, retrieval_plans, state_plans, text_plans  # noqa: F401
+    from . import aggregate_plans, evaluation_plans, join_plans, more_plans, retrieval_plans, state_plans, text_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
