@@ -55,9 +55,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, for models that tasks need again."""
     home = sys.modules.setdefault("_lumenspan_worker_cache", types.ModuleType("_lumenspan_worker_cache"))
+    for other in [k for k in home.__dict__ if not k.startswith("__") and k != name]:
+        del home.__dict__[other]  # a worker serves one operator at a time and keeps one's models
     return home.__dict__.setdefault(name, {})
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, its session sending Python at most 1000 rows or 8 MB at once: texts may be long, and two workers share a core's memory."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, spread: Column) -> DataFrame:
     """rows left-joined to their group's row without ever gathering a group.
 

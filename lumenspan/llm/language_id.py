@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, crc_mod, worker_cache, written
+from .common import Words, crc_mod, small_batches, worker_cache, written
 
 UNKNOWN = "und"
 SPACE = "▁"
@@ -28,7 +28,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 TRAIN_DOCUMENTS = 4_000
 ROUNDS = 2
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 120_000
 #: Longer runs of letters are scored in parts of this length.
 LONGEST = 64
 #: Added to every piece's expected count, as a share of the language's total count spread over the vocabulary.
@@ -224,7 +224,7 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     maximisation returns a row for each language and piece, at most
     languages x vocabulary, whatever the sample's size.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
+    rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "lang is not null and text is not null"
     )
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -305,7 +305,7 @@ def keep_identified(docs: DataFrame, trained: dict, model_path: str, least: floa
             _, scores = _judged(scorer, bound.value["languages"], [x or "" for x in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([s >= least for s in scores], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def _scorer(token: str, trained: dict, model_path: str) -> Scorer:

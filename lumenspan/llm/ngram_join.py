@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, attach, components, discard, worker_cache, written
+from .common import Words, attach, components, discard, small_batches, worker_cache, written
 
 WORDS = 5
 #: The similarity, in hundredths.
@@ -26,12 +26,14 @@ PERCENT = 75
 PER_SEGMENT = 2.4
 LEAST_SEGMENTS = 16
 #: Indexed segments beyond the H + 1 that are needed, as a share: each raises by one what a linked pair must share.
-SLACK = 0.1
-#: Entries of up to this many sets give all their pairs at once; larger ones are solved by stars and components.
+SLACK = 0.4
+#: Entries of up to this many sets give all their pairs at once; larger ones are solved by families.
 SMALL_GROUP = 4
+#: Sets that a task holds while the members of their family stream past.
+FAMILY_PART = 2048
 #: Entries that one task of the index holds on average.
-TASK_ENTRIES = 1_500_000
-KEPT_WORDS = 400_000
+TASK_ENTRIES = 500_000
+KEPT_WORDS = 100_000
 #: Sets that are verified reach the documents as a broadcast up to this many ids, and by a join beyond.
 BROADCAST_IDS = 1_000_000
 TEXTS = 256
@@ -238,7 +240,7 @@ def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
                 members["doc"] = [low[k] for k in key[of].tolist()]
                 held.append((members, signatures, member))
                 n += len(signatures)
-                if n >= 1_000_000:
+                if n >= 400_000:
                     yield from out()
         if held:
             yield from out()
@@ -254,21 +256,22 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
     """What the entries of equal signature say.
 
     kind 0: sets a < b share c entries of small groups in a band, t being
-    required.  kind 1: set b is in the large group of signature a.  kind 2:
-    set b shares c large groups with their smallest member a.
+    required.  kind 1: set b is in c large groups of a band, t being required.
+    kind 2: set b shares c large groups with their smallest member a.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub: dict[int, np.void] = {}
-        held, n = [], 0
+        held, n, limit = [], 0, 8 * TASK_ENTRIES
 
         def table(kind: int, a, b, band, c, t) -> pa.RecordBatch:
             cols = [np.full(len(a), kind, np.int32), a.astype(np.int64), b.astype(np.int64), band.astype(np.int32), c.astype(np.int64), t.astype(np.int64)]
             return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["kind", "a", "b", "band", "c", "t"])
 
         def counted(kind: int, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
-            ok = np.minimum(x["n"], y["n"]) * 100 >= percent * np.maximum(x["n"], y["n"])
-            x, y = x[ok], y[ok]
+            if kind == 0:
+                ok = np.minimum(x["n"], y["n"]).astype(np.int64) * 100 >= percent * np.maximum(x["n"], y["n"]).astype(np.int64)
+                x, y = x[ok], y[ok]
             if not len(x):
                 return
             a, b = (np.minimum(x["doc"], y["doc"]), np.maximum(x["doc"], y["doc"])) if kind == 0 else (x["doc"], y["doc"])
@@ -326,7 +329,7 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
                         hub[g] = heads[j]
                 leader = np.repeat(heads, size[large])
                 y = x[big]
-                yield table(1, s[big].view(np.int64), y["doc"], y["band"], y["n"], y["required"])
+                yield from counted(1, y, y)
                 other = leader["doc"] != y["doc"]
                 yield from counted(2, leader[other], y[other])
 
@@ -339,15 +342,13 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
                     np.frombuffer(block, "<u4", e, at + 8 * e).astype(np.int64),
                 ))
                 n += e
-                if n >= 8 * TASK_ENTRIES:
-                    before = n
+                if n >= limit:
                     yield from solve(False)
-                    if n > before // 2:  # no hot groups here: the partition is just large
-                        continue
+                    limit = max(limit, 2 * n)  # what is left is no hot group; look again when it has doubled
         if held:
             yield from solve(True)
 
-    return index.repartition(parts, "part").mapInArrow(run, FOUND)
+    return index.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -382,54 +383,127 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return out
 
 
+def _families(stars: DataFrame, uncovered: DataFrame) -> DataFrame:
+    """(node, family) of the uncovered sets; any two that share an entry of a large group are in one family."""
+    edges = stars.join(uncovered.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
+    place = components(edges).withColumnRenamed("component", "family")
+    return uncovered.join(place, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
+
+
+def _family_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span the links of each family; sets has node, family, set.
+
+    A family is cut into parts of FAMILY_PART sets.  A part's task holds an
+    inverted index of its own sets; all members of the family stream past and
+    count what they share.  Of a member's links one edge leaves, and what it
+    joins is united in the task, so pairs are never given out.
+    """
+    sizes = sets.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_PART).cast("int").alias("subs"))
+    sets = sets.join(sizes, "family")
+    own = sets.select("family", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), F.lit(1).alias("core"), "node", "set")
+    every = sets.select("family", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(0).alias("core"), "node", "set")
+    rows = own.unionByName(every).repartition("family", "sub").sortWithinPartitions("family", "sub", F.desc("core"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets_, index, root = None, [], [], None, []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        def out(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*edges, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        def close() -> list[tuple[int, int]]:
+            return [(ids[i], ids[find(i)]) for i in range(len(root)) if find(i) != i]
+
+        for batch in batches:
+            edges = []
+            parts = zip(*[batch.column(c).to_pylist() for c in ("family", "sub", "core", "node")], strict=True)
+            column = batch.column(batch.schema.get_field_index("set"))
+            flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            for i, (family, sub, core, node) in enumerate(parts):
+                if (family, sub) != key:
+                    edges += close()
+                    key, ids, sets_, index, root = (family, sub), [], [], None, []
+                own = flat[at[i] : at[i + 1]]
+                if core:
+                    ids.append(node)
+                    sets_.append(own)
+                    continue
+                if not ids:
+                    continue
+                if index is None:
+                    lengths = np.array([len(x) for x in sets_], np.int64)
+                    values, place = np.unique(np.concatenate(sets_), return_inverse=True)
+                    order = np.argsort(place, kind="stable")
+                    index = values, np.r_[0, np.cumsum(np.bincount(place))], np.repeat(np.arange(len(ids)), lengths)[order], lengths
+                    root = list(range(len(ids)))
+                values, cut, owner, lengths = index
+                slot = np.searchsorted(values, own)
+                slot = slot[values[np.minimum(slot, len(values) - 1)] == own]
+                reps = cut[slot + 1] - cut[slot]
+                begin = np.cumsum(reps) - reps
+                shared = np.bincount(owner[np.arange(reps.sum()) + np.repeat(cut[slot] - begin, reps)], minlength=len(ids))
+                linked = np.flatnonzero((shared > 0) & (shared * 100 >= percent * (lengths + len(own) - shared))).tolist()
+                if linked:
+                    first = find(linked[0])
+                    if ids[linked[0]] != node:
+                        edges.append((node, ids[linked[0]]))
+                    elif len(linked) > 1:
+                        edges.append((node, ids[linked[1]]))
+                    for x in linked[1:]:
+                        x = find(x)
+                        if x != first:
+                            root[max(x, first)] = min(x, first)
+                            first = min(x, first)
+            if edges:
+                yield out(edges)
+        if edges := close():
+            yield out(edges)
+
+    return written(rows.mapInArrow(run, "a long, b long"), "family-links")
+
+
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: int | None = None) -> DataFrame:
-    """Pairs (a, b) of documents whose classes make up all linked documents.
+    """Edges (a, b) whose connected components are those of all links.
 
-    docs has doc_id and text.  The pairs join what is linked, though not each
-    linked pair is among them: of equal sets only the smallest id takes part,
-    and inside a large group components stand for pairs.
+    docs has doc_id and text.  Every edge joins linked documents or ones that
+    links join; not each linked pair is among them: of equal sets only the
+    smallest id takes part, and a family's links are spanned, not listed.
 
     1. Index all sets; collect equal entries.  Pairs of small groups are
        verified if they share what a linked pair must share, less the large
-       groups both are in.  Members of large groups are verified against the
-       group's smallest.
-    2. A pair that is linked and not seen in 1 has at least ``required``
-       entries in large groups.  Such members of a large group that lie in
-       different components are paired and verified.
+       groups that both may be in.
+    2. A linked pair not seen in 1 shares ``required`` entries of large groups
+       at least.  Sets in so many large groups are uncovered; those that share
+       any of these form families, and each family is compared within itself.
     """
     spark = docs.sparkSession
     total = docs.count() if total is None else total
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
-    index = _index(docs, parts, words, percent)
-    found = written(_groups(index, parts, percent), "groups")
-    large = found.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "band", F.col("c").alias("n"), F.col("t"))
-    many = written(large.groupBy("node", "band").agg(F.count("*").alias("l"), F.min("t").alias("t")), "large")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2500)
+    found = written(_groups(_index(docs, parts, words, percent), parts, percent), "groups")
+    many = found.where("kind = 1").groupBy(F.col("b").alias("node"), "band").agg(F.sum("c").alias("l"), F.min("t").alias("t"))
+    many = written(many, "large")
     small = found.where("kind = 0").groupBy("a", "b", "band").agg(F.sum("c").alias("c"), F.min("t").alias("t"))
-    la, lb = many.select(F.col("node").alias("a"), "band", F.col("l").alias("la")), many.select(F.col("node").alias("b"), "band", F.col("l").alias("lb"))
+    la, lb = (many.select(F.col("node").alias(x), "band", F.col("l").alias(f"l{x}")) for x in "ab")
     small = small.join(la, ["a", "band"], "left").join(lb, ["b", "band"], "left")
     enough = F.col("c") >= F.col("t") - F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    stars = found.where("kind = 2").groupBy("a", "b", "band").agg(F.sum("c").alias("c"), F.min("t").alias("t")).where("2 * c >= t")
-    first = small.where(enough).select("a", "b").unionByName(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    first = written(first.where("a <> b").distinct(), "pairs")
-    good = _verified(docs, first, words, percent)
-    left = many.where("l >= t").select("node", "band")
-    rest = written(large.join(left, ["node", "band"], "left_semi"), "uncovered")
-    if rest.isEmpty():
-        return good
-    place = components(good)
-    rest = rest.join(place, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rest.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    rest = written(rest.join(mixed, "sig", "left_semi").select("sig", "node", "n", "component"), "mixed")
-    x, y = (rest.select("sig", *[F.col(c).alias(f"{c}{i}") for c in ("node", "n", "component")]) for i in (1, 2))
-    across = x.join(y, "sig").where(
-        (F.col("component1") < F.col("component2"))
-        & (F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent)
-    )
-    second = across.select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    second = written(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    if second.isEmpty():
-        return good
-    return good.unionByName(_verified(docs, second, words, percent))
+    uncovered = written(many.where("l >= t").select("node").distinct(), "uncovered")
+    pairs = small.where(enough).select("a", "b").distinct()
+    # pairs inside a family are left to it
+    if not uncovered.isEmpty():
+        families = written(_families(found.where("kind = 2").select("a", "b").distinct(), uncovered), "families")
+        fa, fb = (families.select(F.col("node").alias(x), F.col("family").alias(f"f{x}")) for x in "ab")
+        pairs = pairs.join(fa, "a", "left").join(fb, "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
+        sets = _sets_of(docs, families.select(F.col("node").alias("doc_id")), words).join(families, F.col("doc_id") == F.col("node"))
+        inside = _family_links(written(sets.select("node", "family", "set"), "sets"), percent)
+    pairs = written(pairs, "pairs")
+    out = _verified(docs, pairs, words, percent)
+    return out if uncovered.isEmpty() else out.unionByName(inside)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -442,7 +516,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with other texts count as one document in the links.  Other columns are
     not read; an empty table gives an empty result.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shingler(words)
@@ -476,7 +550,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one document of each group of linked documents, columns as they were.
 
     The document whose id is the component's stays; so do documents without
-    words.  Rows that repeat the kept id stay.
+    words, rows that repeat the kept id, and rows with a null id.
     """
     groups = near_groups(docs, id_col, text_col, words, percent)
     gone = written(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")

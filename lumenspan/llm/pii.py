@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Words on either side of an entity that count as its context.
@@ -128,7 +128,7 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 [x.split()[0] for x in FOUND.split(", base array")[0].split(", ")] + ["base", "terms"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
 
 
 def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, written
+from .common import crc_mod, small_batches, written
 
 FEATURES = 256
 RIDGE = 1e-3
@@ -88,7 +88,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             values = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(values.astype(np.float32)), pa.list_(pa.float32()))], ["doc_id", "x"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, x array<float>")
 
 
 def _projection(dim: int, features: int, seed: int, gamma: float) -> tuple[np.ndarray, np.ndarray]:

@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, worker_cache
+from .common import Words, small_batches, worker_cache
 
 SPACE = "▁"
 NO_RANK = np.iinfo(np.int64).max
 #: Words and ids that a worker keeps; its store is emptied beyond either.
-KEPT_WORDS = 400_000
-KEPT_IDS = 4_000_000
+KEPT_WORDS = 150_000
+KEPT_IDS = 2_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -365,4 +365,4 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             names += keep
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)

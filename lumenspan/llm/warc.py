@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, new_path, written
+from .common import attach, new_path, small_batches, written
 
 REVISIT_BYTES = 1000
 SPLIT_BYTES = 16 << 20
@@ -239,7 +239,7 @@ def round_trip(pages: DataFrame, path: str | None = None, split_bytes: int = SPL
     An empty table writes no file and reads no record.  Extra columns are
     not written.
     """
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     path = path or new_path(spark, "warc")
     files = write_archives(planned(pages), path)
     back = read_archives(spark, files, path, split_bytes, with_payload=False)
