@@ -188,7 +188,18 @@ def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[n
     return np.concatenate(signatures), np.concatenate(members), member_set, member_band, required
 
 
-MEMBER = np.dtype([("doc", "<i8"), ("key", "<u8"), ("n", "<i4"), ("band", "<i2"), ("required", "<i4")])
+#: A set in a band, 16 bytes: each task that has entries of it gets these.  ``required`` holds twice the number, and 1 for the upper band.
+MEMBER = np.dtype([("doc", "<i8"), ("n", "<u4"), ("required", "<u4")])
+
+
+def _bands(x: np.ndarray) -> np.ndarray:
+    n = x["n"].astype(np.int64)
+    band = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+    return band - ((1 << band) > n) + (x["required"] & 1)
+
+
+def _required(x: np.ndarray) -> np.ndarray:
+    return (x["required"] >> 1).astype(np.int64)
 
 
 def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
@@ -222,22 +233,13 @@ def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i in range(0, len(texts), TEXTS):
                 flat, at = s.sets(texts[i : i + TEXTS])
-                key, _ = set_keys(flat, at)
-                _, first = np.unique(key, return_index=True)  # of equal sets side by side one is enough
-                low = {}
-                for j, k in enumerate(key.tolist()):
-                    low[k] = min(low.get(k, 1 << 62), int(ids[i + j]))
-                sizes = np.diff(at)
-                chosen = np.zeros(len(sizes), bool)
-                chosen[first] = True
-                lengths = np.where(chosen, sizes, 0)
-                flat = flat[np.repeat(chosen, sizes)]
-                signatures, member, of, band, required = entries(flat, np.r_[0, np.cumsum(lengths)], percent)
+                signatures, member, of, band, required = entries(flat, at, percent)
                 if not len(signatures):
                     continue
                 members = np.zeros(len(of), MEMBER)
-                members["key"], members["n"], members["band"], members["required"] = key[of], sizes[of], band, required
-                members["doc"] = [low[k] for k in key[of].tolist()]
+                members["doc"], members["n"] = ids[i : i + TEXTS].astype(np.int64)[of], np.diff(at)[of]
+                members["required"] = required * 2
+                members["required"] += (band - _bands(members)).astype(np.uint32)
                 held.append((members, signatures, member))
                 n += len(signatures)
                 if n >= 400_000:
@@ -275,7 +277,7 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
             if not len(x):
                 return
             a, b = (np.minimum(x["doc"], y["doc"]), np.maximum(x["doc"], y["doc"])) if kind == 0 else (x["doc"], y["doc"])
-            t, band = np.minimum(x["required"], y["required"]), x["band"].astype(np.int64)
+            t, band = np.minimum(_required(x), _required(y)), _bands(x)
             order = np.lexsort((band, b, a))
             a, b, band, t = a[order], b[order], band[order], t[order]
             new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (band[1:] != band[:-1])])
@@ -305,12 +307,10 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
             s, x = signatures[chosen], members[member[chosen]]
             if not len(s):
                 return
-            order = np.lexsort((x["doc"], x["key"], s))
-            s, x = s[order], x[order]
-            one = np.r_[True, (s[1:] != s[:-1]) | (x["key"][1:] != x["key"][:-1])]  # of equal sets the smallest id
-            s, x = s[one], x[one]
             order = np.lexsort((x["doc"], s))
             s, x = s[order], x[order]
+            one = np.r_[True, (s[1:] != s[:-1]) | (x["doc"][1:] != x["doc"][:-1])]
+            s, x = s[one], x[one]
             edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
             size = np.diff(np.r_[edge, len(s)])
             large = (size > SMALL_GROUP) | (np.isin(s[edge], np.array(list(hub), U)) if hub else False) | (not last)
@@ -471,9 +471,9 @@ def _family_links(sets: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: int | None = None) -> DataFrame:
     """Edges (a, b) whose connected components are those of all links.
 
-    docs has doc_id and text.  Every edge joins linked documents or ones that
-    links join; not each linked pair is among them: of equal sets only the
-    smallest id takes part, and a family's links are spanned, not listed.
+    docs has doc_id and text, a row for each different set.  Every edge joins
+    linked documents or ones that links join; not each linked pair is among
+    them: a family's links are spanned, not listed.
 
     1. Index all sets; collect equal entries.  Pairs of small groups are
        verified if they share what a linked pair must share, less the large
@@ -484,7 +484,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     """
     spark = docs.sparkSession
     total = docs.count() if total is None else total
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2500)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
     found = written(_groups(_index(docs, parts, words, percent), parts, percent), "groups")
     many = found.where("kind = 1").groupBy(F.col("b").alias("node"), "band").agg(F.sum("c").alias("l"), F.min("t").alias("t"))
     many = written(many, "large")
@@ -493,7 +493,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     small = small.join(la, ["a", "band"], "left").join(lb, ["b", "band"], "left")
     enough = F.col("c") >= F.col("t") - F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
     uncovered = written(many.where("l >= t").select("node").distinct(), "uncovered")
-    pairs = small.where(enough).select("a", "b").distinct()
+    pairs = small.where(enough).where("a < b").select("a", "b").distinct()
     # pairs inside a family are left to it
     if not uncovered.isEmpty():
         families = written(_families(found.where("kind = 2").select("a", "b").distinct(), uncovered), "families")
@@ -516,7 +516,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with other texts count as one document in the links.  Other columns are
     not read; an empty table gives an empty result.
     """
-    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shingler(words)
@@ -526,17 +526,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 flat, at = s.sets(texts[i : i + TEXTS])
                 a, b = set_keys(flat, at)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i : i + TEXTS], pa.array(np.diff(at)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "n", "ka", "kb"]
+                    [batch.column(0)[i : i + TEXTS], batch.column(2)[i : i + TEXTS], pa.array(np.diff(at)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["doc_id", "h", "n", "ka", "kb"]
                 )
 
-    sets = written(own.mapInArrow(keys, "doc_id long, n long, ka long, kb long"), "keys")
+    sets = written(own.mapInArrow(keys, "doc_id long, h long, n long, ka long, kb long"), "keys")
     total = sets.count()
     classes = sets.where("n > 0").groupBy("n", "ka", "kb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
     classes = written(classes.select(F.concat_ws(":", "n", "ka", "kb").alias("k"), "rep", "size"), "classes")
     keyed = sets.withColumn("k", F.when(F.col("n") > 0, F.concat_ws(":", "n", "ka", "kb")))
-    placed = attach(keyed.select("doc_id", "n", "k"), classes, "k", "size", total, F.col("doc_id"))
-    placed = written(placed.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    found = links(own, words, percent, total)
+    placed = attach(keyed.select("doc_id", "h", "n", "k"), classes, "k", "size", total, F.col("doc_id"))
+    placed = written(placed.select("doc_id", "h", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    # of equal sets the smallest id stands for all
+    gone = placed.where("rep <> doc_id").select(F.col("doc_id").alias("gd"), F.col("h").alias("gh")).distinct()
+    few = gone.count() <= BROADCAST_IDS
+    first = own.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("gd")) & (F.col("h") == F.col("gh")), "left_anti")
+    found = links(first.select("doc_id", "text"), words, percent, total)
     # a row hangs under its set's smallest id, and those under their component; ids repeated with other texts add links
     extra = placed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
     if not extra.isEmpty():
