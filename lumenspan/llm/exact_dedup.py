@@ -17,9 +17,11 @@ def _bucket(*columns):
     return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep=F.max) -> tuple[DataFrame, int]:
     """Groups of two or more equal texts: (text_sha256, group_size, keep_id), and the number of rows.
 
+    keep chooses the id that stays, the largest or the smallest.
+
     1. Rows are counted by length in bytes; lengths that occur once are done.
     2. Of rows with a surviving length, prefixes are hashed and counted.
     3. The whole text is hashed only for rows whose length and prefix survive.
@@ -39,7 +41,7 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.join(F.broadcast(prefixes), _bucket(prefix) == F.col("__b2"), "left_semi")
     groups = (
         rows.groupBy(F.sha2("__t", 256).alias("text_sha256"))
-        .agg(F.count("*").alias("group_size"), F.max("__id").alias("keep_id"))
+        .agg(F.count("*").alias("group_size"), keep("__id").alias("keep_id"))
         .where("group_size > 1")
     )
     return written(groups, "copies"), total

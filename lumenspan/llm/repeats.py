@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import attach, discard, small_batches, written
+from .exact_dedup import duplicate_groups
 
 WINDOW = 50
 GRAM = 20
@@ -32,7 +34,7 @@ HOT_PLACES = 20_000
 #: Windows of one stretch at most.
 LONGEST = 128
 #: Bytes indexed at once.
-INDEX_BYTES = 1 << 21
+INDEX_BYTES = 1 << 19
 BATCH_BYTES = 1 << 17
 #: Ranges of removed bytes reach the documents as a broadcast up to this size, and by a join beyond.
 BROADCAST_BYTES = 48 << 20
@@ -73,10 +75,11 @@ def minimizers(flat: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> np.n
     return np.minimum(h[: len(h) - (width - size)], h[width - size :]) if size < width else h
 
 
-def stretches(flat: np.ndarray, begin: np.ndarray, second: bool = False) -> tuple[np.ndarray, ...]:
+def stretches(flat: np.ndarray, begin: np.ndarray, hot: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, minimizer, second minimizer) of the runs of windows in one cell.
 
-    Windows never cross documents; runs end after LONGEST windows.
+    Windows never cross documents; runs end after LONGEST windows.  Only runs
+    in hot cells are cut by the second minimizer too.
     """
     least = minimizers(flat)
     n = len(least)
@@ -84,9 +87,11 @@ def stretches(flat: np.ndarray, begin: np.ndarray, second: bool = False) -> tupl
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U), np.zeros(0, U)
     change = np.r_[True, least[1:] != least[:-1]]
-    if second:
+    if hot is not None and len(hot):
         finer = minimizers(flat, HOT_GRAM)
-        change[1:] |= finer[1:] != finer[:-1]
+        change[1:] |= (finer[1:] != finer[:-1]) & np.isin(least[1:], hot)
+    else:
+        finer = np.zeros(n, U)
     heads = begin[:-1][begin[:-1] < n]
     change[heads] = True
     at = np.flatnonzero(change)
@@ -100,7 +105,7 @@ def stretches(flat: np.ndarray, begin: np.ndarray, second: bool = False) -> tupl
     last = np.minimum(end - 1, begin[doc + 1] - WINDOW)
     ok = at <= last
     at, last, doc = at[ok], last[ok], doc[ok]
-    return doc, at, last, least[at], (finer[at] if second else np.zeros(len(at), U))
+    return doc, at, last, least[at], finer[at]
 
 
 class RunLengthIndex:
@@ -221,17 +226,17 @@ def _batches(ids: list, texts: list, hashes: list) -> Iterator[tuple[np.ndarray,
 
 
 def _blocks(parts: np.ndarray, count: int, nodes: np.ndarray, of: np.ndarray, columns: list[np.ndarray], tail: list[bytes] | None = None) -> pa.RecordBatch:
-    """Rows (part, block), a block for each part that has entries: nodes, the entries' node numbers and columns, and texts."""
-    order = np.argsort(parts, kind="stable")
+    """Rows (part, block), a block for each part that has entries: nodes, how many entries each has, columns, and packed texts."""
+    order = np.lexsort((of, parts))
     cut = np.searchsorted(parts[order], np.arange(count + 1))
     ids, out = [], []
     for p in np.flatnonzero(np.diff(cut)).tolist():
         own = order[cut[p] : cut[p + 1]]
-        used, local = np.unique(of[own], return_inverse=True)
-        block = [np.array([len(used), len(own)], "<i8").tobytes(), nodes[used].tobytes(), local.astype("<u4").tobytes()]
+        used, times = np.unique(of[own], return_counts=True)
+        block = [np.array([len(used), len(own)], "<i8").tobytes(), nodes[used].tobytes(), times.astype("<u4").tobytes()]
         block += [c[own].tobytes() for c in columns]
         if tail is not None:
-            block.append(b"".join([tail[i] for i in own.tolist()]))
+            block.append(zstandard.compress(b"".join([tail[i] for i in own.tolist()]), 1))
         ids.append(p)
         out.append(b"".join(block))
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(out, pa.binary())], ["part", "block"])
@@ -243,8 +248,8 @@ def _opened(block: bytes, kinds: list[str]) -> tuple:
     at = 16
     nodes = np.frombuffer(block, NODE, k, at)
     at += k * NODE.itemsize
-    local = np.frombuffer(block, "<u4", e, at).astype(np.int64)
-    at += 4 * e
+    local = np.repeat(np.arange(k), np.frombuffer(block, "<u4", k, at))
+    at += 4 * k
     columns = []
     for kind in kinds:
         columns.append(np.frombuffer(block, kind, e, at))
@@ -275,7 +280,7 @@ def _places(docs: DataFrame, parts: int) -> DataFrame:
                 one = np.r_[True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])]
                 held.append((nodes, doc[one], least[one]))
                 n += int(one.sum())
-                if n >= 1_000_000:
+                if n >= 400_000:
                     yield out()
                     held, n = [], 0
         if held:
@@ -288,7 +293,7 @@ def _shared(places: DataFrame, parts: int) -> DataFrame:
     """The minimizers that occur in two documents or more, as blocks dealt by document; the flag marks hot cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, hot = [], 0, np.zeros(0, U)
+        held, n, hot, limit = [], 0, np.zeros(0, U), 3_000_000
 
         def solve(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n, hot
@@ -321,12 +326,13 @@ def _shared(places: DataFrame, parts: int) -> DataFrame:
                 nodes, local, (least,), _ = _opened(block, ["<u8"])
                 held.append((nodes, local, least))
                 n += len(local)
-                if n >= 8_000_000:
+                if n >= limit:
                     yield from solve(False)
+                    limit = max(limit, 2 * n)
         if held:
             yield from solve(True)
 
-    return places.repartition(parts, "part").mapInArrow(run, "part int, block binary")
+    return places.repartitionById(parts, F.col("part")).mapInArrow(run, "part int, block binary")
 
 
 def _gathered(blocks: DataFrame, parts: int, kinds: list[str], pack, schema: str) -> DataFrame:
@@ -352,7 +358,7 @@ def _gathered(blocks: DataFrame, parts: int, kinds: list[str], pack, schema: str
             names = names[of[edge]]
             yield pa.RecordBatch.from_arrays([pa.array(names["doc"]), pa.array(names["text"]), pa.array(packed, pa.binary())], ["d", "h", "packed"])
 
-    return blocks.repartition(parts, "part").mapInArrow(run, schema)
+    return blocks.repartitionById(parts, F.col("part")).mapInArrow(run, schema)
 
 
 def _collected(texts: DataFrame, parts: int) -> DataFrame:
@@ -378,7 +384,7 @@ def _collected(texts: DataFrame, parts: int) -> DataFrame:
                 cells = [np.frombuffer(p, "<u8", len(p) // 9) for p in own]
                 flags = [np.frombuffer(p, "u1", len(p) // 9, len(p) // 9 * 8) for p in own]
                 hot = np.unique(np.concatenate([c[f > 0] for c, f in zip(cells, flags, strict=True)]))
-                doc, at, last, least, finer = stretches(flat, begin, bool(len(hot)))
+                doc, at, last, least, finer = stretches(flat, begin, hot)
                 keep = np.zeros(len(doc), bool)
                 cut = np.searchsorted(doc, np.arange(len(nodes) + 1))
                 for j, c in enumerate(cells):
@@ -390,7 +396,7 @@ def _collected(texts: DataFrame, parts: int) -> DataFrame:
                 strings = [raw[a:b] for a, b in zip(at.tolist(), (last + WINDOW).tolist(), strict=True)]
                 held.append((nodes, doc, least, at - begin[doc], last + WINDOW - at, strings))
                 n += len(doc)
-                if n >= 100_000:
+                if n >= 50_000:
                     yield out()
                     held, n = [], 0
         if held:
@@ -408,7 +414,8 @@ def _marked(blocks: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for block in batch.column(1).to_pylist():
                 nodes, local, (cell, start, size), at = _opened(block, ["<u8", "<i8", "<u2"])
-                begin = at + np.r_[0, np.cumsum(size.astype(np.int64))]
+                block = zstandard.decompress(block[at:])
+                begin = np.r_[0, np.cumsum(size.astype(np.int64))]
                 which = np.array([number.setdefault(block[a:b], len(number)) for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)], np.int64)
                 held.append((nodes, local, cell, start, which))
         if not held:
@@ -466,7 +473,7 @@ def _marked(blocks: DataFrame, parts: int) -> DataFrame:
             part = (_mix(nodes["doc"][of].astype(U)) >> U(40)).astype(np.int64) % parts
             yield _blocks(part, parts, nodes, of, [a.astype("<i8"), b.astype("<i8")])
 
-    return blocks.repartition(parts, "part").mapInArrow(run, "part int, block binary")
+    return blocks.repartitionById(parts, F.col("part")).mapInArrow(run, "part int, block binary")
 
 
 def _merged(columns: list[np.ndarray]) -> bytes:
@@ -486,16 +493,24 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     cell; ranges go back to documents.  Each step is dealt in packed blocks.
     """
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 6000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // 2500)
     shared = _shared(_places(docs, parts), parts)
     cells = written(_gathered(shared, parts, ["<u8", "u1"], lambda c: c[0].tobytes() + c[1].tobytes(), "d long, h long, packed binary"), "cells")
     texts = docs.join(cells, (F.col("doc_id") == F.col("d")) & (docs["h"] == cells["h"])).select("doc_id", "text", docs["h"], "packed")
     ranges = _gathered(_marked(_collected(texts, parts), parts), parts, ["<i8", "<i8"], _merged, "d long, h long, packed binary")
-    out = written(ranges, "ranges")
+    out = written(ranges, "found")
     discard(cells)
     return out
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, h) of the documents whose whole text a smaller one has."""
+    groups, total = duplicate_groups(docs, keep=F.min)
+    rows = docs.select("doc_id", "h", F.sha2("text", 256).alias("text_sha256"))
+    out = attach(rows, groups, "text_sha256", "group_size", total, F.col("doc_id")).where(F.col("doc_id") != F.col("keep_id"))
+    return written(out.select("doc_id", "h"), "copies")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of every row.
 
@@ -505,22 +520,30 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut in two are kept as they are, so ``kept`` is binary.  Other columns are
     not read; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    own = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW))
-    ranges = repeated_ranges(own.select("doc_id", "text", "h"))
-    few = (ranges.agg(F.sum(F.octet_length("packed") + 24)).first()[0] or 0) <= BROADCAST_BYTES
-    side = ranges.select("d", F.col("h").alias("dh"), "packed")
+    own = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= WINDOW)).select("doc_id", "text", "h")
+    # exact copies go whole, and their strings all stand in the document they copy: the index needs them not
+    same = copies(own)
+    side = same.select(F.col("doc_id").alias("c"), F.col("h").alias("ch"))
+    few = same.count() * 24 <= BROADCAST_BYTES
+    first = own.join(F.broadcast(side) if few else side, (F.col("doc_id") == F.col("c")) & (F.col("h") == F.col("ch")), "left_anti")
+    ranges = repeated_ranges(first).select("d", F.col("h").alias("dh"), "packed", F.lit(False).alias("whole"))
+    side = ranges.unionByName(same.select(F.col("doc_id").alias("d"), F.col("h").alias("dh"), F.lit(None).cast("binary").alias("packed"), F.lit(True).alias("whole")))
+    side = written(side.dropDuplicates(["d", "dh"]), "ranges")
+    few = (side.agg(F.sum(F.coalesce(F.octet_length("packed"), F.lit(0)) + 24)).first()[0] or 0) <= BROADCAST_BYTES
     joined = rows.join(F.broadcast(side) if few else side, (F.col("doc_id") == F.col("d")) & (F.col("h") == F.col("dh")), "left")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, packed, whole in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
                 raw = text.encode()
                 kept, spans, n = raw, 0, len(raw)
-                if packed:
+                if whole:
+                    kept, spans = b"", 1
+                elif packed:
                     a, b = np.frombuffer(packed, "<i8").reshape(2, -1)
                     spans = len(a)
                     kept = b"".join(raw[s:e] for s, e in zip([0, *b.tolist()], [*a.tolist(), n], strict=True))
@@ -530,4 +553,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             arrays = [batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=False)]]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
-    return joined.select("doc_id", "text", "packed").mapInArrow(run, schema)
+    return joined.select("doc_id", "text", "packed", "whole").mapInArrow(run, schema)
