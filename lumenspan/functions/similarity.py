@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -18,28 +19,56 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def _places(items: list) -> dict:
+    """For each item a number with a bit set at each of its places."""
+    out: dict = {}
+    for i, x in enumerate(items):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
 def edit_counts(reference: list, hypothesis: list) -> tuple[int, int, int]:
     """Substitutions, deletions, insertions of a least edit; of equal ways a substitution, then a deletion, goes first.
 
-    A cell keeps cost and counts, so memory is two rows; the preference
-    applies from the end backwards, as a backtrace would.
+    Columns of the distance table are pairs of bit vectors (Myers, Hyyro) with
+    a bit for each item of the reference.  The way back from the end reads
+    where a diagonal step is free and where the distance grows downwards; the
+    columns it needs are made again from every step-th, so memory is that of
+    about 4 sqrt(n) columns.
     """
-    above = [(j, 0, 0, j) for j in range(len(hypothesis) + 1)]
-    for i, r in enumerate(reference, 1):
-        row = [(i, 0, i, 0)]
-        for j, h in enumerate(hypothesis, 1):
-            c, s, d, n = above[j - 1]
-            best = (c + (r != h), s + (r != h), d, n)
-            if r != h:
-                c, s, d, n = above[j]
-                if c + 1 < best[0]:
-                    best = (c + 1, s, d + 1, n)
-                c, s, d, n = row[j - 1]
-                if c + 1 < best[0]:
-                    best = (c + 1, s, d, n + 1)
-            row.append(best)
-        above = row
-    return above[-1][1:]
+    m, n = len(reference), len(hypothesis)
+    places, mask = _places(reference), (1 << m) - 1
+    step = math.isqrt(n) + 1
+
+    def columns(vp: int, vn: int, items: list):
+        for h in items:
+            eq = places.get(h, 0)
+            d0 = (((eq & vp) + vp) ^ vp) | eq | vn
+            hp, hn = (vn | ~(d0 | vp)) & mask, d0 & vp
+            hp, hn = (hp << 1 | 1) & mask, (hn << 1) & mask
+            vp, vn = (hn | ~(d0 | hp)) & mask, hp & d0
+            yield d0, vp, vn
+
+    starts = [(mask, 0)]
+    for j, (_, vp, vn) in enumerate(columns(mask, 0, hypothesis), 1):
+        if j % step == 0:
+            starts.append((vp, vn))
+    s = d = 0
+    i, j, low, block = m, n, n, []
+    while i and j:
+        if j <= low:
+            low = (j - 1) // step * step
+            block = list(columns(*starts[low // step], hypothesis[low:j]))
+        d0, vp, _ = block[j - low - 1]
+        if reference[i - 1] == hypothesis[j - 1]:
+            i, j = i - 1, j - 1
+        elif not d0 >> i - 1 & 1:
+            s, i, j = s + 1, i - 1, j - 1
+        elif vp >> i - 1 & 1:
+            d, i = d + 1, i - 1
+        else:
+            j -= 1
+    return s, d + i, n - (m - d - i)
 
 
 EDITS = StructType([StructField(c, IntegerType()) for c in ("substitutions", "deletions", "insertions")])
@@ -94,15 +123,18 @@ def word_similarity_column(query: pd.Series, text: pd.Series) -> pd.Series:
 
 
 def indel_ratio(a: str, b: str) -> float:
-    """100 * 2 * longest common subsequence / summed lengths; 100 for two empty strings."""
+    """100 * 2 * longest common subsequence / summed lengths; 100 for two empty strings.
+
+    A row of the table is a bit vector with a bit for each character of a, 0 where the length grows.
+    """
     if not a and not b:
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    places, mask = _places(a), (1 << len(a)) - 1
+    row = mask
+    for y in b:
+        same = row & places.get(y, 0)
+        row = (row + same | row - same) & mask
+    return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
 @F.pandas_udf(DoubleType())

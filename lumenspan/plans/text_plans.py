@@ -67,10 +67,10 @@ PAIRS = """pairs AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]',
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII openings of neighbouring turns (the oracle's distance counts bytes)."""
+    """Neighbouring turns, whole and with all characters (PAIRS cuts them, and its distance counts bytes)."""
     from pyspark.sql import Window
 
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("a"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     return c.withColumn("b", F.lag("a").over(Window.partitionBy("conv_id").orderBy("turn"))).where("b is not null")
 
 
