@@ -81,11 +81,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def entity_of(text: str, start: int, end: int) -> int:
+    return xxhash.xxh64_intdigest(text[start:end].lower()) >> 1
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int, int]]:
     """(entity, term, start, end, context) for the words around each span; entity and context are hashes."""
     out, reach = [], 40 * WINDOW
     for start, _, end in spans:
-        entity = xxhash.xxh64_intdigest(text[start:end].lower()) >> 1
+        entity = entity_of(text, start, end)
         low, high = max(0, start - reach), min(len(text), end + reach)
         before = [(m.start() + low, m.end() + low) for m in TERM.finditer(text[low:start])][-WINDOW:]
         after = [(m.start() + end, m.end() + end) for m in TERM.finditer(text[end:high])][:WINDOW]
@@ -101,7 +105,7 @@ SPAN = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())])
 TERMS = pa.struct([("entity", pa.int64()), ("term", pa.string()), ("s", pa.int64()), ("e", pa.int64()), ("context", pa.int64())])
 FOUND = (
     "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-    "base array<struct<s: long, k: int, e: long>>, "
+    "base array<struct<s: long, k: int, e: long>>, entities array<long>, "
     "terms array<struct<entity: long, term: string, s: long, e: long, context: long>>"
 )
 
@@ -123,9 +127,10 @@ def find_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     *[pa.array([c[k] for c in counts], pa.int64()) for k in range(4)],
                     pa.array(shas, pa.string()),
                     pa.array([[{"s": s, "k": k, "e": e} for s, k, e in x] for x in spans], pa.list_(SPAN)),
+                    pa.array([sorted({entity_of(t, s, e) for s, _, e in x}) for t, x in zip(texts, spans, strict=True)], pa.list_(pa.int64())),
                     pa.array([[dict(zip(("entity", "term", "s", "e", "context"), y, strict=True)) for y in x] for x in terms], pa.list_(TERMS)),
                 ],
-                [x.split()[0] for x in FOUND.split(", base array")[0].split(", ")] + ["base", "terms"],
+                [x.split()[0] for x in FOUND.split(", base array")[0].split(", ")] + ["base", "entities", "terms"],
             )
 
     return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, FOUND)
@@ -166,16 +171,19 @@ def document_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -
 def disclosing(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """(entity, term, disclosure) of the pairs at or above the threshold.
 
-    disclosure = PMI(term; entity) / information(entity), with document
-    frequencies over all documents and, for the pair, the number of different
-    contexts.  Pairs are counted by context first, so a frequent entity's
-    rows are combined before they meet.
+    disclosure = PMI(term; entity) / information(entity), all frequencies
+    being numbers of documents (rows, copies included): of the entity, of the
+    term, and of both where the term is near the entity.  A row gives each
+    entity and pair once, so rows are combined before they meet.  Different
+    contexts count for the support of a pair only.
     """
     total = found.count()
-    rows = found.where(F.size("terms") > 0).select("doc_id", "row", F.explode("terms").alias("t")).select("doc_id", "row", "t.*")
-    pairs = rows.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("both"))
-    pairs = written(pairs.where(F.col("both") >= support), "pairs")
-    entities = rows.select("entity", "doc_id", "row").distinct().groupBy("entity").agg(F.count("*").alias("ef"))
+    near = found.where(F.size("terms") > 0)
+    contexts_ = near.select(F.explode("terms").alias("t")).select("t.entity", "t.term", "t.context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
+    once = F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))
+    both = near.select(F.explode(once).alias("t")).groupBy("t.entity", "t.term").agg(F.count("*").alias("both"))
+    pairs = written(contexts_.where(F.col("contexts") >= support).join(both, ["entity", "term"]).select("entity", "term", "both"), "pairs")
+    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("ef"))
     df = written(document_counts(docs, written(pairs.select("term").distinct(), "terms"), text_col), "frequencies")
     n = F.lit(float(max(total, 1)))
     information = F.log2(n / F.col("ef"))

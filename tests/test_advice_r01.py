@@ -1,10 +1,12 @@
 """What the review of round 1 found left out."""
 
+import math
 import random
 
 import pytest
 
 from lumenspan.functions.similarity import edit_counts, indel_ratio
+from lumenspan.llm import pii
 from lumenspan.plans import registry
 
 
@@ -73,3 +75,18 @@ def test_distances_are_of_whole_turns_with_all_characters(spark, tables):
     some = {k: [(e[c, t], len(a)) for c, t, a, b in pairs if c == k and a] for k in (1, 2)}
     want = [(k, round(sum(x for x, _ in v) / sum(n for _, n in v), 9), round(sum(x / n for x, n in v) / len(v), 9)) for k, v in some.items()]
     assert run("cer_micro_macro") == [pytest.approx(x) for x in want]
+
+
+def test_copies_of_passages_do_not_hide_a_disclosing_term(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("bcdfg") for _ in range(6)) for _ in range(n))
+    passages = [f"{words(8)} quarry ann@mail.example {words(8)}" for _ in range(3)]
+    texts = [p for p in passages for _ in range(30)] + [words(20) for _ in range(300)]
+    # several contexts in one document are one document of the pair; alone, the entity counts too
+    texts += [" ".join(f"{words(8)} harbour bob@mail.example {words(8)}" for _ in range(6))] + [f"{words(9)} harbour" for _ in range(5)] + ["bob@mail.example"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_base(docs)
+    got = {r.term: r.disclosure for r in pii.disclosing(found, docs, generalise=-9.0).where("term in ('quarry', 'harbour')").collect()}
+    n = len(texts)
+    assert got["quarry"] == pytest.approx(1.0)
+    assert got["harbour"] == pytest.approx(math.log2(1 * n / (6 * 2)) / math.log2(n / 2))
