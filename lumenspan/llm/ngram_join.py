@@ -383,6 +383,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     return out
 
 
+def _uncovered(stars: DataFrame, many: DataFrame) -> DataFrame:
+    """(node) of the sets that may have a link all of whose shared entries lie in large groups.
+
+    stars has a, b, band; many has node, band, l, t.  Such a pair shares the
+    smaller of its two required numbers at least, so the set that requires
+    less is in enough large groups itself, and the other is in as many as that
+    one requires and shares a large group, and so a leader, with it.
+    """
+    own = many.where("l >= t")
+    leaders = stars.select("a", "band").distinct()
+    inside = written(stars.unionByName(leaders.select("a", F.col("a").alias("b"), "band")), "inside")
+    least = inside.join(own.select(F.col("node").alias("b"), "band", "t"), ["b", "band"]).groupBy("a", "band").agg(F.min("t").alias("least"))
+    least = written(least, "least")
+    least = F.broadcast(least) if least.count() <= BROADCAST_IDS else least
+    needed = inside.join(least, ["a", "band"]).groupBy("b", "band").agg(F.min("least").alias("least"))
+    more = needed.join(many.select(F.col("node").alias("b"), "band", "l"), ["b", "band"]).where("l >= least")
+    return written(own.select("node").unionByName(more.select(F.col("b").alias("node"))).distinct(), "uncovered")
+
+
 def _families(stars: DataFrame, uncovered: DataFrame) -> DataFrame:
     """(node, family) of the uncovered sets; any two that share an entry of a large group are in one family."""
     edges = stars.join(uncovered.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
@@ -478,9 +497,10 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     1. Index all sets; collect equal entries.  Pairs of small groups are
        verified if they share what a linked pair must share, less the large
        groups that both may be in.
-    2. A linked pair not seen in 1 shares ``required`` entries of large groups
-       at least.  Sets in so many large groups are uncovered; those that share
-       any of these form families, and each family is compared within itself.
+    2. A linked pair not seen in 1 shares the smaller of its two ``required``
+       entries of large groups at least.  Sets in so many large groups, by
+       their own number or a partner's, are uncovered; those that share any of
+       these form families, and each family is compared within itself.
     """
     spark = docs.sparkSession
     total = docs.count() if total is None else total
@@ -492,7 +512,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     la, lb = (many.select(F.col("node").alias(x), "band", F.col("l").alias(f"l{x}")) for x in "ab")
     small = small.join(la, ["a", "band"], "left").join(lb, ["b", "band"], "left")
     enough = F.col("c") >= F.col("t") - F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
-    uncovered = written(many.where("l >= t").select("node").distinct(), "uncovered")
+    uncovered = _uncovered(found.where("kind = 2").select("a", "b", "band").distinct(), many)
     pairs = small.where(enough).where("a < b").select("a", "b").distinct()
     # pairs inside a family are left to it
     if not uncovered.isEmpty():
