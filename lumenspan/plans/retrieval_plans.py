@@ -85,7 +85,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT chunk_id, 0 AS appended FROM f UNION ALL SELECT chunk_id, 1 FROM first WHERE chunk_id NOT IN (SELECT chunk_id FROM f)""")
 def protected_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the queries are a stated set of a few dozen passages, met by every document
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.substring("text", 1, 40).alias("passage")))
+    items = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage")))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
     hits = docs.join(items, F.expr("instr(text, passage) > 0")).select("query", "chunk_id", F.col("chunk_id").alias("rank"), F.lit(0.0).alias("score"), F.lit(True).alias("is_exact"))
     return R.retain_protected(fused(spark, sf_dir), hits).select("chunk_id", "appended")

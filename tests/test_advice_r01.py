@@ -124,3 +124,11 @@ def test_a_link_whose_sets_require_different_numbers(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()}
     assert got == {i: max(0, i - (i == 1)) for i in range(len(texts))}
+
+
+def test_a_protected_hit_holds_the_whole_passage(spark, tables):
+    opening = "a benchmark passage that begins with the same words "
+    tables("benchmark", [(1, opening + "and ends so")], "item_id long, text string")
+    path = tables("documents", [(70, opening + "but goes on otherwise", 80), (80, f"see: {opening}and ends so.", 80)], DOCUMENTS)
+    got = [r.chunk_id for r in registry.queries()["protected_retention"](spark, path).where("appended = 1").collect()]
+    assert got == [80]
