@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import unicodedata
 
 import pandas as pd
@@ -27,24 +26,26 @@ DIGITS = {"0": "零", "1": "一", "2": "二", "3": "三", "4": "四", "5": "五"
 SPOKEN_ONE = "幺"
 
 
-def spoken_variants(text: str, most: int = 16) -> list[str]:
-    """The text, then its digits spoken, every way to say its ones in binary counting order, at most ``most``."""
-    out = [text]
-    if not any(c in DIGITS for c in text):
-        return out
-    ones = [i for i, c in enumerate(text) if c == "1"]
-    spoken = [DIGITS.get(c, c) for c in text]
-    for choice in itertools.product((False, True), repeat=min(len(ones), 12)):
-        way = list(spoken)
-        for i, other in zip(ones, reversed(choice), strict=False):
-            if other:
-                way[i] = SPOKEN_ONE
-        variant = "".join(way)
-        if variant not in out:
-            out.append(variant)
-        if len(out) >= most:
-            break
-    return out
+def spoken_variants(plain: Column, most: int = 16) -> Column:
+    """A text that normalize_search() made, then its digits spoken: every one plain, every one in its other form, then the mixed ways.
+
+    Mixed ways count in binary, the first one being the lowest digit; there
+    are ``most`` variants at most, each once.  Text without an ASCII digit has
+    itself only, blank text none.
+    """
+    others = "".join(d for d in DIGITS if d != "1")
+    parts = F.split(F.translate(plain, others, "".join(DIGITS[d] for d in others)), "1", -1)
+    every = F.lit(-1).cast("long")
+    ways = F.array(F.lit(0).cast("long"), every, *[F.lit(i).cast("long") for i in range(1, most)])
+    other_form = lambda way, i: F.when(i > 62, way < 0).otherwise(F.expr("1") == F.call_function("shiftright", way, i).bitwiseAND(F.lit(1).cast("long")))
+    said = lambda way: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i == F.size(parts) - 1, "").when(other_form(way, i), SPOKEN_ONE).otherwise(DIGITS["1"]))), "")
+    spoken = F.slice(F.array_distinct(F.concat(F.array(plain), F.transform(ways, said))), 1, most)
+    return F.when(F.coalesce(F.length(plain), F.lit(0)) == 0, F.array().cast("array<string>")).when(plain.rlike("[0-9]"), spoken).otherwise(F.array(plain))
+
+
+def is_near(original: Column, changed: Column, most: float = 0.35) -> Column:
+    """Whether a change is small enough to be taken: edits over the original's length, which counts as 1 at least."""
+    return F.levenshtein(original, changed) / F.greatest(F.lit(1), F.length(original)) <= most
 
 
 def retrieval_text(text: Column, topic: Column, terms: Column, context: Column) -> Column:
@@ -60,6 +61,21 @@ def sentences(text: Column) -> Column:
     return F.filter(pieces, lambda p: F.trim(p) != "")
 
 
+def first_sentence(text: Column, most: int = 200) -> Column:
+    """The first sentence without a bullet before it, cut to ``most`` characters."""
+    bare = F.regexp_replace(text, r"^\s*[-*•]\s+", "")
+    return F.left(F.trim(F.regexp_extract(bare, r"^([^.!?。！？]*[.!?。！？]?)", 1)), F.lit(most))
+
+
+def block_text(blocks: Column) -> Column:
+    """The joined texts of a JSON array's text blocks; of a comparison block the text of its primary variant."""
+    kind = "array<struct<type: string, text: string, variants: array<struct<primary: boolean, text: string>>>>"
+    own = lambda b: F.when(b["type"] == "text", b["text"]).when(
+        b["type"] == "comparison", F.get(F.filter(b["variants"], lambda v: v["primary"]), F.lit(0))["text"]
+    )
+    return F.array_join(F.filter(F.transform(F.from_json(blocks, kind), own), lambda t: t.isNotNull()), "")
+
+
 def token_estimate(text: Column) -> Column:
     """CJK characters, plus a quarter of the other bytes rounded up, plus 4."""
     cjk = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}]"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,30 +31,54 @@ def merge_adjacent(segments: DataFrame, key: str = "recording_id", gap: int = ME
     return grouped.select(key, F.explode(folded).alias("m")).select(key, "m.*")
 
 
-def _merged(rows: list[tuple[int, int, object]], gap: int, length: int) -> list[tuple[int, int, object]]:
-    out: list[tuple[int, int, object]] = []
-    for start, end, who in sorted(rows, key=lambda r: r[:2]):
-        if out and out[-1][2] == who and start - out[-1][1] <= gap and end - out[-1][0] <= length:
-            out[-1] = (out[-1][0], end, who)
-        else:
-            out.append((start, end, who))
-    return out
+def _joined(start: np.ndarray, end: np.ndarray, who: np.ndarray, gap: int, length: int) -> list[np.ndarray]:
+    """Segments in order, neighbours of one cluster joined while gap and whole length allow.
+
+    A change of cluster and a wide gap part segments whatever comes before;
+    between two such places the longest stretch that fits is taken each time.
+    """
+    n = len(start)
+    parted = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (start[1:] - end[:-1] > gap)]) if n else np.zeros(0, int)
+    first, last = [], []
+    for at, stop in zip(parted.tolist(), [*parted[1:].tolist(), n], strict=True):
+        while at < stop:
+            long = np.flatnonzero(end[at + 1 : stop] - start[at] > length)
+            cut = at + 1 + int(long[0]) if len(long) else stop
+            first.append(at)
+            last.append(cut - 1)
+            at = cut
+    return [start[first], end[last], who[first]]
+
+
+def _sandwiched(start: np.ndarray, end: np.ndarray, who: np.ndarray, short: int, gap: int) -> np.ndarray:
+    """Places of short segments between two near ones of one other cluster; of several in a row every second, from the first on.
+
+    Giving a segment to its neighbours makes it one of them, so that the next
+    one, which then follows its own cluster, stands between two others no more.
+    """
+    n = len(start)
+    if n < 3:
+        return np.zeros(0, int)
+    near = start[1:] - end[:-1] <= gap
+    fits = np.zeros(n, bool)
+    fits[1:-1] = (who[:-2] == who[2:]) & (who[1:-1] != who[2:]) & (end[1:-1] - start[1:-1] <= short) & near[:-1] & near[1:]
+    place = np.arange(n)
+    before = np.maximum.accumulate(np.where(fits, -1, place))
+    return np.flatnonzero(fits & ((place - before) % 2 == 1))
 
 
 def smooth(rows: list[tuple[int, int, object]], short: int = SHORT, gap: int = MERGE_GAP, length: int = MERGE_LENGTH) -> tuple[list[tuple[int, int, object]], int]:
-    """Merge, give short segments between two of one other cluster to it, and again, until none is given; and how many were."""
-    state, total = _merged(rows, gap, length), 0
+    """Segments joined and short ones between two of one other cluster given to it, until none is given; and how many were."""
+    rows = sorted(rows, key=lambda r: r[:2])
+    line = [np.array([r[i] for r in rows]) for i in range(3)]
+    total = 0
     while True:
-        line, given = list(state), 0
-        for i in range(1, len(line) - 1):
-            (_, before, a), (start, end, own), (after, _, b) = line[i - 1 : i + 2]
-            if a == b != own and end - start <= short and start - before <= gap and after - end <= gap:
-                line[i] = (start, end, a)
-                given += 1
-        if not given:
-            return state, total
-        total += given
-        state = _merged(line, gap, length)
+        line = _joined(*line, gap, length)
+        given = _sandwiched(*line, short, gap)
+        if not len(given):
+            return list(zip(*[x.tolist() for x in line], strict=True)), total
+        total += len(given)
+        line[2][given] = line[2][given - 1]
 
 
 def per_group(rows: DataFrame, key: str, order: list[str], run, schema: str) -> DataFrame:
@@ -96,26 +121,25 @@ def smooth_segments(segments: DataFrame, **limits) -> DataFrame:
 def windows(rows: list[tuple[int, int]], target: int = WINDOW_TARGET, most: int = WINDOW_MOST, overlap: int = WINDOW_OVERLAP) -> list[tuple[int, int, int, int]]:
     """(input start, input end, core start, core end) of speech windows.
 
-    While a segment would make a core longer than ``most`` the core is cut at
-    ``target``; else it ends with the segment that brings it to the target.
+    Cores follow each other without gaps from the first segment's start.  A
+    core ends with the segment that brings it to the target length; a segment
+    that would make it longer than ``most`` is first brought nearer by as many
+    cores of exactly the target as that takes.  Windows reach over their cores
+    by the overlap.
     """
-    rows = sorted(r for r in rows if r[1] > r[0])
-    if not rows:
-        return []
-    target = max(1, target)
-    most, overlap = max(target, most), max(0, overlap)
-    cores, start, reach = [], rows[0][0], rows[0][0]
-    for _, end in rows:
-        while end - start > most:
-            cores.append((start, start + target))
-            start += target
+    target, overlap = max(1, target), max(0, overlap)
+    most, edges, reach = max(target, most), [], 0
+    for start, end in sorted(r for r in rows if r[0] < r[1]):
+        if not edges:
+            edges, reach = [start], start
+        forced = -((most - (end - edges[-1])) // target)
+        edges += [edges[-1] + target * i for i in range(1, forced + 1)]
         reach = max(reach, end)
-        if reach - start >= target:
-            cores.append((start, reach))
-            start = reach
-    if reach > start:
-        cores.append((start, reach))
-    return [(max(0, a - overlap), b + overlap, a, b) for a, b in cores]
+        if reach >= edges[-1] + target:
+            edges.append(reach)
+    if edges and reach > edges[-1]:
+        edges.append(reach)
+    return [(max(0, a - overlap), b + overlap, a, b) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def speech_windows(segments: DataFrame, **limits) -> DataFrame:

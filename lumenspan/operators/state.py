@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 #: Retry limits.
 MOST_ATTEMPTS, MOST_BACKOFF_S = 20, 300
 
+#: The topics of commands, events, cancellations, retries and dead letters.
+TOPICS = (
+    "processing.commands", "processing.events", "processing.cancel", "processing.cancel.retry", "processing.cancel.dlq", "processing.retry", "processing.dlq",
+    "compute.tasks.io", "compute.tasks.cpu", "compute.tasks.gpu-high", "compute.tasks.gpu-normal", "compute.results", "compute.cancel", "compute.cancel.retry",
+    "compute.cancel.dlq", "compute.retry", "compute.dlq", "generation.commands", "generation.cancel", "generation.cancel.retry", "generation.cancel.dlq",
+    "generation.retry", "generation.dlq", "rag.execution-events", "model.invocation-events", "observability.dlq", "observability.retry",
+)
+
 
 def backoff_seconds(attempts: Column) -> Column:
     return F.least(F.lit(MOST_BACKOFF_S), F.pow(F.lit(2), F.least(attempts, F.lit(8)))).cast("long")
@@ -68,3 +76,37 @@ def violations(rules: dict[str, tuple[DataFrame, Column]]) -> DataFrame:
     for c in counts[1:]:
         out = out.unionByName(c)
     return out
+
+
+def replace_pruned(old: DataFrame, new: DataFrame, vectors: DataFrame, parent: str, ordinal: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, vectors) after the parents in new got their rows: ordinals not in new go, and vectors whose hash is stale with them.
+
+    rows have parent, ordinal, content_hash; vectors have the same.
+    """
+    rows = replace_children(old, new, parent)
+    return rows, vectors.join(rows, [parent, ordinal, "content_hash"], "left_semi")
+
+
+def leased(outbox: DataFrame, now: Column) -> DataFrame:
+    """The oldest pending event of each aggregate, unless a lease on it still runs; younger ones wait for it."""
+    from .joins import head_of_line
+
+    return head_of_line(outbox.where("not published and not exhausted"), ["aggregate_id"], ["created_at", "event_id"]).where(F.col("lease_until").isNull() | (F.col("lease_until") <= now))
+
+
+def fenced(events: DataFrame, key: str, version: str, terminal: Column) -> DataFrame:
+    """The state of each key: its first terminal event, else its newest; what comes after a terminal one changes nothing."""
+    row = F.struct(version, *[c for c in events.columns if c not in (key, version)])
+    ends = events.groupBy(key).agg(F.min(F.when(terminal, row)).alias("first"), F.max(row).alias("last"))
+    return ends.select(key, F.coalesce("first", "last").alias("r"), F.col("first").isNotNull().alias("terminal")).select(key, "r.*", "terminal")
+
+
+def cancelled_on_arrival(tasks: DataFrame, cancels: DataFrame, scope: str, order: str) -> DataFrame:
+    """tasks with ``cancelled``: whether their scope was cancelled before they came."""
+    first = cancels.groupBy(scope).agg(F.min(order).alias("__at"))
+    return tasks.join(first, scope, "left").withColumn("cancelled", F.coalesce(F.col(order) > F.col("__at"), F.lit(False))).drop("__at")
+
+
+def expire(states: DataFrame, ended: str, now: Column, seconds: int) -> DataFrame:
+    """States without those whose end is ``seconds`` past; states that have not ended stay."""
+    return states.where(F.col(ended).isNull() | (now < F.timestamp_add("SECOND", F.lit(seconds), F.col(ended))))

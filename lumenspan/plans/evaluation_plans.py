@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
+from ..operators.joins import contains_join
 from ..sources.corpus import ctes, table, view
 from .registry import query
 
@@ -16,14 +17,13 @@ GOLD = f"gold AS (SELECT item_id AS case_id, doc_id AS chunk_id, 1 + doc_id % 3
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage; the passages are a stated set of queries against all documents."""
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), flat("text").alias("passage")))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), flat("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), flat("text").alias("body"))
-    return docs.join(items, F.expr("instr(body, passage) > 0")).select("case_id", "chunk_id", (1 + F.col("chunk_id") % 3).alias("relevance"))
+    return contains_join(docs, "body", items, "passage").select("case_id", "chunk_id", (1 + F.col("chunk_id") % 3).alias("relevance"))
 
 
-def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked(g: DataFrame) -> DataFrame:
     """A deterministic ranked list for each case: its gold every other rank, other documents between."""
-    g = gold(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("chunk_id"))
     return g.withColumn("rank", 2 * place).select("case_id", "rank", "chunk_id")
 
@@ -42,9 +42,9 @@ MATCHED = GOLD + """, r AS (SELECT case_id, chunk_id, relevance, 2 * row_number(
     round(1.0 / min(rank), 9) AS reciprocal_rank, round(sum(CASE WHEN rank <= 10 THEN (power(2, relevance) - 1) / log2(rank + 1) ELSE 0 END) / max(ideal), 9) AS ndcg_at_10
     FROM i JOIN n USING (case_id) JOIN r USING (case_id) GROUP BY 1""")
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir)
+    g = gold(spark, sf_dir).persist()  # the hits are few, and finding them reads all texts
     anchors = g.select("case_id", F.lit(1).alias("recording_id"), "chunk_id", F.col("chunk_id").alias("evidence_id"), "relevance", F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"), F.lit("\u0001").alias("quote"))
-    items = ranked(spark, sf_dir).select("case_id", "rank", F.lit(1).alias("recording_id"), "chunk_id", F.lit("").alias("text"), F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"))
+    items = ranked(g).select("case_id", "rank", F.lit(1).alias("recording_id"), "chunk_id", F.lit("").alias("text"), F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"))
     out = E.rank_metrics(E.match_gold(items, anchors), anchors)
     return out.select("case_id", "hit_at_1", "hit_at_5", *[F.round(c, 9).alias(c) for c in ("recall_at_10", "reciprocal_rank", "ndcg_at_10")])
 

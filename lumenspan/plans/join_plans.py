@@ -78,7 +78,7 @@ def lexical_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "chunk").select("chunk_id", F.length(F.coalesce(F.nullif(original, F.lit("")), F.lit("fallback"))).cast("long").alias("n"))
 
 
-HITS = "hits AS (SELECT recording_id, min(utterance_index) AS first_index, min(utterance_index) AS last_index FROM utt WHERE length(text) > 200 GROUP BY 1)"
+HITS = "hits AS (SELECT recording_id, min(utterance_index) AS first_index, max(utterance_index) AS last_index FROM utt WHERE length(text) > 200 GROUP BY 1)"
 
 
 @query(ctes("utt") + f""", {HITS} SELECT u.recording_id, count(*) AS lines, min(u.start_ms) AS start_ms, max(u.end_ms) AS end_ms,
@@ -88,7 +88,7 @@ def context_window_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import render_lines
 
     utt = view(spark, sf_dir, "utt")
-    hits = utt.where("length(text) > 200").groupBy("recording_id").agg(F.min("utterance_index").alias("first_index"), F.min("utterance_index").alias("last_index"), F.first("recording_id").alias("hit_id"))
+    hits = utt.where("length(text) > 200").groupBy("recording_id").agg(F.min("utterance_index").alias("first_index"), F.max("utterance_index").alias("last_index"), F.first("recording_id").alias("hit_id"))
     rows = J.context_window(hits, utt, "recording_id", "utterance_index", 1)
     lines = render_lines(F.array_sort(F.collect_list(F.struct("utterance_index", F.col("cluster").alias("label"), "text"))))
     return rows.groupBy("recording_id").agg(F.count("*").alias("lines"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.md5(lines).alias("body"))

@@ -119,8 +119,12 @@ def chunk_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.orderBy("chunk_index", "chunk_id").offset(10).limit(50).select("chunk_id", "chunk_index")
 
 
-@query()
-def rows_only_spoken_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    variants = F.udf(T.spoken_variants, "array<string>", useArrow=True)
-    e = table(spark, sf_dir, "events").select("event_id", F.explode(variants(F.floor("value").cast("string"))).alias("variant"))
-    return e
+@query("""WITH e AS (SELECT event_id, CAST(CAST(floor(value * 37) AS BIGINT) AS VARCHAR) AS t FROM events), p AS (SELECT event_id, t, string_split(translate(t, '023456789', '零二三四五六七八九'), '1') AS parts FROM e),
+    m AS (SELECT *, unnest(list_concat([0, (1 << (len(parts) - 1)) - 1], range(1, 16))) AS mask, unnest(range(17)) AS k FROM p),
+    v AS (SELECT event_id, k, array_to_string(list_transform(parts, lambda x, i: x || CASE WHEN i = len(parts) THEN '' WHEN (mask >> (i - 1)) & 1 = 1 THEN '幺' ELSE '一' END), '') AS variant FROM m UNION ALL SELECT event_id, -1, t FROM e),
+    d AS (SELECT event_id, variant, row_number() OVER (PARTITION BY event_id ORDER BY min(k)) AS n FROM v GROUP BY 1, 2) SELECT event_id, variant, CAST(n AS BIGINT) AS place FROM d WHERE n <= 16""")
+def spoken_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers as they are said digit by digit."""
+    e = table(spark, sf_dir, "events").select("event_id", T.normalize_search(F.floor(F.col("value") * 37).cast("string")).alias("t"))
+    e = e.select("event_id", F.posexplode(T.spoken_variants(F.col("t"))).alias("p", "variant"))
+    return e.select("event_id", "variant", (F.col("p") + 1).cast("long").alias("place"))

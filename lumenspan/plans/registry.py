@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def oracle_of(name: str) -> str:
+    """The SQL of a query, for queries that build on it."""
+    sql = _ORACLES[name]
+    return sql if isinstance(sql, str) else sql()
+
+
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with its SQL where SQL can say it."""
 
     def add(f: Query) -> Query:
@@ -24,7 +30,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import aggregate_plans, evaluation_plans, join_plans, more_plans, retrieval_plans, state_plans, text_plans  # noqa: F401
+    from . import aggregate_plans, evaluation_plans, join_plans, lifecycle_plans, more_plans, retrieval_plans, scope_plans, state_plans, text_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
@@ -34,4 +40,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_ORACLES)
+    return {name: oracle_of(name) for name in _ORACLES}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.similarity import cosine, word_similarity_column
 from ..operators import retrieval as R
+from ..operators.joins import contains_join
 from ..sources.corpus import ctes, table, view
 from .registry import query
 
@@ -56,7 +57,7 @@ def lexical_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 FUSED = SCORED + """, v AS (SELECT vec_id AS chunk_id, s AS score, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM scored ORDER BY rank LIMIT 30),
     v2 AS (SELECT vec_id AS chunk_id, s AS score, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM scored WHERE label % 2 = 0 ORDER BY rank LIMIT 30),
     l AS (SELECT doc_id AS chunk_id, 1.0 / n_chars AS score, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM documents
-        WHERE doc_id < 100000 AND strpos(lower(text), 'est') > 0 ORDER BY rank LIMIT 30),
+        WHERE strpos(lower(text), 'est') > 0 ORDER BY rank LIMIT 30),
     lanes AS (SELECT chunk_id, rank, 0.7 AS w, 'v' AS f FROM v UNION ALL SELECT chunk_id, rank, 0.2, 'v' FROM v2 UNION ALL SELECT chunk_id, rank, 0.1, 'l' FROM l),
     fused AS (SELECT chunk_id, sum(CAST(w AS DOUBLE) / (60 + rank)) AS s, min(rank) AS best_rank, bool_or(f = 'v') AS hv, bool_or(f = 'l') AS hl FROM lanes GROUP BY 1)"""
 
@@ -80,18 +81,26 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + FUSED + """, f AS (SELECT chunk_id, s FROM fused ORDER BY s DESC, best_rank, CAST(chunk_id AS VARCHAR) LIMIT 20),
     e AS (SELECT doc_id AS chunk_id, item_id AS query, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM benchmark b
-        JOIN documents d ON strpos(d.text, substr(b.text, 1, 40)) > 0),
+        JOIN documents d ON strpos(d.text, b.text) > 0),
     first AS (SELECT DISTINCT chunk_id FROM e WHERE rank = 1)
     SELECT chunk_id, 0 AS appended FROM f UNION ALL SELECT chunk_id, 1 FROM first WHERE chunk_id NOT IN (SELECT chunk_id FROM f)""")
 def protected_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the queries are a stated set of a few dozen passages, met by every document
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage")))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = docs.join(items, F.expr("instr(text, passage) > 0")).select("query", "chunk_id", F.col("chunk_id").alias("rank"), F.lit(0.0).alias("score"), F.lit(True).alias("is_exact"))
+    hits = contains_join(docs, "text", items, "passage").select("query", "chunk_id", F.col("chunk_id").alias("rank"), F.lit(0.0).alias("score"), F.lit(True).alias("is_exact"))
     return R.retain_protected(fused(spark, sf_dir), hits).select("chunk_id", "appended")
 
 
-@query()
+@query("WITH " + SCORED + """, v AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY s DESC, vec_id) AS rank FROM scored ORDER BY rank LIMIT 30),
+    top AS (SELECT label, avg(s) AS m FROM scored GROUP BY label ORDER BY round(m, 9) DESC, label LIMIT 3),
+    b AS (SELECT vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY s.label ORDER BY s DESC, vec_id) AS n FROM scored s JOIN top USING (label)),
+    p AS (SELECT vec_id AS chunk_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM b WHERE n <= 2),
+    x AS (SELECT doc_id, n_chars, strpos(lower(text), 'est') > 0 AS exact FROM documents ORDER BY exact DESC, n_chars, doc_id LIMIT 30),
+    l AS (SELECT doc_id AS chunk_id, row_number() OVER (ORDER BY n_chars, doc_id) AS rank FROM x WHERE exact),
+    lanes AS (SELECT chunk_id, rank, 0.7::DOUBLE AS w, 'v' AS f FROM v UNION ALL SELECT chunk_id, rank, 0.2::DOUBLE, 'v' FROM p UNION ALL SELECT chunk_id, rank, 0.1::DOUBLE, 'l' FROM l),
+    fused AS (SELECT chunk_id, sum(w / (60 + rank)) AS s, min(rank) AS best_rank, bool_or(f = 'v') AS hv, bool_or(f = 'l') AS hl FROM lanes GROUP BY 1)
+    SELECT chunk_id, round(s, 9) AS score, CAST(best_rank AS BIGINT) AS best_rank, CASE WHEN hv AND hl THEN 'hybrid' WHEN hv THEN 'vector' ELSE 'lexical' END AS match_type
+    FROM fused ORDER BY s DESC, best_rank, CAST(chunk_id AS VARCHAR) LIMIT 20""")
 def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan, vector and lexical lanes, top documents and their chunks, fusion: the flagship."""
     best = profile_then_chunks(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), "score").orderBy(F.desc("score"), "chunk_id")

@@ -24,13 +24,13 @@ def retrieval_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(body).alias("digest"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '([^0-9]\.|^\.|\.$|\.[^0-9])', '\1', 'g'), '\x{1}'), lambda x: trim(x) <> '')) > 0 AS some,
-    length(text) AS chars FROM documents WHERE length(trim(text)) > 0""")
+@query(r"""WITH p AS (SELECT doc_id, regexp_replace(regexp_replace(text, '([0-9])\.([0-9])', '\1' || chr(2) || '\2', 'g'), '([0-9])\.([0-9])', '\1' || chr(2) || '\2', 'g') AS t FROM documents),
+    s AS (SELECT doc_id, list_filter(string_split(replace(replace(replace(t, '.', '.' || chr(1)), '。', '。' || chr(1)), chr(2), '.'), chr(1)), lambda x: trim(x) <> '') AS s FROM p)
+    SELECT doc_id, len(s) AS pieces, md5(array_to_string(s, chr(1))) AS digest FROM s""")
 def sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sentences each text has, and a digest of them all."""
     pieces = T.sentences(F.col("text"))
-    whole = F.array_join(T.sentences(F.col("text")), "")
-    rows = table(spark, sf_dir, "documents").where("length(trim(text)) > 0")
-    return rows.select("doc_id", (F.size(pieces) > 0).alias("some"), F.greatest(F.length(whole), F.length("text")).alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(pieces).cast("long").alias("pieces"), F.md5(F.array_join(pieces, "\u0001")).alias("digest"))
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -57,17 +57,20 @@ def overlay_splice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("length(text) >= 20").select("doc_id", F.md5(T.splice(F.col("text"), spans)).alias("digest"))
 
 
-@query("SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) + 4 AS tokens FROM documents WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]')")
+@query("""WITH c AS (SELECT doc_id, octet_length(encode(text)) AS b, len(regexp_extract_all(text, '[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]')) AS n FROM documents)
+    SELECT doc_id, n + CAST(ceil((b - 3 * n) / 4.0) AS BIGINT) + 4 AS tokens FROM c""")
 def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}]"))
-    return rows.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-PAIRS = """pairs AS (SELECT conv_id, turn, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS a, lag(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60)) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)"""
+#: DuckDB's distance counts bytes: characters beyond ASCII stand for control characters that no turn holds, one for one.
+PAIRS = """odd AS (SELECT coalesce(string_agg(DISTINCT c, ''), '') AS c FROM (SELECT unnest(string_split(regexp_replace(text, '[\\x00-\\x7f]', '', 'g'), '')) AS c FROM conversations) x),
+    plain AS (SELECT conv_id, turn, translate(text, odd.c, substr(array_to_string(list_transform(list_concat(range(1, 9), range(11, 13), range(14, 32)), lambda i: chr(CAST(i AS INTEGER))), ''), 1, length(odd.c))) AS a FROM conversations, odd),
+    pairs AS (SELECT *, lag(a) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM plain)"""
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring turns, whole and with all characters (PAIRS cuts them, and its distance counts bytes)."""
+    """Neighbouring turns, whole and with all characters."""
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
@@ -93,6 +96,12 @@ def edit_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("conv_id", "turn", F.expr("o.substitutions + o.deletions + o.insertions").cast("long").alias("edits"), F.expr("o.deletions - o.insertions").cast("long").alias("longer"))
 
 
+@query(f"WITH {PAIRS} SELECT conv_id, turn, levenshtein(a, b) / greatest(1, length(b))::DOUBLE <= 0.35 AS corrected FROM pairs WHERE b IS NOT NULL")
+def guarded_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A correction within 0.35 of the original's length is taken, any other keeps the original."""
+    return pairs(spark, sf_dir).select("conv_id", "turn", T.is_near(F.col("b"), F.col("a")).alias("corrected"))
+
+
 @query("""SELECT conv_id, turn, CAST((length(text) - length(replace(text, 'th', ''))) // 2 AS BIGINT) AS starts FROM conversations""")
 def overlapping_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.overlapping_starts(F.col("text"), F.lit("th"))).cast("long").alias("starts"))
@@ -155,8 +164,11 @@ def rows_only_search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.search_chunks(view(spark, sf_dir, "utt"))
 
 
-@query()
-def rows_only_budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(ctes("utt").replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT recording_id, length(text) AS n, row_number() OVER (PARTITION BY recording_id ORDER BY utterance_index) AS i FROM utt),
+    r(recording_id, i, batch, total) AS (SELECT recording_id, i, 0, n FROM n WHERE i = 1
+        UNION ALL SELECT n.recording_id, n.i, CASE WHEN total + n > 3000 THEN batch + 1 ELSE batch END, CASE WHEN total + n > 3000 THEN n ELSE total + n END FROM r JOIN n ON n.recording_id = r.recording_id AND n.i = r.i + 1)
+    SELECT recording_id, CAST(batch AS BIGINT) AS batch, count(*) AS rows, CAST(max(total) AS BIGINT) AS total FROM r GROUP BY 1, 2""")
+def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     utt = view(spark, sf_dir, "utt").select("recording_id", "utterance_index", F.length("text").alias("n"))
     return Q.budget_batches(utt, "recording_id", "utterance_index", "n", 3000)
 

@@ -1,12 +1,10 @@
 """What the review of round 1 found left out."""
 
-import math
 import random
 
 import pytest
 
 from lumenspan.functions.similarity import edit_counts, indel_ratio
-from lumenspan.llm import ngram_join, pii
 from lumenspan.plans import registry
 
 
@@ -77,55 +75,6 @@ def test_distances_are_of_whole_turns_with_all_characters(spark, tables):
     assert run("cer_micro_macro") == [pytest.approx(x) for x in want]
 
 
-def test_copies_of_passages_do_not_hide_a_disclosing_term(spark):
-    rng = random.Random(6)
-    words = lambda n: " ".join("".join(rng.choice("bcdfg") for _ in range(6)) for _ in range(n))
-    passages = [f"{words(8)} quarry ann@mail.example {words(8)}" for _ in range(3)]
-    texts = [p for p in passages for _ in range(30)] + [words(20) for _ in range(300)]
-    # several contexts in one document are one document of the pair; alone, the entity counts too
-    texts += [" ".join(f"{words(8)} harbour bob@mail.example {words(8)}" for _ in range(6))] + [f"{words(9)} harbour" for _ in range(5)] + ["bob@mail.example"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    found = pii.find_base(docs)
-    got = {r.term: r.disclosure for r in pii.disclosing(found, docs, generalise=-9.0).where("term in ('quarry', 'harbour')").collect()}
-    n = len(texts)
-    assert got["quarry"] == pytest.approx(1.0)
-    assert got["harbour"] == pytest.approx(math.log2(1 * n / (6 * 2)) / math.log2(n / 2))
-
-
-def test_a_link_whose_sets_require_different_numbers(spark):
-    """12 of 16 shingles, all shared entries in large groups, as many as the smaller set requires and fewer than the larger does."""
-    rng = random.Random(8)
-    words = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(8)) for _ in range(n)]
-
-    def signatures(text):
-        s, m, _, band, required = ngram_join.entries(*ngram_join.Shingler().sets([" ".join(text)]))
-        return next(((set(s[m == i].tolist()), int(required[i])) for i in range(len(band)) if band[i] == 4), (set(), 0))
-
-    while True:
-        small = words(16)
-        large = small + words(4)
-        (a, ra), (b, rb) = signatures(small), signatures(large)
-        if not ra <= len(a & b) < rb:
-            continue
-        fillers = []
-        for want in a & b:
-            found = []
-            for _ in range(1500):
-                at = rng.randrange(12)
-                text = words(4) + small[at : at + 5] + words(13)
-                if signatures(text)[0] & (a | b) == {want}:
-                    found.append(text)
-                if len(found) == 6:
-                    break
-            fillers.append(found)
-        if all(len(f) == 6 for f in fillers):
-            break
-    texts = [" ".join(t) for t in [small, large, *(t for f in fillers for t in f)]]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()}
-    assert got == {i: max(0, i - (i == 1)) for i in range(len(texts))}
-
-
 def test_a_protected_hit_holds_the_whole_passage(spark, tables):
     opening = "a benchmark passage that begins with the same words "
     tables("benchmark", [(1, opening + "and ends so")], "item_id long, text string")

@@ -15,11 +15,13 @@ def test_normalize_search(spark):
     assert one(spark, T.normalize_search(F.lit("Ｈello，\n WORLD!  x")))[0] == "hello world x"
 
 
-def test_spoken_variants():
-    got = T.spoken_variants("1121")
-    assert got[0] == "1121" and len(got) == 9 and got[1] == "一一二一" and got[2] == "幺一二一"
-    assert T.spoken_variants("none") == ["none"]
-    assert len(T.spoken_variants("1" * 10)) == 16
+def test_spoken_variants(spark):
+    said = lambda *texts: [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.normalize_search(F.col("t")).alias("t")).select(T.spoken_variants(F.col("t")).alias("v")).collect()]
+    got = said("会议室１０１７", "1121", "none", "", None, "1" * 10, "1" * 70)
+    assert got[0] == ["会议室1017", "会议室一零一七", "会议室幺零幺七", "会议室幺零一七", "会议室一零幺七"]
+    assert got[1][:3] == ["1121", "一一二一", "幺幺二幺"] and len(got[1]) == len(set(got[1])) == 9
+    assert got[2:5] == [["none"], [], []]
+    assert len(got[5]) == len(got[6]) == 16 and got[6][2] == "幺" * 70 and got[6][3] == "幺" + "一" * 69
 
 
 def test_sentences_keep_decimals(spark):
