@@ -15,14 +15,21 @@ HOT_SHARE = 1 / 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set."""
+    """The folder that driver and executors share.
+
+    Only a session of one machine (master local) may leave spark.checkpoint.dir
+    unset: it gets a folder of its own.  On a cluster that is an error, as
+    executors would not see such a folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         if found.isDefined():
             return found.get()
-        base = "file://" + tempfile.mkdtemp(prefix="lumenspan-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lumenspan-"))
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
 
 
@@ -93,6 +100,54 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     return joined.select(*rows.columns, *[got[c].alias(c) for c in others])
 
 
+#: Bits of a set of marks at most; 32 MB when it is broadcast.
+MOST_BITS = 1 << 28
+_LEAST_BITS = 1 << 15
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(bits)) + 1
+
+
+def marks(keys: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """A bitmap of 64-bit keys (one column), as rows of 4 KB, and its number of bits.
+
+    There are 16 bits and more for each of ``count`` keys up to MOST_BITS;
+    beyond, more rows than needed are taken for marked, which costs time only:
+    whoever uses a mark decides exactly afterwards.
+    """
+    bits = _LEAST_BITS
+    while bits < 16 * count and bits < MOST_BITS:
+        bits *= 2
+    place = _bit(F.col(keys.columns[0]), bits)
+    cut = keys.select(F.bitmap_bucket_number(place).alias("__part"), F.bitmap_bit_position(place).alias("__at")).repartition("__part")
+    return cut.groupBy("__part").agg(F.bitmap_construct_agg("__at").alias("__map")), bits
+
+
+def marked(rows: DataFrame, key: Column, marks_: tuple[DataFrame, int]) -> DataFrame:
+    """rows with ``__hit``: whether the key's bit is set.  Rows stay where they are; the bitmap is broadcast."""
+    table_, bits = marks_
+    place = _bit(key, bits)
+    at = F.bitmap_bit_position(place)
+    return (
+        rows.withColumn("__at", at).join(F.broadcast(table_), F.bitmap_bucket_number(place) == F.col("__part"), "left")
+        .withColumn("__byte", F.expr("cast(conv(hex(substring(__map, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)"))
+        .withColumn("__hit", F.expr("coalesce((shiftright(__byte, cast(__at % 8 as int)) & 1) = 1, false)"))
+        .select(*[F.col(f"`{c}`") for c in rows.columns], "__hit")
+    )
+
+
+def among(rows: DataFrame, key: Column, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose key may be one of keys (one column): all that are, and few others."""
+    return marked(rows, key, marks(keys, count)).where("__hit").drop("__hit")
+
+
+def apart(rows: DataFrame, key: Column, keys: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely none of keys, the other rows): only the others need a join, so only they are shuffled."""
+    told = marked(rows, key, marks(keys, count))
+    return told.where(~F.col("__hit")).drop("__hit"), told.where("__hit").drop("__hit")
+
+
 class Words(dict):
     """Numbers words as they are first looked up; ``new`` holds those that its owner has yet to work out."""
 
@@ -111,7 +166,7 @@ def crc_mod(column: Column, n: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(n))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b), component the smallest node reachable.
 
     Alternates the large-star and small-star steps; every step is one
@@ -124,7 +179,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     ).where("u <> v").distinct()
     current = written(both, "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         sides = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -150,7 +205,5 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if (state["n"], state["h"]) == seen:
             break
         seen = (state["n"], state["h"])
-    else:
-        raise RuntimeError("components: no fixpoint")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
