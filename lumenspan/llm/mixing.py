@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_EPOCHS = 2
-#: Rows that one bucket of the shuffled order holds on average; a bucket is the unit of every running sum.
-BUCKET_ROWS = 20_000
-MOST_BUCKETS = 1 << 16
+SEED = 7
+#: Bits of the shuffled order's key.
+ORDER_BITS = 60
+#: Rows of a small table (a source, a part of its queue) that are broadcast at most; beyond, it is joined.
+BROADCAST_ROWS = 1_000_000
+#: Rows of the mix that one output partition holds on average.
+PART_ROWS = 20_000
+LEAST_ID = -(1 << 63)
 
 
-def _place(source):
+def _key(source: Column, bucket: Column) -> Column:
     """A bucket's key; one that also joins null sources."""
-    return F.concat(F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), F.lit("\u0002"), F.col("b").cast("string"))
+    return F.concat(F.coalesce(F.concat(F.lit("s"), source), F.lit("n")), F.lit("\u0002"), bucket.cast("string"))
+
+
+def _order(doc_id: Column, seed: int) -> Column:
+    """The shuffled order: 60 bits of a hash of seed and id, which SQL can say too."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+    return F.conv(F.substring(digest, 1, ORDER_BITS // 4), 16, 10).cast("long")
+
+
+def _words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _root(n: int) -> int:
+    """The power of two next above the square root: as many buckets as a bucket has rows."""
+    k = 1
+    while k * k < n:
+        k *= 2
+    return k
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS) -> DataFrame:
@@ -52,103 +81,140 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     )
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = 7, extra: list[str] | None = None,
-) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row of docs.
+@dataclass
+class Queue:
+    """A mix that has been worked out; its tables are in the shared folder.
 
-    Documents of a source queue in the order of a seeded hash.  A document's
-    virtual finish time is the running sum of its source's words divided by
-    the source's target, and another pass of the source's whole queue follows
-    for each further epoch.  The queue of all sources, ordered by finish time,
-    is cut at the sum of all targets.  ``taken`` is the document's size times
-    the number of its places before the cut.
-
-    Running sums are taken in two steps, over buckets of the uniform hash and
-    then inside a bucket, so no source is ever gathered; the same holds for
-    the cut.  Null or empty text has size 0 and takes nothing; a null source
-    is a source; repeated rows and ties of the hash are ordered by id, equal
-    ids taking places in either order.  Two runs give the same rows.
+    rows: doc_id, source, size, source_size, target, o, cum and the extra
+    columns of each row, cum counting the words of its source's queue through
+    it.  places: source, e, c, size, o, i, v of the places before the cut, in
+    pass e of the source's queue, c counting the words of its passes.  parts:
+    k, before, words of each bucket of each source's queue.
     """
-    extra = extra or []
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *extra)
-    sized = written(
-        sized.select("*", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 1).alias("__o")), "sizes"
-    )
+
+    rows: DataFrame
+    places: DataFrame
+    parts: DataFrame
+    shift: int
+    passes: int
+
+
+def queue(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, most: float, seed: int, extra: list[str]) -> Queue:
+    """Line up all documents, and range-sort all places of all sources by finish time up to the budget.
+
+    Two running sums are needed, over a source's queue and over the whole
+    line.  Both are taken in two steps, over ranges of the order and then
+    inside a range, as many ranges as a range has rows, so that neither a
+    source nor the line is ever gathered.  Ranges of a source's queue are of
+    equal width in a uniform hash; those of the line are of equal width in
+    finish time, in which words lie evenly because every source's target is
+    reached at time 1.
+    """
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _words(F.col(text_col)).alias("size"), *extra)
+    sized = written(sized.select("*", _order(F.col("doc_id"), seed).alias("o")), "sizes")
     rows = sized.count()
-    buckets = 1
-    while buckets * BUCKET_ROWS < rows and buckets < MOST_BUCKETS:
-        buckets *= 2
-    shift = 63 - (buckets.bit_length() - 1)
-    sized = sized.withColumn("b", F.shiftright("__o", shift) if shift < 63 else F.lit(0).cast("long"))
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    sources = written(sources, "sources")
-    goal = targets(sources.select("source", "source_size"), weights, share, most)
-    by_bucket = sized.groupBy("source", "b").agg(F.sum("size").alias("s"))
+    buckets = _root(rows)
+    shift = ORDER_BITS - (buckets.bit_length() - 1)
+    sized = sized.withColumn("k", _key(F.col("source"), F.shiftright("o", shift))).withColumn("i", F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)))
+    sources = written(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    goal = written(targets(sources, weights, share, most), "targets")
+    by_bucket = sized.groupBy("source", F.shiftright("o", shift).alias("b"), "k").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = by_bucket.select("source", "b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("offset"))
-    meta = offsets.join(goal, offsets["source"].eqNullSafe(goal["source"])).select(
-        _place(offsets["source"]).alias("k"),
-        "offset", "source_size", "target",
-    )
-    inside = Window.partitionBy("source", "b").orderBy("__o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    summed = sized.withColumn("run", F.sum("size").over(inside)).withColumn("k", _place(F.col("source")))
-    placed = summed.join(meta, "k", "left").withColumn("cum", F.col("offset") + F.col("run"))
-    placed = written(placed.select("doc_id", "source", "size", "source_size", "target", "cum", "__o", *extra), "queue")
-    epochs = [
-        F.when((F.col("target") > 0) & (F.col("size") > 0), (F.col("cum") + F.lit(e) * F.col("source_size")) / F.col("target"))
-        for e in range(max(1, -int(-most // 1)))
-    ]
-    # the cut: finish times are counted in fine bins; the bin in which the budget ends is sorted
-    bins = max(1024, min(MOST_BUCKETS, buckets * 1024))
+    offsets = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    same = offsets["source"].eqNullSafe(goal["source"])
+    parts = written(offsets.join(_small(goal), same).select("k", "before", "words", "source_size", "target"), "parts")
+    inside = Window.partitionBy("k").orderBy("o", "i", "size").rowsBetween(Window.unboundedPreceding, 0)
+    summed = sized.withColumn("run", F.sum("size").over(inside))
+    lined = summed.join(parts.select("k", "before", "source_size", "target"), "k", "left").withColumn("cum", F.col("before") + F.col("run"))
+    lined = written(lined.select("doc_id", "i", "source", "size", "source_size", "target", "o", "cum", *extra), "queue")
+    passes = max(1, -int(-most // 1))
+    turns = F.explode(F.array(*[F.lit(e) for e in range(passes)])).alias("e")
+    line = lined.where("size > 0 and target > 0").select("source", "size", "o", "i", turns, "cum", "source_size", "target")
+    line = line.withColumn("c", F.col("cum") + F.col("e") * F.col("source_size")).withColumn("v", F.col("c") / F.col("target"))
+    width = _root(rows * passes)
+    line = line.withColumn("range", F.least(F.floor(F.col("v") * width), F.lit(4 * width)).cast("long"))
+    counted = line.groupBy("range").agg(F.sum("size").alias("words"))
+    done = F.coalesce(F.sum("words").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     budget = goal.agg(F.sum("target")).first()[0] or 0.0
-    limit = 2.0
-    in_bin = lambda v: F.least(F.floor(v / F.lit(limit) * bins), F.lit(bins)).cast("long")
-    finish = placed.select("source", "__o", "doc_id", "size", F.explode(F.array(*epochs)).alias("v")).where("v is not null")
-    counted = finish.groupBy(in_bin(F.col("v")).alias("bin")).agg(F.sum("size").alias("s"))
-    total = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (
-        counted.withColumn("through", F.sum("s").over(total)).where(F.col("through") > F.lit(budget))
-        .orderBy("bin").limit(1).collect()
-    )
-    if cut:
-        edge, done = cut[0]["bin"], cut[0]["through"] - cut[0]["s"]
-        last = Window.orderBy("v", F.col("source").isNull(), "source", "__o", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        inner = finish.where(in_bin(F.col("v")) == edge).withColumn("through", F.sum("size").over(last) + F.lit(done))
-        top = inner.where(F.col("through") <= F.lit(budget)).agg(F.max("v")).first()[0]
-        stop = top if top is not None else edge * limit / bins
-        passes = [F.when(in_bin(v) < edge, 1).when((in_bin(v) == edge) & (v <= F.lit(stop)) & F.lit(top is not None), 1).otherwise(0) for v in epochs]
-    else:
-        passes = [F.when(v.isNotNull(), 1).otherwise(0) for v in epochs]
-    times = sum(passes[1:], passes[0])
-    return placed.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * times).cast("long").alias("taken"), *extra)
+    ranges = written(counted.select("range", done.alias("done")).where(F.col("done") < F.lit(budget)), "ranges")
+    order = Window.partitionBy("range").orderBy("v", F.col("source").isNull(), "source", "o", "i", "size").rowsBetween(Window.unboundedPreceding, 0)
+    running = line.join(_small(ranges), "range").withColumn("through", F.col("done") + F.sum("size").over(order))
+    places = running.where(F.col("through") <= F.lit(budget)).select("source", "e", "c", "size", "o", "i", "v")
+    out = Queue(lined, written(places, "places"), parts, shift, passes)
+    discard(sized)
+    return out
 
 
+def _defaults(options: dict) -> dict:
+    return {"weights": WEIGHTS, "share": SHARE, "most": MOST_EPOCHS, "seed": SEED} | options
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; columns as they were.
 
-    A row's number of passes is joined back by id and a hash of source and
-    text, so rows that repeat an id with other texts keep their own; of fully
-    equal rows each gets the passes of all on average, the extra ones going
-    to either.  Rows of size 0 take nothing and go.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row of docs.
+
+    Documents of a source queue in the order of a seeded hash of their ids.  A
+    document's virtual finish time is the running sum of its source's words
+    divided by the source's target, and another pass of the source's whole
+    queue follows for each further epoch.  The line of all sources, sorted by
+    finish time, source and order, is cut where the next place would exceed
+    the sum of all targets.  ``taken`` is the document's size times the number
+    of its places before the cut, which are a prefix of its source's queue.
+
+    Null or empty text has size 0 and takes nothing; a null source is a source
+    and comes last; a null id comes first of equal hashes; repeated rows and
+    ties of the hash are ordered by id, then by size, and rows that are equal
+    in these take places in either order.  Two runs give the same rows.  An
+    empty table gives an empty result.  Options: weights, share, most, seed.
+    """
+    line = queue(docs, id_col, text_col, source_col, extra=[], **_defaults(options))
+    ends = written(line.places.groupBy("source").agg(F.max("c").alias("end")).select(F.col("source").alias("s"), "end"), "ends")
+    rows = line.rows.join(_small(ends), F.col("source").eqNullSafe(F.col("s")), "left")
+    taken = [F.when((F.col("size") > 0) & (F.col("cum") + e * F.col("source_size") <= F.col("end")), 1).otherwise(0) for e in range(line.passes)]
+    return rows.select("doc_id", "source", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * sum(taken[1:], taken[0])).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """docs with each row as often as the mix takes it, columns as they were, written in the order of the line.
+
+    The places before the cut are a prefix of each source's queue, so the last
+    place of each source tells of every row how often it is taken: texts are
+    joined with nothing but these ends and the parts of the queues.  They are
+    shuffled once, to be dealt by finish time; a row's time is read off its
+    place inside its part of the queue.  Rows equal in id and size at the very
+    end of a source share its last pass, one of them standing for those taken.
+    Rows of size 0 take nothing and go.
     """
+    options = _defaults(options)
     names = docs.columns
-    same = F.xxhash64(F.col(f"`{source_col}`").cast("string"), F.col(f"`{text_col}`"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(f"`{id_col}`").alias("__id"), same.alias("__h"))
-    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"), same.alias("h"))
-    taken = mix(own, extra=["h"], **options).where("taken > 0").select("doc_id", "h", (F.col("taken") / F.col("size")).cast("int").alias("n"))
-    taken = written(taken.groupBy("doc_id", "h").agg(F.sum("n").alias("n"), F.count("*").alias("rows")), "passes")
-    joined = marked.join(taken, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h")))
-    # equal rows stand side by side, so that the first of them give what all take together
-    repeated = not taken.where("rows > 1").isEmpty()
-    if repeated:
-        place = F.row_number().over(Window.partitionBy("__id", "__h").orderBy("__h"))
-        twice = joined.where("rows > 1").withColumn("__p", place).withColumn(
-            "n", F.floor(F.col("n") / F.col("rows")).cast("int") + F.when(F.col("__p") <= F.col("n") % F.col("rows"), 1).otherwise(0)
-        )
-        joined = joined.where("rows = 1").select("__row", "n").unionByName(twice.select("__row", "n"))
-    again = joined.where("n > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("__e"))
-    return again.select(*[F.col("__row").getField(c).alias(c) for c in names])
+    own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    line = queue(own, "doc_id", "text", "source", extra=[], **options)
+    last = line.places.groupBy("source").agg(F.max(F.struct("e", "o", "i", "size")).alias("z")).select(F.col("source").alias("s"), "z.*")
+    last = written(last.select("s", *[F.col(c).alias(f"z_{c}") for c in ("e", "o", "i", "size")]), "last")
+    at_end = F.col("source").eqNullSafe(F.col("s")) & (F.col("o") == F.col("z_o")) & (F.col("i") == F.col("z_i")) & (F.col("size") == F.col("z_size"))
+    few = _small(last)
+    taken = line.places.join(few, at_end & (F.col("e") == F.col("z_e"))).groupBy(F.col("s").alias("t")).agg(F.count("*").alias("taken_last"))
+    there = line.rows.join(few, at_end).groupBy(F.col("s").alias("r")).agg(F.count("*").alias("rows_last"))
+    ends = last.join(taken, F.col("s").eqNullSafe(F.col("t"))).join(there, F.col("s").eqNullSafe(F.col("r"))).drop("t", "r")
+    ends = written(ends, "ends")
+    id_, text, source = (F.col(f"`{c}`") for c in (id_col, text_col, source_col))
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), source.cast("string").alias("source"), _order(id_, options["seed"]).alias("o"),
+        F.coalesce(id_.cast("long"), F.lit(LEAST_ID)).alias("i"), _words(text).alias("size"),
+    ).where("size > 0")
+    rows = rows.join(_small(ends), F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.withColumn("k", _key(F.col("source"), F.shiftright("o", line.shift))).join(_small(line.parts), "k")
+    inner = F.col("o").bitwiseAND(F.lit((1 << line.shift) - 1)) / F.lit(float(1 << line.shift))
+    rows = rows.withColumn("v", (F.col("before") + inner * F.col("words")) / F.col("target"))
+    mine, end = F.struct("o", "i", "size"), F.struct(*[F.col(f"z_{c}").alias(c) for c in ("o", "i", "size")])
+    through = (mine < end) | ((mine == end) & (F.col("taken_last") == F.col("rows_last")))
+    step = F.col("source_size") / F.col("target")
+    whole = rows.withColumn("n", F.col("z_e") + F.when(through, 1).otherwise(0)).where("n > 0")
+    whole = whole.select("__row", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda e: F.col("v") + e * step)).alias("v"))
+    shared = rows.where((mine == end) & (F.col("taken_last") < F.col("rows_last"))).groupBy("s").agg(F.first(F.struct("__row", (F.col("v") + F.col("z_e") * step).alias("v"), "taken_last")).alias("r"))
+    shared = shared.select("r.__row", F.explode(F.array_repeat(F.col("r.v"), F.col("r.taken_last").cast("int"))).alias("v"))
+    n, latest = line.places.agg(F.count("*"), F.max("v")).first()
+    spark = docs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART_ROWS)
+    part = F.least(F.floor(F.col("v") / F.lit(latest or 1.0) * parts), F.lit(parts - 1)).cast("int")
+    out = whole.unionByName(shared).repartitionById(parts, part).sortWithinPartitions("v")
+    return out.select(*[F.col("__row").getField(c).alias(c) for c in names])

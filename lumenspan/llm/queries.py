@@ -94,6 +94,63 @@ ORACLE = {
                CASE WHEN n >= 1000 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> first_id THEN first_id END AS refers_to
         FROM q""",
+    "op7_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                ('0x' || substr(md5('7:' || doc_id), 1, 15))::BIGINT AS o FROM documents),
+        s AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+        w AS (
+            SELECT *, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight,
+                source_size * 2.0::DOUBLE AS cap FROM s),
+        l AS (
+            SELECT *, ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(weight) FROM w) - coalesce(sum(weight) OVER b, 0)) AS level
+            FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (
+            SELECT source, source_size, CASE WHEN f.level IS NULL THEN cap ELSE least(cap, f.level * weight) END AS target
+            FROM l, (SELECT arg_min(level, cap / weight) FILTER (WHERE cap > level * weight) AS level FROM l) f),
+        q AS (
+            SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS cum
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        p AS (SELECT *, (cum + e * source_size) / target AS v FROM q, (SELECT unnest([0, 1]) AS e) WHERE size > 0 AND target > 0),
+        r AS (
+            SELECT *, sum(size) OVER (ORDER BY v, source NULLS LAST, o, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS through FROM p),
+        n AS (SELECT doc_id, count(*) AS times FROM r WHERE through <= (SELECT sum(target) FROM t) GROUP BY doc_id)
+        SELECT q.doc_id, size, CAST(source_size AS BIGINT) AS source_size, target, CAST(size * coalesce(times, 0) AS BIGINT) AS taken
+        FROM q LEFT JOIN n ON q.doc_id = n.doc_id""",
+    "op8_embedding_join": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+        r(a, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+        m AS (SELECT a, min(c) AS c FROM r GROUP BY a),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, c = vec_id AS kept FROM embeddings JOIN m ON m.a = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op9_repeats": """
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, b, substr(h, 2 * b + 1, 298) AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49, 100)) AS b FROM d)),
+        w AS (SELECT doc_id, b + j AS i, substr(h, 2 * j + 1, 100) AS s FROM (SELECT doc_id, b, h, unnest(range(least(100, len(h) // 2 - 49))) AS j FROM c)),
+        f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+        t AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM w JOIN f USING (s) WHERE doc_id > m),
+        g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM t),
+        r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, g),
+        p AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+        k AS (
+            SELECT doc_id, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept, count(*) AS n
+            FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+        SELECT doc_id, len(h) // 2 AS n_bytes, (len(h) - len(coalesce(kept, h))) // 2 AS n_removed, coalesce(n, 0) AS n_spans,
+            sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
+    "op10_ngram_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, 1 + greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        r(a, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+        m AS (SELECT a, min(c) AS c FROM r GROUP BY a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, c AS component_id FROM d JOIN m ON m.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
 }
 
 
