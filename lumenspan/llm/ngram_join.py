@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, attach, components, discard, small_batches, worker_cache, written
+from .common import Words, among, apart, attach, components, discard, small_batches, worker_cache, written
 
 WORDS = 5
 #: The similarity, in hundredths.
@@ -29,13 +29,17 @@ LEAST_SEGMENTS = 16
 SLACK = 0.4
 #: Entries of up to this many sets give all their pairs at once; larger ones are solved by families.
 SMALL_GROUP = 4
-#: Sets that a task holds while the members of their family stream past.
-FAMILY_PART = 2048
+#: Sets of a family's block on average; a task compares the sets of two blocks.
+BLOCK = 256
+#: Sets that all of a larger family are compared with before its blocks are.
+PIVOTS = 2
 #: Entries that one task of the index holds on average.
-TASK_ENTRIES = 500_000
+TASK_ENTRIES = 250_000
 KEPT_WORDS = 100_000
-#: Sets that are verified reach the documents as a broadcast up to this many ids, and by a join beyond.
-BROADCAST_IDS = 1_000_000
+#: Bins in which shingles of uncovered sets are counted; a table of so many numbers is broadcast, whatever the input.
+COUNT_BINS = 1 << 20
+#: Rows of a table of families that are broadcast at most; beyond, it is joined.
+BROADCAST_ROWS = 1_000_000
 TEXTS = 256
 
 U = np.uint64
@@ -352,11 +356,10 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set) of the given documents; texts are not shuffled while the ids are few enough to broadcast."""
+    """(doc_id, set) of the given documents; only texts that a bitmap of their ids marks are shuffled."""
     rows = docs.select("doc_id", "text").where("doc_id is not null")
-    few = ids.count() <= BROADCAST_IDS
-    side = ids.select(F.col("doc_id").alias("__i"))
-    rows = rows.join(F.broadcast(side) if few else side, F.col("doc_id") == F.col("__i"), "left_semi")
+    rows = among(rows, F.xxhash64("doc_id"), ids.select(F.xxhash64("doc_id")), ids.count())
+    rows = rows.join(ids.select(F.col("doc_id").alias("__i")), F.col("doc_id") == F.col("__i"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shingler(words)
@@ -376,9 +379,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Da
     sets = written(_sets_of(docs, written(ids, "ids"), words), "sets")
     right = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     both = right.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    out = written(both.where((common > 0) & (common * 100 >= union * percent)).select("a", "b").distinct(), "links")
+    out = written(both.where(_linked("sa", "sb", percent)).select("a", "b").distinct(), "links")
     discard(sets)
     return out
 
@@ -396,32 +397,125 @@ def _uncovered(stars: DataFrame, many: DataFrame) -> DataFrame:
     inside = written(stars.unionByName(leaders.select("a", F.col("a").alias("b"), "band")), "inside")
     least = inside.join(own.select(F.col("node").alias("b"), "band", "t"), ["b", "band"]).groupBy("a", "band").agg(F.min("t").alias("least"))
     least = written(least, "least")
-    least = F.broadcast(least) if least.count() <= BROADCAST_IDS else least
+    least = _small(least)
     needed = inside.join(least, ["a", "band"]).groupBy("b", "band").agg(F.min("least").alias("least"))
     more = needed.join(many.select(F.col("node").alias("b"), "band", "l"), ["b", "band"]).where("l >= least")
     return written(own.select("node").unionByName(more.select(F.col("b").alias("node"))).distinct(), "uncovered")
 
 
-def _families(stars: DataFrame, uncovered: DataFrame) -> DataFrame:
-    """(node, family) of the uncovered sets; any two that share an entry of a large group are in one family."""
-    edges = stars.join(uncovered.select(F.col("node").alias("b")), "b", "left_semi").select("a", "b")
-    place = components(edges).withColumnRenamed("component", "family")
-    return uncovered.join(place, "node", "left").select("node", F.coalesce("family", "node").alias("family"))
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _family_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) that span the links of each family; sets has node, family, set.
+def _linked(a: str, b: str, percent: int):
+    common = F.size(F.array_intersect(a, b))
+    return (common > 0) & (common * 100 >= (F.size(a) + F.size(b) - common) * percent)
+
+
+def _pivot_links(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of members linked with one of their family's pivots.
 
-    A family is cut into parts of FAMILY_PART sets.  A part's task holds an
-    inverted index of its own sets; all members of the family stream past and
-    count what they share.  Of a member's links one edge leaves, and what it
-    joins is united in the task, so pairs are never given out.
+    sets has node, family, l, set; sizes has family, n of families larger than
+    a block.  In each round the member not linked yet that is in most large
+    groups, the likeliest original of copies, is its family's pivot, and all
+    members are compared with it.  A family's rows are dealt in shares.
+    """
+    shares = F.ceil(F.col("n") / (4 * BLOCK)).cast("int")
+    own = sets.join(_small(sizes), "family").withColumn("share", F.pmod(F.xxhash64("node"), shares))
+    own = written(own.select("node", "family", "l", "n", "share", "set"), "large-families")
+    rest, found = own.select("node", "family", "l"), []
+    for _ in range(PIVOTS):
+        pivots = written(rest.groupBy("family").agg(F.max_by("node", F.struct("l", -F.col("node"))).alias("pivot")), "pivots")
+        if pivots.isEmpty():
+            break
+        held = own.join(_small(pivots.select("pivot")), F.col("node") == F.col("pivot")).select("family", "pivot", F.col("set").alias("__p"), F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+        met = own.join(held, ["family", "share"]).where((F.col("node") != F.col("pivot")) & _linked("set", "__p", percent))
+        edges = written(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")), "pivot-links")
+        found.append(edges)
+        done = edges.select(F.col("a").alias("node")).unionByName(pivots.select(F.col("pivot").alias("node")))
+        rest = written(rest.join(done, "node", "left_anti"), "rest")
+    out = found[0]
+    for edges in found[1:]:
+        out = out.unionByName(edges)
+    discard(own)
+    return out
+
+
+def _refined(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, family) of the sets that share a shingle of their prefixes, directly or over others.
+
+    A linked partner has at least the share ``percent`` of a set's shingles,
+    so of its rarest ones, as many as the others leave over and one more, one
+    at least is the partner's too, and in the partner's own prefix.  Rare goes
+    by counts in COUNT_BINS bins and then by hash; any order of all shingles
+    would keep every link.  Sets that only share a passage with many others
+    have rarer shingles of their own to fill their prefix, and so leave.
+    """
+    spark = sets.sparkSession
+    counted = sets.select(F.explode("set").alias("e")).groupBy(F.pmod("e", F.lit(COUNT_BINS)).cast("int").alias("bin")).agg(F.least(F.count("*"), F.lit((1 << 31) - 1)).cast("int").alias("n")).where("n > 1").toArrow()
+    counts = np.zeros(COUNT_BINS, np.int32)
+    counts[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
+    bound = spark.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = bound.value
+        for batch in batches:
+            column = batch.column(1)
+            flat, at, nodes = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), batch.column(0).to_numpy()
+            out, of = [], []
+            for i, node in enumerate(nodes.tolist()):
+                own = flat[at[i] : at[i + 1]]
+                times = counts[own & (COUNT_BINS - 1)]
+                first = np.lexsort((own, times))[: len(own) - -(-len(own) * percent // 100) + 1]
+                first = first[times[first] > 0]  # a bin of one shingle that one set has
+                out.append(own[first])
+                of.append(np.full(len(first), node, np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(of))], ["e", "node"])
+
+    prefixes = written(sets.select("node", "set").mapInArrow(run, "e long, node long").select(F.col("e").cast("string").alias("e"), "node"), "prefixes")
+    shared = written(prefixes.groupBy("e").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "shared")
+    edges = attach(prefixes, shared, "e", "size", prefixes.count(), F.col("node")).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    out = components(edges).withColumnRenamed("component", "family")
+    discard(prefixes)
+    return out
+
+
+def _family_links(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that span the links of each family; sets is a written table of node, family, l, set.
+
+    Members of a large family are compared with a few pivots first.  Members
+    that these join are joined already, so what remains is to compare the
+    others, those outside the family's largest joined part, with all.  For
+    that the others are cut into blocks, all members too, and a task compares
+    one block of others with one of all: its share is bounded, and a family of
+    any size spreads over as many tasks as it has pairs of blocks.  The task
+    holds an inverted index of the others' block; the other block's sets
+    stream past and count what they share.  Of a member's links one edge
+    leaves, and what it joins is united in the task, so pairs are never given
+    out.
     """
-    sizes = sets.groupBy("family").agg(F.ceil(F.count("*") / FAMILY_PART).cast("int").alias("subs"))
-    sets = sets.join(sizes, "family")
-    own = sets.select("family", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int").alias("sub"), F.lit(1).alias("core"), "node", "set")
-    every = sets.select("family", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"), F.lit(0).alias("core"), "node", "set")
-    rows = own.unionByName(every).repartition("family", "sub").sortWithinPartitions("family", "sub", F.desc("core"))
+    sizes = written(sets.groupBy("family").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > BLOCK)
+    pivots = None if large.isEmpty() else _pivot_links(sets, large, percent)
+    members = sets.select("node", "family")
+    if pivots is None:
+        place = members.withColumn("other", F.lit(True))
+    else:
+        label = components(pivots).withColumnRenamed("component", "label")
+        place = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        main = place.groupBy("family", "label").agg(F.count("*").alias("c")).where("c > 1").groupBy("family").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
+        place = place.join(_small(written(main, "main")), "family", "left").withColumn("other", F.coalesce(F.col("label") != F.col("main"), F.lit(True)))
+    place = written(place.select("node", "family", "other"), "places")
+    blocks = place.groupBy("family").agg(
+        F.ceil(F.count_if("other") / BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nj")
+    ).where("ni > 0")
+    rows = sets.join(place.select("node", "other"), "node").join(_small(written(blocks, "blocks")), "family")
+    block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    core = rows.where("other").select("family", block("ni", 1).alias("i"), each("nj").alias("j"), F.lit(1).alias("core"), "node", "set")
+    every = rows.select("family", each("ni").alias("i"), block("nj", 2).alias("j"), F.lit(0).alias("core"), "node", "set")
+    rows = core.unionByName(every).repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", F.desc("core"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets_, index, root = None, [], [], None, []
@@ -441,13 +535,13 @@ def _family_links(sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             edges = []
-            parts = zip(*[batch.column(c).to_pylist() for c in ("family", "sub", "core", "node")], strict=True)
+            parts = zip(*[batch.column(c).to_pylist() for c in ("family", "i", "j", "core", "node")], strict=True)
             column = batch.column(batch.schema.get_field_index("set"))
             flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            for i, (family, sub, core, node) in enumerate(parts):
-                if (family, sub) != key:
+            for i, (*cell, core, node) in enumerate(parts):
+                if cell != key:
                     edges += close()
-                    key, ids, sets_, index, root = (family, sub), [], [], None, []
+                    key, ids, sets_, index, root = cell, [], [], None, []
                 own = flat[at[i] : at[i + 1]]
                 if core:
                     ids.append(node)
@@ -484,7 +578,8 @@ def _family_links(sets: DataFrame, percent: int) -> DataFrame:
         if edges := close():
             yield out(edges)
 
-    return written(rows.mapInArrow(run, "a long, b long"), "family-links")
+    out = rows.mapInArrow(run, "a long, b long")
+    return written(out if pivots is None else out.unionByName(pivots), "family-links")
 
 
 def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: int | None = None) -> DataFrame:
@@ -499,12 +594,13 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
        groups that both may be in.
     2. A linked pair not seen in 1 shares the smaller of its two ``required``
        entries of large groups at least.  Sets in so many large groups, by
-       their own number or a partner's, are uncovered; those that share any of
-       these form families, and each family is compared within itself.
+       their own number or a partner's, are uncovered; those of them that
+       share a shingle of their prefixes form families, and each family is
+       compared within itself.
     """
     spark = docs.sparkSession
     total = docs.count() if total is None else total
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 8000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 4000)
     found = written(_groups(_index(docs, parts, words, percent), parts, percent), "groups")
     many = found.where("kind = 1").groupBy(F.col("b").alias("node"), "band").agg(F.sum("c").alias("l"), F.min("t").alias("t"))
     many = written(many, "large")
@@ -516,11 +612,12 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     pairs = small.where(enough).where("a < b").select("a", "b").distinct()
     # pairs inside a family are left to it
     if not uncovered.isEmpty():
-        families = written(_families(found.where("kind = 2").select("a", "b").distinct(), uncovered), "families")
+        weight = many.groupBy("node").agg(F.sum("l").alias("l"))
+        sets = written(_sets_of(docs, uncovered.select(F.col("node").alias("doc_id")), words), "sets").select(F.col("doc_id").alias("node"), "set")
+        families = written(_refined(sets, percent), "families")
         fa, fb = (families.select(F.col("node").alias(x), F.col("family").alias(f"f{x}")) for x in "ab")
         pairs = pairs.join(fa, "a", "left").join(fb, "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
-        sets = _sets_of(docs, families.select(F.col("node").alias("doc_id")), words).join(families, F.col("doc_id") == F.col("node"))
-        inside = _family_links(written(sets.select("node", "family", "set"), "sets"), percent)
+        inside = _family_links(written(sets.join(families.join(weight, "node"), "node").select("node", "family", "l", "set"), "family-sets"), percent)
     pairs = written(pairs, "pairs")
     out = _verified(docs, pairs, words, percent)
     return out if uncovered.isEmpty() else out.unionByName(inside)
@@ -558,8 +655,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = written(placed.select("doc_id", "h", "n", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     # of equal sets the smallest id stands for all
     gone = placed.where("rep <> doc_id").select(F.col("doc_id").alias("gd"), F.col("h").alias("gh")).distinct()
-    few = gone.count() <= BROADCAST_IDS
-    first = own.join(F.broadcast(gone) if few else gone, (F.col("doc_id") == F.col("gd")) & (F.col("h") == F.col("gh")), "left_anti")
+    gone = written(gone, "gone")
+    clean, doubtful = apart(own, F.xxhash64("doc_id", "h"), gone.select(F.xxhash64("gd", "gh")), gone.count())
+    first = clean.unionByName(doubtful.join(gone, (F.col("doc_id") == F.col("gd")) & (F.col("h") == F.col("gh")), "left_anti"))
     found = links(first.select("doc_id", "text"), words, percent, total)
     # a row hangs under its set's smallest id, and those under their component; ids repeated with other texts add links
     extra = placed.where("rep is not null").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b")
@@ -578,5 +676,6 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     groups = near_groups(docs, id_col, text_col, words, percent)
     gone = written(groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
+    id_ = F.col(f"`{id_col}`").cast("long")
+    clean, doubtful = apart(docs, F.xxhash64(id_), gone.select(F.xxhash64("__gone")), gone.count())
+    return clean.unionByName(doubtful.join(gone, id_ == F.col("__gone"), "left_anti"))
