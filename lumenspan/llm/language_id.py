@@ -9,6 +9,8 @@ probabilities come from expectation maximisation with the same sums.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -23,14 +25,33 @@ from .common import Words, crc_mod, small_batches, worker_cache, written
 
 UNKNOWN = "und"
 SPACE = "▁"
-LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _other_numbers() -> str:
+    """A character class's ranges of the numbers among word characters that are not digits, such as one half or a small two."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("Nl", "No")]
+    runs = []
+    for c in found:
+        if runs and c == runs[-1][1] + 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+
+
+#: Runs of letters: characters whose Unicode category is one of L.
+LETTERS = re.compile(rf"[^\W\d_{_other_numbers()}]+")
 #: Documented bound: training reads at most about this many documents of each language, chosen by a hash of the id.
 TRAIN_DOCUMENTS = 4_000
 ROUNDS = 2
 #: Words whose scores a worker keeps.
 KEPT_WORDS = 120_000
-#: Longer runs of letters are scored in parts of this length.
-LONGEST = 64
+#: Words of up to so many characters are summed as plain numbers, which cannot vanish; longer ones as logarithms.
+PLAIN = 32
+#: Numbers that a table of sums holds at most, unless one word needs more.
+CELLS = 1_000_000
+#: Languages at most; more mean that the column holds something else, and raise an error.
+MOST_LANGUAGES = 1_000
 #: Added to every piece's expected count, as a share of the language's total count spread over the vocabulary.
 SMOOTHING = 0.01
 
@@ -54,7 +75,8 @@ class Scorer:
 
     def __init__(self, pieces: list[str], longest: int, log_p: np.ndarray | None = None):
         self.longest, self.other = longest, len(pieces)
-        self.p = None if log_p is None else np.exp(log_p)  # pieces + 1, languages
+        self.log_p = log_p  # pieces + 1, languages
+        self.p = None if log_p is None else np.exp(log_p)
         self.known = Words()
         self.scores = np.zeros((0, 0 if log_p is None else log_p.shape[1]))
         # a trie of the pieces; its edges (node, character) -> node lie in an open-addressing table
@@ -121,12 +143,25 @@ class Scorer:
         start = place - begin[word]
         return word, start, start + size, piece
 
-    def forward(self, words: list[str], spans: tuple[np.ndarray, ...]) -> np.ndarray:
+    def parts(self, lengths: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, bool]]:
+        """(words, whether as logarithms) of about equal lengths whose tables of sums have CELLS numbers at most."""
+        order = np.argsort(lengths, kind="stable")
+        border = int(np.searchsorted(lengths[order], PLAIN, side="right"))
+        for own, logs in ((order[:border], False), (order[border:], True)):
+            at = 0
+            while at < len(own):
+                stop = min(len(own), at + 4000)
+                while stop > at + 1 and (stop - at) * (int(lengths[own[stop - 1]]) + 1) * width > CELLS:
+                    stop = at + max(1, (stop - at) // 2)
+                yield own[at:stop], logs
+                at = stop
+
+    def forward(self, words: list[str], spans: tuple[np.ndarray, ...], logs: bool = False) -> np.ndarray:
         """alpha[position, word, language]: all segmentations of a prefix, summed; one step for each end position."""
         word, start, end, piece = spans
         steps = max(map(len, words))
-        alpha = np.zeros((steps + 1, len(words), self.p.shape[1]))
-        alpha[0] = 1.0
+        alpha = np.full((steps + 1, len(words), self.p.shape[1]), -np.inf if logs else 0.0)
+        alpha[0] = 0.0 if logs else 1.0
         order = np.lexsort((word, end))
         word, start, end, piece = word[order], start[order], end[order], piece[order]
         new = np.flatnonzero(np.r_[True, (word[1:] != word[:-1]) | (end[1:] != end[:-1])])
@@ -135,19 +170,21 @@ class Scorer:
             a, b = cut[j], cut[j + 1]
             if a < b:
                 heads = new[groups[j] : groups[j + 1]]
-                alpha[j, word[heads]] = np.add.reduceat(alpha[start[a:b], word[a:b]] * self.p[piece[a:b]], heads - a, axis=0)
+                before = alpha[start[a:b], word[a:b]]
+                if logs:
+                    alpha[j, word[heads]] = np.logaddexp.reduceat(before + self.log_p[piece[a:b]], heads - a, axis=0)
+                else:
+                    alpha[j, word[heads]] = np.add.reduceat(before * self.p[piece[a:b]], heads - a, axis=0)
         return alpha
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.zeros((len(words), self.p.shape[1]))
         lengths = np.array([len(w) for w in words])
-        order = np.argsort(lengths, kind="stable")
-        for part in np.array_split(order, max(1, len(order) // 4000)):
-            if len(part):
-                chosen = [words[i] for i in part]
-                alpha = self.forward(chosen, self.spans(chosen))
-                out[part] = np.log(alpha[lengths[part], np.arange(len(part))] + 1e-300)
+        for part, logs in self.parts(lengths, self.p.shape[1]):
+            chosen = [words[i] for i in part]
+            whole = self.forward(chosen, self.spans(chosen), logs)[lengths[part], np.arange(len(part))]
+            out[part] = whole if logs else np.log(whole)
         return out
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,18 +198,7 @@ class Scorer:
             number.extend(map(self.known.__getitem__, words))
         if fresh := self.known.new:
             self.known.new = []
-            parts, of = [], []
-            for i, w in enumerate(fresh):
-                if len(w) < LONGEST:
-                    parts.append(SPACE + w)
-                    of.append(i)
-                else:
-                    own = _parts(w)
-                    parts += own
-                    of += [i] * len(own)
-            part_scores = self.score_words(parts)
-            first = np.flatnonzero(np.r_[True, np.diff(of) > 0])
-            got = np.add.reduceat(part_scores, first, axis=0)
+            got = self.score_words([SPACE + w for w in fresh])
             self.scores = np.concatenate([self.scores, got]) if len(self.scores) else got
         total = np.zeros((len(texts), self.p.shape[1]))
         some = np.flatnonzero(counts)
@@ -185,36 +211,37 @@ class Scorer:
         """Expected piece counts of weighted words under one language (forward-backward)."""
         counts = np.zeros(self.other + 1)
         lengths = np.array([len(w) for w in words])
-        p = self.p[:, language]
-        for part in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(words) // 4000)):
-            if not len(part):
-                continue
+        for part, logs in self.parts(lengths, 2):
             chosen = [words[i] for i in part]
             word, start, end, piece = self.spans(chosen)
-            n, steps = lengths[part], int(lengths[part].max())
-            alpha, beta = np.zeros((len(part), steps + 1)), np.zeros((len(part), steps + 1))
-            alpha[:, 0] = 1.0
-            beta[np.arange(len(part)), n] = 1.0
+            n, steps, all_ = lengths[part], int(lengths[part].max()), np.arange(len(part))
+            p = (self.log_p if logs else self.p)[:, language]
+            alpha, beta = np.full((2, len(part), steps + 1), -np.inf if logs else 0.0)
+            alpha[:, 0] = beta[all_, n] = 0.0 if logs else 1.0
             by_end, by_start = np.argsort(end, kind="stable"), np.argsort(start, kind="stable")
             ends = np.searchsorted(end[by_end], np.arange(steps + 2))
             begins = np.searchsorted(start[by_start], np.arange(steps + 2))
             for j in range(1, steps + 1):
                 at = by_end[ends[j] : ends[j + 1]]
-                alpha[:, j] = np.bincount(word[at], alpha[word[at], start[at]] * p[piece[at]], len(part))
+                if logs:
+                    np.logaddexp.at(alpha, (word[at], end[at]), alpha[word[at], start[at]] + p[piece[at]])
+                else:
+                    alpha[:, j] = np.bincount(word[at], alpha[word[at], start[at]] * p[piece[at]], len(part))
             for i in range(steps - 1, -1, -1):
                 at = by_start[begins[i] : begins[i + 1]]
-                beta[:, i] += np.bincount(word[at], beta[word[at], end[at]] * p[piece[at]], len(part))
-            whole = alpha[np.arange(len(part)), n]
-            share = alpha[word, start] * p[piece] * beta[word, end] / np.maximum(whole[word], 1e-300)
+                if logs:
+                    np.logaddexp.at(beta, (word[at], start[at]), beta[word[at], end[at]] + p[piece[at]])
+                else:
+                    beta[:, i] += np.bincount(word[at], beta[word[at], end[at]] * p[piece[at]], len(part))
+            whole = alpha[all_, n]
+            if logs:
+                share = np.exp(alpha[word, start] + p[piece] + beta[word, end] - whole[word])
+            else:
+                share = alpha[word, start] * p[piece] * beta[word, end] / whole[word]
             counts += np.bincount(piece, share * weights[part][word], self.other + 1)
         return counts
 
 
-def _parts(word: str) -> list[str]:
-    word = SPACE + word
-    return [word[s : s + LONGEST] for s in range(0, len(word), LONGEST)]
-
-
 def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_documents: int = TRAIN_DOCUMENTS, rounds: int = ROUNDS) -> dict:
     """{"languages": [...], "log_p": pieces+1 x languages} from labelled rows.
 
@@ -222,12 +249,15 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     ``train_documents`` rows is sampled by a hash of the id, the only bound.
     Word counts of the sample are one table; each round of expectation
     maximisation returns a row for each language and piece, at most
-    languages x vocabulary, whatever the sample's size.
+    languages x vocabulary, whatever the sample's size.  More than
+    MOST_LANGUAGES different languages raise a ValueError.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "lang is not null and text is not null"
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
     languages = sorted(counts)
     if not languages:
         return {"languages": [], "log_p": np.zeros((1, 0))}
@@ -257,8 +287,7 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
             total = np.zeros((len(vocab) + 1, len(place)))
             for batch in batches:
                 for lang, own in batch.groupby("lang"):
-                    parts = [(p, n) for w, n in zip(own["word"], own["n"], strict=True) for p in _parts(w)]
-                    total[:, place[lang]] += scorer.expected([p for p, _ in parts], np.array([n for _, n in parts], float), place[lang])
+                    total[:, place[lang]] += scorer.expected([SPACE + w for w in own["word"]], own["n"].to_numpy(float), place[lang])
             piece, lang = np.nonzero(total)
             yield pd.DataFrame({"piece": piece, "lang": lang, "n": total[piece, lang]})
 

@@ -71,6 +71,45 @@ def test_mixing(odd_docs):
     assert Counter(map(tuple, mixing.mix(odd_docs).collect())) == Counter(map(tuple, rows))
 
 
+def test_the_mix_is_a_prefix_of_the_line(odd_docs):
+    """The whole line by brute force: every pass of every row, sorted by finish time, until the budget would be exceeded."""
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in odd_docs.collect()]
+    total = Counter()
+    for _, s, n in rows:
+        total[s] += n
+    goal = targets(dict(total))
+    key = lambda d: int(hashlib.md5(f"7:{'' if d is None else d}".encode()).hexdigest()[:15], 16)
+    line = []
+    for s in total:
+        done = 0
+        for d, _, n in sorted((r for r in rows if r[1] == s), key=lambda r: (key(r[0]), r[0] is not None, r[0] or 0, r[2])):
+            done += n
+            if n:
+                line += [((done + e * total[s]) / goal[s], s is None, s or "", e, d, n) for e in (0, 1)]
+    used, taken = 0, Counter()
+    for _, _, _, _, d, n in sorted(line, key=lambda x: x[:4]):
+        used += n
+        if used > sum(goal.values()):
+            break
+        taken[d, n] += n
+    got = Counter()
+    for r in mixing.mix(odd_docs).collect():
+        got[r.doc_id, r["size"]] += r.taken
+    assert +got == taken
+
+
+def test_mixed_rows_stand_in_the_order_of_the_line(odd_docs):
+    rows = [(r.doc_id, r.source) for r in mixing.mixed(odd_docs).collect()]
+    seen = {}
+    for d, s in rows:
+        seen.setdefault(s, []).append(d)
+    key = lambda d: int(hashlib.md5(f"7:{'' if d is None else d}".encode()).hexdigest()[:15], 16)
+    for own in seen.values():
+        falls = sum(key(a) > key(b) for a, b in zip(own, own[1:], strict=False))
+        assert falls <= 1  # one where the second pass begins
+    assert len({s for _, s in rows[: len(rows) // 4]}) == len(seen)
+
+
 def test_mixed_repeats_rows(odd_docs):
     out = mixing.mixed(odd_docs)
     assert out.columns == odd_docs.columns
@@ -78,6 +117,18 @@ def test_mixed_repeats_rows(odd_docs):
     assert words == mixing.mix(odd_docs).groupBy().sum("taken").first()[0]
 
 
+def test_a_mix_of_equal_rows(spark):
+    """A third of all rows share id and size: the last pass takes some of them, and no more."""
+    docs = spark.createDataFrame([(7, "one two three", "a")] * 40 + [(i, "one two", "b") for i in range(100, 180)], "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id == 7] += r.taken
+    out = Counter()
+    for r in mixing.mixed(docs).collect():
+        out[r.doc_id == 7] += len(r.text.split())
+    assert out == taken
+
+
 def test_sentencepiece_matches_the_library(odd_docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
     want = Counter()
@@ -253,6 +304,38 @@ def test_forward_sums_all_segmentations():
     assert np.exp(s.score_words(["x"]))[0, 0] == pytest.approx(0.1)
 
 
+def test_forward_sums_of_long_words():
+    """Words longer than PLAIN, also beyond what plain numbers can hold, against sums by exact fractions."""
+    import math
+    from fractions import Fraction
+
+    import numpy as np
+
+    pieces = ["a", "ab", "abc", "b", "bc", "c"]
+    p = [Fraction(3, 10), Fraction(1, 5), Fraction(1, 10), Fraction(3, 20), Fraction(1, 20), Fraction(1, 10), Fraction(1, 10)]
+    s = language_id.Scorer(pieces, 3, np.log(np.array([[float(x)] for x in p])))
+    for n in (5, 11, 40, 900):
+        word = "abcxb"[: n % 5] + "abcxb" * (n // 5)
+        sums = [Fraction(1)]
+        for j in range(1, len(word) + 1):
+            sums.append(sum(sums[j - k] * p[pieces.index(word[j - k : j])] for k in (1, 2, 3) if k <= j and word[j - k : j] in pieces) + (sums[j - 1] * p[6] if word[j - 1] == "x" else 0))
+        want = math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+        assert s.score_words([word, "ab"])[0, 0] == pytest.approx(want)
+        counts = s.expected([word], np.array([2.0]), 0)
+        letters = {**{i: len(x) for i, x in enumerate(pieces)}, 6: 1}
+        assert sum(counts[i] * k for i, k in letters.items()) == pytest.approx(2 * len(word))
+
+
+def test_language_of_texts_without_letters_and_with_long_runs(spark):
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("lalero mi la", "aa"), ("schund zu ker", "bb")] * 30)]
+    rows += [(100, "² ½ Ⅷ 3", None), (101, "la" * 30_000, None), (102, "schund" * 5_000, None)] + [(103, "zu ker", None)] * 2
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, score string")
+    got = language_id.identify(docs, MODEL).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == len(rows) and by[100].lang_pred == "und" and by[100].score == 0
+    assert [by[i].lang_pred for i in (101, 102, 103)] == ["aa", "bb", "bb"]
+
+
 def test_quality(spark):
     import random
 
