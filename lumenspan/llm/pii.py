@@ -10,6 +10,7 @@ terms are generalised, or removed when they all but name the entity.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -85,14 +86,26 @@ def entity_of(text: str, start: int, end: int) -> int:
     return xxhash.xxh64_intdigest(text[start:end].lower()) >> 1
 
 
+def _words_before(text: str, start: int) -> list[tuple[int, int]]:
+    """The last WINDOW words before a place, looked for in a stretch that widens until it holds them whole."""
+    reach = 40 * WINDOW
+    while True:
+        low = max(0, start - reach)
+        found = [(m.start() + low, m.end() + low) for m in TERM.finditer(text[low:start])]
+        if low and found and found[0][0] == low:
+            del found[0]  # it may begin earlier
+        if not low or len(found) >= WINDOW:
+            return found[-WINDOW:]
+        reach *= 4
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int, int]]:
     """(entity, term, start, end, context) for the words around each span; entity and context are hashes."""
-    out, reach = [], 40 * WINDOW
+    out = []
     for start, _, end in spans:
         entity = entity_of(text, start, end)
-        low, high = max(0, start - reach), min(len(text), end + reach)
-        before = [(m.start() + low, m.end() + low) for m in TERM.finditer(text[low:start])][-WINDOW:]
-        after = [(m.start() + end, m.end() + end) for m in TERM.finditer(text[end:high])][:WINDOW]
+        before = _words_before(text, start)
+        after = [m.span() for m in itertools.islice(TERM.finditer(text, end), WINDOW)]
         words = [(text[s:e].lower(), s, e) for s, e in before + after]
         context = xxhash.xxh64_intdigest(" ".join(w for w, _, _ in words)) >> 1
         for w, s, e in words:
