@@ -12,44 +12,66 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 PROJECTED = "key string, status string, version long, updates long"
 
 
-def project_first_terminal(events: DataFrame) -> DataFrame:
+def project_first_terminal(events: DataFrame, keep_ms: int | None = None) -> DataFrame:
     """(key, status, version, updates) of each key after a batch.
 
     events has key, status, version.  A later version replaces an earlier one
     until the status is terminal; then nothing changes it, in whatever order
-    or however often events come.
+    or however often events come.  An ended key's state is dropped ``keep_ms``
+    after its last event; without that it is kept.
     """
     ends = {"succeeded", "failed", "cancelled"}
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, version, n = state.get if state.exists else (None, -1, 0)
         for part in parts:
             for s, v in sorted(zip(part["status"], part["version"], strict=True), key=lambda r: r[1]):
                 if status not in ends and v > version:
                     status, version, n = s, int(v), n + 1
         state.update((status, version, n))
+        if keep_ms is not None and status in ends:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame({"key": [key[0]], "status": [status], "version": [version], "updates": [n]})
 
-    return events.groupBy("key").applyInPandasWithState(update, PROJECTED, "status string, version long, updates long", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("key").applyInPandasWithState(update, PROJECTED, "status string, version long, updates long", "update", timeout)
 
 
-def text_batches(deltas: DataFrame, most_chars: int = 500) -> DataFrame:
-    """(key, text) of a key's deltas joined until they reach ``most_chars``; what is left waits in state."""
+def text_batches(deltas: DataFrame, most_chars: int = 500, wait_ms: int = 500) -> DataFrame:
+    """(key, text) of a key's deltas joined until they reach ``most_chars``.
+
+    What is left waits in state; it comes out when no more has come for
+    ``wait_ms``, or at once with a delta whose column ``last`` is true, where
+    there is one.
+    """
+    ends = "last" in deltas.columns
 
     def flush(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get[0] if state.exists else ""
-        out = []
-        for part in parts:
-            for text in part.sort_values("sequence")["text"]:
+        held, out, last = (state.get[0] if state.exists else ""), [], state.hasTimedOut
+        for part in () if last else parts:
+            part = part.sort_values("sequence")
+            for text in part["text"]:
                 held += text or ""
                 if len(held) >= most_chars:
                     out.append(held)
                     held = ""
-        state.update((held,))
+            last = last or ends and bool(part["last"].fillna(False).any())
+        if last:
+            if held:
+                out.append(held)
+            if state.exists:
+                state.remove()
+        else:
+            state.update((held,))
+            if held:
+                state.setTimeoutDuration(wait_ms)
         if out:
             yield pd.DataFrame({"key": [key[0]] * len(out), "text": out})
 
-    return deltas.groupBy("key").applyInPandasWithState(flush, "key string, text string", "held string", "append", GroupStateTimeout.NoTimeout)
+    return deltas.groupBy("key").applyInPandasWithState(flush, "key string, text string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def windowed_counts(events: DataFrame, late: str = "1 day", width: str = "1 hour") -> DataFrame:
