@@ -11,7 +11,11 @@ from ..operators import state as M
 from ..sources.corpus import NOW, ctes, table, view
 from .registry import oracle_of, query
 
-AT = F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
+
+
+def _now():
+    """The fixed clock; made when a query runs, as columns need a session."""
+    return F.expr(NOW.replace("TIMESTAMP", "TIMESTAMP_NTZ"))
 
 
 @query(ctes("utt") + """, n AS (SELECT recording_id, utterance_index, md5(text) AS h FROM utt WHERE recording_id % 2 = 0 AND utterance_index % 4 <> 3),
@@ -43,7 +47,7 @@ LEASE = "CASE WHEN event_id % 4 = 1 THEN created_at + INTERVAL 40 DAY WHEN event
 @query(ctes("obx") + f""", p AS (SELECT *, {LEASE} AS lease_until FROM obx WHERE NOT published AND NOT exhausted), h AS (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY created_at, event_id) AS n FROM p)
     SELECT aggregate_id, event_id FROM h WHERE n = 1 AND (lease_until IS NULL OR lease_until <= {NOW})""")
 def leased_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.leased(view(spark, sf_dir, "obx").withColumn("lease_until", F.expr(LEASE)), AT).select("aggregate_id", "event_id")
+    return M.leased(view(spark, sf_dir, "obx").withColumn("lease_until", F.expr(LEASE)), _now()).select("aggregate_id", "event_id")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, event_type, event_type = 'purchase' AND event_id % 5 = 0 AS ends FROM events)
@@ -67,7 +71,7 @@ def cancelled_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expired_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ended states stay for seven days."""
     e = table(spark, sf_dir, "events").withColumn("ended", F.when(F.col("event_type").isin("purchase", "error"), F.col("ts")))
-    return M.expire(e, "ended", AT, 604_800).select("event_id", "event_type")
+    return M.expire(e, "ended", _now(), 604_800).select("event_id", "event_type")
 
 
 @query("""SELECT event_type AS queue, arg_min(event_id, (ts, event_id)) AS claimed, count(*) AS waiting FROM events WHERE event_id % 3 = 1 GROUP BY 1""")

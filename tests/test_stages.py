@@ -19,3 +19,12 @@ def test_stages_run_once_and_failures_roll_up(spark, tmp_path):
     assert again.status == "succeeded" and again.states == {"numbers": "reused", "double": "reused"} and calls == ["numbers"]
     assert run(spark, [Node("broken")], r, str(tmp_path)).status == "failed"
     assert r.missing({("double", "1"), ("none", "1")}) == {("none", "1")}
+
+
+def test_queries_can_be_listed_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 150 and set(e.oracle_sql()) <= set(e.queries())"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parent.parent, check=False).returncode == 0
