@@ -3,12 +3,12 @@
 Every string of WINDOW bytes belongs to the cell of its minimizer, the least
 hash among its GRAM-byte grams, so equal strings meet in one cell wherever
 they stand.  Cells whose minimizer occurs in one document only cannot hold a
-repeat.  The stretches of text in the other cells are collected, and each task
-builds a run-length index of its cells' different stretches: the runs of the
-transform, samples at run ends, and for each block of rows that agree on
-WINDOW bytes the smallest document.  Stretches are then streamed through the
-index from their ends by last-to-first steps, and strings that also start in a
-smaller document are marked.
+repeat.  The stretches of text in the other cells are collected.  Each task
+ranks its cells' different stretches by document and builds run-length indexes
+(the runs of the transform, with text positions sampled at both ends of each
+run) of the stretches of smaller documents.  Those of larger documents are
+streamed through them from their ends, carrying length and place of the
+longest match; strings whose matching length reaches WINDOW are marked.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import attach, discard, small_batches, written
 from .exact_dedup import duplicate_groups
 
 WINDOW = 50
+#: Matching lengths are told apart up to here, in whole words of eight bytes.
+REACH = 56
 GRAM = 20
 #: Grams of this length split the stretches of cells that very many documents share.
 HOT_GRAM = 40
@@ -109,94 +111,138 @@ def stretches(flat: np.ndarray, begin: np.ndarray, hot: np.ndarray | None = None
 
 
 class RunLengthIndex:
-    """A run-length compressed transform of strings, for streaming them through it.
+    """A run-length compressed transform of strings in groups; a match stays in one group.
 
-    Kept are the transform's runs (start, character and the row that the run's
-    first row steps to), the text position and document sampled at each run's
-    end, the row of each string's end, and the blocks of rows that agree on
-    WINDOW bytes with their smallest document.  The suffix array is used for
-    building only.
+    Each string is cyclic and ends in a separator of its own, and the group is
+    part of every symbol.  Kept are the transform's runs (first row, symbol,
+    the row that the first row steps to), the text positions sampled at the
+    first and last row of each run, and the text, eight bytes at a time, in
+    which two samples are compared.  The suffix array is used for building only.
     """
 
-    def __init__(self, strings: list[bytes], docs: np.ndarray):
+    def __init__(self, strings: list[bytes], groups: np.ndarray):
         text = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
-        self.lengths = np.array([len(s) for s in strings], np.int64)
-        ends = np.cumsum(self.lengths + 1) - 1
-        self.docs = np.asarray(docs, np.int64)
-        order, rank, key = _suffixes(text)
-        owner = np.repeat(np.arange(len(strings)), self.lengths + 1)
-        last = text[order - 1]
-        start = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
-        char, size = last[start], np.diff(np.r_[start, len(text)])
-        before = np.r_[0, np.cumsum(np.bincount(text, minlength=256))[:-1]]
-        by_char = np.argsort(char, kind="stable")
-        seen = np.cumsum(size[by_char]) - size[by_char]
-        first = np.searchsorted(char[by_char], np.arange(256))
-        step = np.zeros(len(start), np.int64)
-        step[by_char] = before[char[by_char]] + seen - seen[np.minimum(first[char[by_char]], len(start) - 1)]
-        self.run_start, self.run_char, self.run_step = start, char, step
-        run_end = start + size - 1
-        self.run_position, self.run_doc = order[run_end], self.docs[owner[order[run_end]]]
-        self.end_row = rank[ends]
-        room = ends[owner] - np.arange(len(text)) >= WINDOW
-        same = np.flatnonzero(room[order[:-1]] & room[order[1:]])
-        for offset in (0, 8, 16, 24, 32, 40, WINDOW - 8):
-            a, b = order[same] + offset, order[same + 1] + offset
-            same = same[key[a] == key[b]]
-        joined = np.zeros(len(text) + 1, bool)
-        joined[same + 1] = True
-        in_block = joined[:-1] | joined[1:]
-        rows = np.flatnonzero(in_block)
-        if len(rows):
-            head = np.flatnonzero(~joined[rows])
-            self.block_start = rows[head]
-            self.block_size = np.diff(np.r_[head, len(rows)])
-            self.block_doc = np.minimum.reduceat(self.docs[owner[order[rows]]], head)
-        else:
-            self.block_start = self.block_size = self.block_doc = np.zeros(0, np.int64)
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes that are one byte longer."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
-        return self.run_step[run] + rows - self.run_start[run]
-
-    def earlier(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(string, window) of all windows that also start in a string of a smaller document, from the ends on."""
-        if not len(self.block_start):
-            return
-        active, rows, done = np.arange(len(self.lengths)), self.end_row.copy(), 0
-        while len(active):
+        sizes = np.array([len(s) + 1 for s in strings], np.int64)
+        ends = np.cumsum(sizes) - 1
+        owner = np.repeat(np.arange(len(strings)), sizes)
+        group = groups[owner]
+        order, self.words = _suffixes(text, owner, ends, group)
+        whose = owner[order]
+        before = np.where(order == ends[whose] - sizes[whose] + 1, ends[whose], order - 1)
+        symbol = (group[before] << 8) | text[before]
+        self.start = np.flatnonzero(np.r_[True, symbol[1:] != symbol[:-1]])
+        self.symbol = symbol[self.start]
+        size = np.diff(np.r_[self.start, len(text)])
+        self.end = self.start + size - 1
+        self.first, self.last = order[self.start], order[self.end]
+        self.by_symbol = np.argsort(self.symbol, kind="stable")
+        self.step = np.empty(len(size), np.int64)
+        self.step[self.by_symbol] = np.cumsum(size[self.by_symbol]) - size[self.by_symbol]
+        self.place = self.symbol[self.by_symbol] * len(size) + self.by_symbol
+
+    def agreeing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many bytes agree from two text positions on, counted up to REACH."""
+        out, alive = np.full(len(a), REACH, np.int64), np.arange(len(a))
+        for offset in range(0, REACH, 8):
+            differ = self.words[a[alive] + offset] ^ self.words[b[alive] + offset]
+            ends = np.flatnonzero(differ)
+            out[alive[ends]] = offset + sum((differ[ends] < U(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+            alive = alive[differ == 0]
+        return out
+
+    def statistics(self, strings: list[bytes], groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(string, position, matching length, text position of the match), from the strings' ends on.
+
+        A step by the byte in front goes on inside a run of that byte.  Where
+        the row is in another run, the nearest run of the byte above (its last
+        row) or below (its first row) takes over, whichever sample agrees with
+        the match so far for longer.  Lengths are exact up to REACH and at
+        least REACH beyond.  Every group must be one of the index's.
+        """
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        lengths = np.array([len(s) for s in strings], np.int64)
+        stop, runs = np.cumsum(lengths), len(self.start)
+        home = np.searchsorted(self.symbol >> 8, groups)
+        active, done = np.arange(len(strings)), 0
+        row, sample, length = self.start[home], self.first[home], np.zeros(len(strings), np.int64)
+        while True:
             done += 1
-            on = self.lengths[active] >= done
-            active, rows = active[on], rows[on]
-            rows = self.step(rows)
-            if done >= WINDOW and len(active):
-                block = np.searchsorted(self.block_start, rows, side="right") - 1
-                inside = (block >= 0) & (rows < self.block_start[block] + self.block_size[block])
-                hit = inside & (self.block_doc[block] < self.docs[active])
-                yield active[hit], self.lengths[active[hit]] - done
-
-
-def _suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Suffix array, its inverse, and the eight bytes at each position; doubling, on rows still tied."""
+            on = lengths[active] >= done
+            if not on.all():
+                active, row, sample, length = active[on], row[on], sample[on], length[on]
+            if not len(active):
+                return
+            symbol = (groups[active] << 8) | flat[stop[active] - done]
+            run = np.searchsorted(self.start, row, side="right") - 1
+            off = np.flatnonzero(self.symbol[run] != symbol)
+            if len(off):
+                wanted = symbol[off]
+                k = np.searchsorted(self.place, wanted * runs + run[off])
+                above, below = self.by_symbol[np.maximum(k - 1, 0)], self.by_symbol[np.minimum(k, runs - 1)]
+                up = (k > 0) & (self.symbol[above] == wanted)
+                down = (k < runs) & (self.symbol[below] == wanted)
+                longer = np.where(up, np.minimum(length[off], self.agreeing(sample[off], self.last[above])), -1)
+                other = np.where(down, np.minimum(length[off], self.agreeing(sample[off], self.first[below])), -1)
+                lower = other > longer
+                run[off] = np.where(lower, below, above)
+                row[off] = np.where(lower, self.start[below], self.end[above])
+                sample[off] = np.where(lower, self.first[below], self.last[above])
+                length[off] = np.maximum(longer, other)
+            row, sample, length = self.step[run] + row - self.start[run], sample - 1, length + 1
+            lost = np.flatnonzero(length == 0)  # the byte is not in the group at all
+            row[lost], sample[lost] = self.start[home[active[lost]]], self.first[home[active[lost]]]
+            yield active, lengths[active] - done, length, sample
+
+
+def earlier(strings: list[bytes], cells: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(string, window), once each, of the windows that also start in a string of the cell and a smaller document.
+
+    A cell's documents are ranked.  At each level, strings whose rank has that
+    bit are streamed through an index of those without it whose higher bits
+    are the same, so any two documents meet at one level, the smaller one in
+    the index, and a string passes as many indexes as its rank has bits.
+    """
+    order = np.lexsort((docs, cells))
+    cell, doc = cells[order], docs[order]
+    head = np.r_[True, cell[1:] != cell[:-1]]
+    number = np.cumsum(head | np.r_[True, doc[1:] != doc[:-1]]) - 1
+    rank = number - np.maximum.accumulate(np.where(head, number, 0))
+    cell, level, found = np.cumsum(head) - 1, 0, [np.zeros(0, np.int64)]
+    while rank.max(initial=0) >> level:
+        upper, asks = rank >> (level + 1), (rank >> level) & 1 == 1
+        group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (upper[1:] != upper[:-1])]) - 1
+        used = np.bincount(group[asks], minlength=group[-1] + 1) > 0
+        held = ~asks & used[group]
+        index = RunLengthIndex([strings[i] for i in order[held].tolist()], group[held])
+        asking = order[asks]
+        for which, window, length, _ in index.statistics([strings[i] for i in asking.tolist()], group[asks]):
+            long = length >= WINDOW
+            found.append((asking[which[long]] << 32) | window[long])
+        level += 1
+    both = np.unique(np.concatenate(found))
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def _suffixes(text: np.ndarray, owner: np.ndarray, ends: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes by group and text up to the string's end, and the eight bytes at each position; doubling, on rows still tied."""
     n = len(text)
-    key = np.zeros(n + 64, U)
-    key[:n] = text
+    words = np.zeros(n + REACH + 8, U)
+    words[:n] = text
     for shift in (1, 2, 4):
-        key[:-shift] = (key[:-shift] << U(8 * shift)) | key[shift:]
-    key = key[: n + 50]
-    order = np.argsort(key[:n], kind="stable")
-    ranked = key[order]
-    new = np.r_[True, ranked[1:] != ranked[:-1]]
-    rank = np.zeros(n + 1, np.int64)
-    place = np.arange(n)
-    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
-    rank[n] = -1
+        words[:-shift] = (words[:-shift] << U(8 * shift)) | words[shift:]
+    left = ends[owner] - np.arange(n) + 1
+    past = (U(8) - np.minimum(left, 8).astype(U)) * U(8)
+    words[:n] = words[:n] >> past << past
+    order = np.lexsort((words[:n], group))
+    new = np.r_[True, (words[order[1:]] != words[order[:-1]]) | (group[order[1:]] != group[order[:-1]])]
+    rank = np.zeros(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
     h = 8
     while len(tied):
         own = order[tied]
-        pair = (rank[own] << 32) | (rank[np.minimum(own + h, n)] + 1)
+        # suffixes that are tied end together, and then their strings' numbers decide
+        pair = (rank[own] << 32) | np.where(left[own] <= h, owner[own], rank[np.minimum(own + h, n - 1)])
         way = np.argsort(pair, kind="stable")
         own, pair = own[way], pair[way]
         order[tied] = own
@@ -204,7 +250,7 @@ def _suffixes(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rank[own] = np.maximum.accumulate(np.where(new, tied, 0))
         tied = tied[~(new & np.r_[new[1:], True])]
         h *= 2
-    return order, rank[:n], key
+    return order, words
 
 
 NODE = np.dtype([("doc", "<i8"), ("text", "<i8")])
@@ -448,10 +494,9 @@ def _marked(blocks: DataFrame, parts: int) -> DataFrame:
             while stop < len(order) and home[order[stop]] == home[order[stop - 1]]:
                 stop += 1
             own = order[chunk:stop]
-            index = RunLengthIndex([strings[i] for i in own.tolist()], least[own])
-            for s, w in index.earlier():
-                hits_s.append(own[s])
-                hits_w.append(w)
+            s, w = earlier([strings[i] for i in own.tolist()], home[own], least[own])
+            hits_s.append(own[s])
+            hits_w.append(w)
             chunk = stop
         if hits_s:
             s, w = np.concatenate(hits_s), np.concatenate(hits_w)

@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -218,6 +219,43 @@ def test_repeats(odd_docs):
     assert Counter(rows_of(repeats.remove_repeats(odd_docs))) == Counter(brute_repeats(rows))
 
 
+def test_matching_statistics_equal_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for letters, most in ((b"ab", 40), (b"abcd", 120), (b"z", 90), (bytes(range(1, 255)), 60)):
+        make = lambda: bytes(rng.choice(letters) for _ in range(rng.randint(1, most)))  # noqa: B023, E731
+        held = [(g, make()) for g in range(4) for _ in range(rng.randint(1, 6))]
+        asked = [(g, make()) for g in range(4) for _ in range(5)]
+        asked += [(g, t[3:] + t[:9]) for g, t in held if len(t) > 3] + [((g + 1) % 4, t) for g, t in held]
+        index = repeats.RunLengthIndex([t for _, t in held], np.array([g for g, _ in held]))
+        text, got = b"\xff".join(t for _, t in held), {}
+        for which, at, length, sample in index.statistics([t for _, t in asked], np.array([g for g, _ in asked])):
+            for i, w, n, p in zip(which.tolist(), at.tolist(), length.tolist(), sample.tolist(), strict=True):
+                got[i, w] = min(n, repeats.REACH)
+                n = min(n, repeats.REACH)
+                assert text[p : p + n] == asked[i][1][w : w + n]
+        for i, (g, t) in enumerate(asked):
+            for w in range(len(t)):
+                most_here = max(n for h, own in held if h == g for n in range(len(t) - w + 1) if t[w : w + n] in own)
+                assert got[i, w] == min(most_here, repeats.REACH)
+
+
+def test_levels_find_what_smaller_documents_hold():
+    import random
+
+    rng = random.Random(6)
+    parts = [bytes(rng.choice(b"abcdefgh") for _ in range(70)) for _ in range(6)]
+    strings = list({rng.choice(parts)[rng.randint(0, 25) :] + bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 9))) for _ in range(80)})
+    cells = np.array([rng.randint(0, 2) for _ in strings], np.uint64)
+    docs = np.array([rng.randint(0, 30) for _ in strings])
+    want = {
+        (i, w) for i, s in enumerate(strings) for w in range(len(s) - 49)
+        if any(cells[j] == cells[i] and docs[j] < docs[i] and s[w : w + 50] in t for j, t in enumerate(strings))
+    }
+    assert set(zip(*[x.tolist() for x in repeats.earlier(strings, cells, docs)], strict=True)) == want
+
+
 def test_repeats_in_hot_cells_and_periodic_texts(spark, monkeypatch):
     import random
 
