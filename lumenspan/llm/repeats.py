@@ -35,8 +35,8 @@ HOT_GRAM = 40
 HOT_PLACES = 20_000
 #: Windows of one stretch at most.
 LONGEST = 128
-#: Bytes indexed at once.
-INDEX_BYTES = 1 << 19
+#: Bytes indexed and streamed at once.
+INDEX_BYTES = 1 << 20
 BATCH_BYTES = 1 << 17
 #: Ranges of removed bytes reach the documents as a broadcast up to this size, and by a join beyond.
 BROADCAST_BYTES = 48 << 20
@@ -140,13 +140,19 @@ class RunLengthIndex:
         self.step[self.by_symbol] = np.cumsum(size[self.by_symbol]) - size[self.by_symbol]
         self.place = self.symbol[self.by_symbol] * len(size) + self.by_symbol
 
-    def agreeing(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many bytes agree from two text positions on, counted up to REACH."""
-        out, alive = np.full(len(a), REACH, np.int64), np.arange(len(a))
+    def agreeing(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes agree from two text positions on, counted up to most, which is REACH at most."""
+        out, alive = np.minimum(most, REACH), np.arange(len(a))
         for offset in range(0, REACH, 8):
+            alive = alive[out[alive] > offset]
+            if not len(alive):
+                break
             differ = self.words[a[alive] + offset] ^ self.words[b[alive] + offset]
+            high = differ >> U(32)
+            # the exponent of a 32-bit half tells its bits, and these the whole bytes in front that agree
+            bits = np.frexp(np.where(high > 0, high, differ).astype(np.float64))[1] + np.where(high > 0, 32, 0)
             ends = np.flatnonzero(differ)
-            out[alive[ends]] = offset + sum((differ[ends] < U(1 << 8 * k)).astype(np.int64) for k in range(1, 8))
+            out[alive[ends]] = np.minimum(out[alive[ends]], offset + (64 - bits[ends]) // 8)
             alive = alive[differ == 0]
         return out
 
@@ -181,8 +187,8 @@ class RunLengthIndex:
                 above, below = self.by_symbol[np.maximum(k - 1, 0)], self.by_symbol[np.minimum(k, runs - 1)]
                 up = (k > 0) & (self.symbol[above] == wanted)
                 down = (k < runs) & (self.symbol[below] == wanted)
-                longer = np.where(up, np.minimum(length[off], self.agreeing(sample[off], self.last[above])), -1)
-                other = np.where(down, np.minimum(length[off], self.agreeing(sample[off], self.first[below])), -1)
+                two = self.agreeing(np.tile(sample[off], 2), np.r_[self.last[above], self.first[below]], np.tile(length[off], 2))
+                longer, other = np.where(up, two[: len(off)], -1), np.where(down, two[len(off) :], -1)
                 lower = other > longer
                 run[off] = np.where(lower, below, above)
                 row[off] = np.where(lower, self.start[below], self.end[above])
@@ -201,24 +207,50 @@ def earlier(strings: list[bytes], cells: np.ndarray, docs: np.ndarray) -> tuple[
     bit are streamed through an index of those without it whose higher bits
     are the same, so any two documents meet at one level, the smaller one in
     the index, and a string passes as many indexes as its rank has bits.
+    Groups of all cells and levels share indexes of about INDEX_BYTES.
     """
     order = np.lexsort((docs, cells))
     cell, doc = cells[order], docs[order]
     head = np.r_[True, cell[1:] != cell[:-1]]
     number = np.cumsum(head | np.r_[True, doc[1:] != doc[:-1]]) - 1
     rank = number - np.maximum.accumulate(np.where(head, number, 0))
+    lengths = np.array([len(s) for s in strings], np.int64)[order]
     cell, level, found = np.cumsum(head) - 1, 0, [np.zeros(0, np.int64)]
-    while rank.max(initial=0) >> level:
-        upper, asks = rank >> (level + 1), (rank >> level) & 1 == 1
-        group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (upper[1:] != upper[:-1])]) - 1
-        used = np.bincount(group[asks], minlength=group[-1] + 1) > 0
-        held = ~asks & used[group]
-        index = RunLengthIndex([strings[i] for i in order[held].tolist()], group[held])
-        asking = order[asks]
+    members, groups, roles, groups_so_far, size = [], [], [], 0, 0
+
+    def solve() -> None:
+        nonlocal members, groups, roles, groups_so_far, size
+        own, group, asks = (np.concatenate(x) for x in (members, groups, roles))
+        members, groups, roles, groups_so_far, size = [], [], [], 0, 0
+        index = RunLengthIndex([strings[i] for i in own[~asks].tolist()], group[~asks])
+        asking = own[asks]
         for which, window, length, _ in index.statistics([strings[i] for i in asking.tolist()], group[asks]):
             long = length >= WINDOW
             found.append((asking[which[long]] << 32) | window[long])
+
+    while rank.max(initial=0) >> level:
+        upper, asks = rank >> (level + 1), (rank >> level) & 1 == 1
+        group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (upper[1:] != upper[:-1])]) - 1
+        used = np.flatnonzero((np.bincount(group[asks], minlength=group[-1] + 1) > 0)[group])
+        number = np.cumsum(np.r_[True, np.diff(group[used]) != 0]) - 1
+        edge = np.searchsorted(number, np.arange(number[-1] + 2))
+        ends = np.cumsum(lengths[used])
+        first = 0
+        while first <= number[-1]:  # whole groups at a time
+            done = ends[edge[first] - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends[edge[1:] - 1], done + INDEX_BYTES - size, side="right")))
+            take = slice(edge[first], edge[stop])
+            members.append(order[used[take]])
+            groups.append(number[take] - first + groups_so_far)
+            roles.append(asks[used[take]])
+            size += int(ends[edge[stop] - 1] - done)
+            groups_so_far += stop - first
+            first = stop
+            if size >= INDEX_BYTES or first <= number[-1]:
+                solve()
         level += 1
+    if members:
+        solve()
     both = np.unique(np.concatenate(found))
     return both >> 32, both & 0xFFFFFFFF
 
@@ -233,17 +265,18 @@ def _suffixes(text: np.ndarray, owner: np.ndarray, ends: np.ndarray, group: np.n
     left = ends[owner] - np.arange(n) + 1
     past = (U(8) - np.minimum(left, 8).astype(U)) * U(8)
     words[:n] = words[:n] >> past << past
-    order = np.lexsort((words[:n], group))
-    new = np.r_[True, (words[order[1:]] != words[order[:-1]]) | (group[order[1:]] != group[order[:-1]])]
+    first = (group.astype(U) << U(40)) | (words[:n] >> U(24))  # five bytes behind the group, of which an index has fewer than 2^24
+    order = np.argsort(first)
+    new = np.r_[True, first[order[1:]] != first[order[:-1]]]
     rank = np.zeros(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
-    h = 8
+    h = 5
     while len(tied):
         own = order[tied]
         # suffixes that are tied end together, and then their strings' numbers decide
         pair = (rank[own] << 32) | np.where(left[own] <= h, owner[own], rank[np.minimum(own + h, n - 1)])
-        way = np.argsort(pair, kind="stable")
+        way = np.argsort(pair)
         own, pair = own[way], pair[way]
         order[tied] = own
         new = np.r_[True, pair[1:] != pair[:-1]]
@@ -481,27 +514,12 @@ def _marked(blocks: DataFrame, parts: int) -> DataFrame:
         lengths = np.array([len(s) for s in strings], np.int64)
         later = ids > least[which]  # the whole stretch stands in a smaller document
         ranges = [(of[later], start[later], start[later] + lengths[which[later]])]
-        # stretches of cells with more than one are indexed, whole cells at a time
-        order = np.argsort(home, kind="stable")
-        edge = np.flatnonzero(np.r_[True, home[order][1:] != home[order][:-1]])
-        count = np.diff(np.r_[edge, len(order)])
-        order = order[np.repeat(count > 1, count)]
-        sizes = np.cumsum(lengths[order] + 1)
-        chunk, hits_s, hits_w = 0, [], []
-        while chunk < len(order):
-            done = sizes[chunk - 1] if chunk else 0
-            stop = max(chunk + 1, int(np.searchsorted(sizes, done + INDEX_BYTES)))
-            while stop < len(order) and home[order[stop]] == home[order[stop - 1]]:
-                stop += 1
-            own = order[chunk:stop]
-            s, w = earlier([strings[i] for i in own.tolist()], home[own], least[own])
-            hits_s.append(own[s])
-            hits_w.append(w)
-            chunk = stop
-        if hits_s:
-            s, w = np.concatenate(hits_s), np.concatenate(hits_w)
-            order = np.lexsort((w, s))
-            s, w = s[order], w[order]
+        # stretches of cells with more than one are indexed
+        _, back, count = np.unique(home, return_inverse=True, return_counts=True)
+        own = np.flatnonzero(count[back] > 1)
+        s, w = earlier([strings[i] for i in own.tolist()], home[own], least[own])
+        s = own[s]
+        if len(s):
             head = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) | (w[1:] != w[:-1] + 1)])
             a, b, s = w[head], w[np.r_[head[1:], len(w)] - 1] + WINDOW, s[head]
             # all places of these strings in their smallest document
