@@ -241,9 +241,11 @@ def test_matching_statistics_equal_brute_force():
                 assert got[i, w] == min(most_here, repeats.REACH)
 
 
-def test_levels_find_what_smaller_documents_hold():
+@pytest.mark.parametrize("at_once", [1, 900, 1 << 20])
+def test_levels_find_what_smaller_documents_hold(at_once, monkeypatch):
     import random
 
+    monkeypatch.setattr(repeats, "INDEX_BYTES", at_once)
     rng = random.Random(6)
     parts = [bytes(rng.choice(b"abcdefgh") for _ in range(70)) for _ in range(6)]
     strings = list({rng.choice(parts)[rng.randint(0, 25) :] + bytes(rng.choice(b"xyz") for _ in range(rng.randint(0, 9))) for _ in range(80)})
