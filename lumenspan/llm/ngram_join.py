@@ -4,7 +4,8 @@ A band of set sizes cuts the universe of shingles into segments by hash.  If
 two sets of the band have a Jaccard similarity of at least the threshold,
 their difference is at most H elements, so of more than H segments at least
 one holds the same elements in both.  A set is indexed by the contents of its
-segments; sets that share an entry often enough are verified exactly.
+cheapest segments, priced by how many entries of all documents fall where an
+entry falls; sets that share an entry often enough are verified exactly.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ SMALL_GROUP = 4
 BLOCK = 256
 #: Sets that all of a larger family are compared with before its blocks are.
 PIVOTS = 2
+#: Bins in which entries are counted to price them; a table of so many numbers is broadcast, whatever the input.
+COST_BINS = 1 << 16
 #: Entries that one task of the index holds on average.
 TASK_ENTRIES = 250_000
 KEPT_WORDS = 100_000
@@ -125,23 +128,26 @@ def segment_counts(band: np.ndarray) -> np.ndarray:
     return np.maximum(LEAST_SEGMENTS, np.ceil(2.0 ** (band + 1) / PER_SEGMENT)).astype(np.int64)
 
 
-def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, ...]:
+def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT, costs: np.ndarray | None = None, every: bool = False) -> tuple[np.ndarray, ...]:
     """(signature, member) of the index and (set, band, required) of each member.
 
     A member is a set in one band: its own (sizes 2^b up to 2^(b+1)), and the
     next too if a set of that band could be linked with it.  Its entries are
-    the contents of its segments, empty ones left out, in the segments' order
-    until H + 1 and the slack are reached.  Which segments are left out
-    depends on their contents alone, so for two linked sets at least
-    ``required`` of the entries of the one whose entries end first are
-    entries of the other: at most H of them differ.
-
-    Costs decide between whole segments and one-deletion neighbourhoods: a
-    whole segment costs one entry for one difference, a neighbourhood one
-    entry for each element and one more for two.  Whole segments are cheaper
-    and go first; only a set whose elements fall into H segments or fewer adds
-    the neighbourhoods of all of them, and one that even these cannot cover
-    shares one entry with its like.
+    the contents of its segments, empty ones left out, cheapest first until
+    H + 1 and the slack are reached.  An entry's cost is the measured number
+    of entries in its bin (``costs``; all alike without it), ties going by
+    signature.  All sets rank entries in this one order, so for two linked
+    sets at least ``required`` of the entries of the one whose entries end
+    first are entries of the other: at most H of them differ, and the rest
+    come before the other's end too.
+
+    Segments compete by cost, and neighbourhoods come after them: the sets
+    that meet in a segment's neighbourhood include all that meet in its whole
+    content, so it never costs less.  Only a set whose elements fall into H
+    segments or fewer adds the neighbourhoods of all of them, and one that
+    even these cannot cover shares one entry with its like.
+
+    ``every`` gives the contents of all segments, to be counted.
     """
     n = np.diff(at)
     sets = np.flatnonzero(n)
@@ -170,8 +176,12 @@ def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT) -> tuple[n
     of = np.searchsorted(base, full, side="right") - 1
     salt = _mix((member_band[of] * 0x10001).astype(U) + ((full - base[of]).astype(U) << U(20)))
     signature = _mix(total[full] + salt)
+    if every:
+        return signature, of, member_set, member_band, np.zeros(0, np.int64)
     first = np.searchsorted(of, np.arange(len(size)))
-    rank = np.arange(len(full)) - first[of]
+    price = np.zeros(len(full), np.int64) if costs is None else costs[(signature & U(len(costs) - 1)).astype(np.int64)]
+    rank = np.empty(len(full), np.int64)
+    rank[np.lexsort((signature, price, of))] = np.arange(len(full)) - first[of]
     available = np.bincount(of, minlength=len(size))
     wanted = np.minimum(available, np.ceil((1 + SLACK) * (most + 1)).astype(np.int64))
     keep = rank < wanted[of]
@@ -206,11 +216,37 @@ def _required(x: np.ndarray) -> np.ndarray:
     return (x["required"] >> 1).astype(np.int64)
 
 
+def _costs(docs: DataFrame, words: int, percent: int) -> np.ndarray:
+    """How many entries of all documents fall into each of COST_BINS bins by signature.
+
+    A task gives COST_BINS numbers at most, however many rows it reads.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, counts = shingler(words), np.zeros(COST_BINS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i in range(0, len(texts), TEXTS):
+                signatures = entries(*s.sets(texts[i : i + TEXTS]), percent, every=True)[0]
+                counts += np.bincount((signatures & U(COST_BINS - 1)).astype(np.int64), minlength=COST_BINS)
+        some = np.flatnonzero(counts)
+        for i in range(0, len(some), 8192):
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 8192].astype(np.int32)), pa.array(counts[some[i : i + 8192]])], ["bin", "n"])
+
+    rows = docs.where("doc_id is not null").select("text").mapInArrow(run, "bin int, n long")
+    counted = rows.groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COST_BINS, np.int64)
+    out[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
 def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
     """The index as packed blocks (part, block); a block holds members and (signature, member) entries."""
 
+    bound = docs.sparkSession.sparkContext.broadcast(_costs(docs, words, percent))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = shingler(words)
+        s, costs = shingler(words), bound.value
         held, n = [], 0
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -237,7 +273,7 @@ def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
             for i in range(0, len(texts), TEXTS):
                 flat, at = s.sets(texts[i : i + TEXTS])
-                signatures, member, of, band, required = entries(flat, at, percent)
+                signatures, member, of, band, required = entries(flat, at, percent, costs)
                 if not len(signatures):
                     continue
                 members = np.zeros(len(of), MEMBER)

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lumenspan.llm import ngram_join, pii
@@ -112,3 +113,26 @@ def test_families_larger_than_a_block(spark, monkeypatch, seed):
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()}
     assert Counter(got.items()) == Counter(enumerate(_components(sets)))
+
+
+def test_entries_leave_out_the_costliest_segments():
+    rng = random.Random(31)
+    words = lambda n: ["".join(rng.choice("abcdefghijk") for _ in range(8)) for _ in range(n)]
+    base = words(200)
+    changed = base[:]
+    for at in (30, 31, 32, 90):
+        changed[at] = words(1)[0]
+    sets = ngram_join.Shingler().sets([" ".join(base), " ".join(changed)])
+    every = ngram_join.entries(*sets, every=True)[0]
+    costs = np.array([rng.randrange(1000) for _ in range(ngram_join.COST_BINS)])
+    price = lambda s: costs[(s & np.uint64(ngram_join.COST_BINS - 1)).astype(int)]
+    s, m, of, band, required = ngram_join.entries(*sets, costs=costs)
+    for b in set(band.tolist()):
+        a, c = (set(s[m == i].tolist()) for i in np.flatnonzero(band == b))
+        assert len(a & c) >= required[band == b].min()
+    left = np.setdiff1d(every, s)
+    assert len(left) and price(left).mean() > price(s).mean()
+    whole, member = ngram_join.entries(*sets, every=True)[:2]
+    for i in np.flatnonzero(band == 8):
+        out = np.setdiff1d(whole[member == i], s[m == i])
+        assert len(out) and price(s[m == i]).max() <= price(out).min()
