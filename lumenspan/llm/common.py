@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +62,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return the memory that this Python worker has freed to the system, for the tasks and operators after it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries than glibc have none
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache(name: str) -> dict:
     """A dictionary that lives as long as the Python worker, for models that tasks need again."""
     home = sys.modules.setdefault("_lumenspan_worker_cache", types.ModuleType("_lumenspan_worker_cache"))
-    for other in [k for k in home.__dict__ if not k.startswith("__") and k != name]:
+    others = [k for k in home.__dict__ if not k.startswith("__") and k != name]
+    for other in others:
         del home.__dict__[other]  # a worker serves one operator at a time and keeps one's models
+    if others:
+        gc.collect()
+        give_back()
     return home.__dict__.setdefault(name, {})
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, among, apart, attach, components, discard, small_batches, worker_cache, written
+from .common import Words, among, apart, attach, components, discard, give_back, small_batches, worker_cache, written
 
 WORDS = 5
 #: The similarity, in hundredths.
@@ -286,6 +286,7 @@ def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
                     yield from out()
         if held:
             yield from out()
+        give_back()
 
     rows = docs.select("doc_id", "text").where("doc_id is not null")
     return rows.mapInArrow(run, "part int, block binary")
@@ -387,6 +388,7 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
                     limit = max(limit, 2 * n)  # what is left is no hot group; look again when it has doubled
         if held:
             yield from solve(True)
+        give_back()
 
     return index.repartitionById(parts, F.col("part")).mapInArrow(run, FOUND)
 
