@@ -143,9 +143,13 @@ def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT, costs: np.
 
     Segments compete by cost, and neighbourhoods come after them: the sets
     that meet in a segment's neighbourhood include all that meet in its whole
-    content, so it never costs less.  Only a set whose elements fall into H
-    segments or fewer adds the neighbourhoods of all of them, and one that
-    even these cannot cover shares one entry with its like.
+    content, so it never costs less.  Only a set whose elements fell into H
+    segments or fewer is short of entries.  It gives the contents of all its
+    segments; so if just one of two linked sets is short, one at least of the
+    other's H + 1 entries is among them.  Two short sets of a band meet in the
+    band's own entry, which every short set gives; with the neighbourhoods of
+    all its segments, which those that have enough of them give too, near
+    ones among them share more than that.
 
     ``every`` gives the contents of all segments, to be counted.
     """
@@ -188,15 +192,14 @@ def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT, costs: np.
     signatures, members = [signature[keep]], [of[keep]]
     required = np.maximum(1, wanted - most)
     for x in np.flatnonzero(available <= most):  # few: sets of a handful of elements that fell together
+        got = [_mix(np.array([member_band[x]], U) + U(0xFEED))]
         own = np.flatnonzero(of == x)
         if 2 * len(own) > most[x]:
-            got = [signature[own] ^ U(0xDE1)]
+            got.append(signature[own] ^ U(0xDE1))
             inside = np.flatnonzero(owner == x)
             slot = np.searchsorted(full, place[inside])
             got.append(_mix(total[full[slot]] - value[inside] + salt[slot]) ^ U(0xDE1))
-            got = np.unique(np.concatenate(got))
-        else:
-            got = _mix(np.array([member_band[x]], U) + U(0xFEED))
+        got = np.unique(np.concatenate(got))
         signatures.append(got)
         members.append(np.full(len(got), x))
     return np.concatenate(signatures), np.concatenate(members), member_set, member_band, required

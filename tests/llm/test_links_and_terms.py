@@ -136,3 +136,53 @@ def test_entries_leave_out_the_costliest_segments():
     for i in np.flatnonzero(band == 8):
         out = np.setdiff1d(whole[member == i], s[m == i])
         assert len(out) and price(s[m == i]).max() <= price(out).min()
+
+
+def test_linked_sets_share_the_entries_that_the_bound_promises():
+    """Sets drawn from few segments of a band are short of entries, on one side or both."""
+    rng = np.random.default_rng(11)
+    lost = seen = 0
+    pools = {}
+    for m in (16, 27, 54):
+        h = rng.integers(0, 2**64, 200_000, dtype=np.uint64)
+        segment = (ngram_join._mix(h + np.uint64(0xA5A5A5)) >> np.uint64(33)).astype(np.int64) % m
+        pools[m] = [h[segment == i] for i in range(m)]
+    for _ in range(6000):
+        m = int(rng.choice([16, 27, 54]))
+        near = int(rng.integers(3, 65))
+        some = rng.choice(m, int(rng.integers(1, 7)), replace=False)
+        # one segment may hold nearly all elements
+        share = rng.dirichlet(np.full(len(some), 0.3))
+        common = np.unique(np.concatenate([rng.choice(pools[m][s], max(0, round(near * p))) for s, p in zip(some, share, strict=True)]))
+        if not len(common):
+            continue
+        room = len(common) * 100 // 75 - len(common)
+        left = int(rng.integers(0, room + 1))
+        extra = lambda k: np.concatenate([pools[m][int(rng.choice(some))][-40:] for _ in range(3)])[rng.permutation(120)[:k]]
+        x, y = np.unique(np.r_[common, extra(left)]), np.unique(np.r_[common, extra(room - left)])
+        both, either = len(np.intersect1d(x, y)), len(np.union1d(x, y))
+        if np.array_equal(x, y) or 100 * both < 75 * either:
+            continue
+        seen += 1
+        s, member, of, band, required = ngram_join.entries(np.r_[x, y], np.array([0, len(x), len(x) + len(y)]))
+        shares = 0
+        for b in np.unique(band):
+            a, c = np.flatnonzero((band == b) & (of == 0)), np.flatnonzero((band == b) & (of == 1))
+            if len(a) and len(c):
+                shares |= len(np.intersect1d(s[member == a[0]], s[member == c[0]])) >= min(required[a[0]], required[c[0]])
+        lost += not shares
+    assert seen > 2000 and lost == 0
+
+
+def test_a_link_of_a_set_whose_shingles_fell_into_one_segment(spark):
+    """Ten words with six shingles in one of sixteen segments, and the same with two words more."""
+    rng = random.Random(1)
+    segment = lambda words: {int(x) for x in (ngram_join._mix(ngram_join.Shingler().sets([" ".join(words)])[0] + np.uint64(0xA5A5A5)) >> np.uint64(33)).astype(np.int64) % 16}
+    new = lambda: "".join(rng.choice("abcdefghijk") for _ in range(8))
+    words = [new() for _ in range(5)]
+    while len(words) < 10:  # word by word, as the chance of all at once is small
+        more = [*words, new()]
+        if len(segment(more)) == 1:
+            words = more
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, new(), new()])), (3, " ".join(new() for _ in range(12)))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
