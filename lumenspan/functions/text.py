@@ -113,9 +113,9 @@ def casefold(text: pd.Series) -> pd.Series:
 
 
 def normalize_expression(text: Column) -> Column:
-    """Case-folded, blanks collapsed, and none left between a Latin and a Han character."""
+    """Case-folded, blanks collapsed, and none left between an ASCII letter or digit and a Han character."""
     collapsed = F.trim(F.regexp_replace(casefold(text), r"\s+", " "))
-    return F.regexp_replace(collapsed, r"(?<=[\p{IsLatin}0-9]) (?=\p{IsHan})|(?<=\p{IsHan}) (?=[\p{IsLatin}0-9])", "")
+    return F.regexp_replace(collapsed, r"(?<=[a-z0-9]) (?=[\x{4e00}-\x{9fff}])|(?<=[\x{4e00}-\x{9fff}]) (?=[a-z0-9])", "")
 
 
 def speaker_label(index: Column) -> Column:
