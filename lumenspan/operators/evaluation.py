@@ -116,45 +116,3 @@ def assign_splits(rows: DataFrame, group: str, seed: str = "seed") -> DataFrame:
     kept = F.when((F.col("wish") == "train") & F.col("train_ok"), "train").when((F.col("wish") != "train") & F.col("eval_ok"), F.col("wish"))
     split = F.when(F.col("train_ok") | F.col("eval_ok"), kept.when(F.col("train_ok"), "train").otherwise("test"))
     return allowed.withColumn("wish", wish).select(group, split.alias("split"))
-
-
-def score_corrections(gold: list[dict], found: list[dict], strict: float = 90.0, relaxed: float = 80.0) -> list[tuple[int, int, str]]:
-    """(gold, prediction, kind) of one case: exact matches by maximum bipartite matching, then greedily by similarity.
-
-    A pair can match if chunk and span overlap; exact if the resolved text is
-    among the accepted ones.  Fuzzy pairs go by falling similarity, gold,
-    prediction; each gold and prediction is used once.
-    """
-    from ..functions.similarity import indel_ratio
-
-    near = lambda g, p: g["chunk_id"] == p["chunk_id"] and g["start"] < p["end"] and p["start"] < g["end"]
-    exact = [[j for j, p in enumerate(found) if near(g, p) and p["resolved"] in g["accepted"]] for g in gold]
-    taken: dict[int, int] = {}
-
-    def augment(i: int, seen: set[int]) -> bool:
-        for j in exact[i]:
-            if j not in seen:
-                seen.add(j)
-                if j not in taken or augment(taken[j], seen):
-                    taken[j] = i
-                    return True
-        return False
-
-    for i in range(len(gold)):
-        augment(i, set())
-    out = [(i, j, "exact") for j, i in taken.items()]
-    used = {i for i, _, _ in out}
-    pairs = []
-    for i, g in enumerate(gold):
-        for j, p in enumerate(found):
-            if i not in used and j not in taken and near(g, p):
-                likeness = max((indel_ratio(a, p["resolved"]) for a in g["accepted"]), default=0.0)
-                if likeness >= relaxed:
-                    pairs.append((-likeness, i, j))
-    done: set[int] = set()
-    for likeness, i, j in sorted(pairs):
-        if i not in used and j not in done:
-            used.add(i)
-            done.add(j)
-            out.append((i, j, "local" if -likeness >= strict else "expression"))
-    return sorted(out)

@@ -4,53 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Limits in milliseconds.
-MERGE_GAP, MERGE_LENGTH, SHORT, WINDOW_TARGET, WINDOW_MOST, WINDOW_OVERLAP = 3_000, 80_000, 2_000, 30_000, 80_000, 500
-
-
-def merge_adjacent(segments: DataFrame, key: str = "recording_id", gap: int = MERGE_GAP, length: int = MERGE_LENGTH) -> DataFrame:
-    """Neighbours of one cluster merge while the gap and the whole length allow; one native fold per recording."""
-    ordered = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", "cluster")))
-    grouped = segments.groupBy(key).agg(ordered.alias("s"))
-    kind = "array<struct<start_ms:bigint,end_ms:bigint,cluster:bigint>>"
-
-    def step(done, s):
-        last = F.element_at(done, -1)
-        fits = (
-            (F.size(done) > 0) & (last["cluster"] == s["cluster"]) & (s["start_ms"] - last["end_ms"] <= gap)
-            & (s["end_ms"] - last["start_ms"] <= length)
-        )
-        widened = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), last["cluster"].alias("cluster"))))
-        return F.when(fits, widened).otherwise(F.concat(done, F.array(s)))
-
-    typed = F.transform("s", lambda s: F.struct(s["start_ms"].cast("long").alias("start_ms"), s["end_ms"].cast("long").alias("end_ms"), s["cluster"].cast("long").alias("cluster")))
-    folded = F.aggregate(typed, F.array().cast(kind), lambda done, s: F.when(F.size(done) == 0, F.array(s)).otherwise(step(done, s)))
-    return grouped.select(key, F.explode(folded).alias("m")).select(key, "m.*")
+from .folds import MERGE_GAP, MERGE_LENGTH, parted, stretches, whole_keys
 
+#: Limits in milliseconds.
+SHORT, WINDOW_TARGET, WINDOW_MOST, WINDOW_OVERLAP = 2_000, 30_000, 80_000, 500
 
-def _joined(start: np.ndarray, end: np.ndarray, who: np.ndarray, gap: int, length: int) -> list[np.ndarray]:
-    """Segments in order, neighbours of one cluster joined while gap and whole length allow.
 
-    A change of cluster and a wide gap part segments whatever comes before;
-    between two such places the longest stretch that fits is taken each time.
-    """
-    n = len(start)
-    parted = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (start[1:] - end[:-1] > gap)]) if n else np.zeros(0, int)
-    first, last = [], []
-    for at, stop in zip(parted.tolist(), [*parted[1:].tolist(), n], strict=True):
-        while at < stop:
-            long = np.flatnonzero(end[at + 1 : stop] - start[at] > length)
-            cut = at + 1 + int(long[0]) if len(long) else stop
-            first.append(at)
-            last.append(cut - 1)
-            at = cut
-    return [start[first], end[last], who[first]]
-
-
-def _sandwiched(start: np.ndarray, end: np.ndarray, who: np.ndarray, short: int, gap: int) -> np.ndarray:
+def _sandwiched(key: np.ndarray, start: np.ndarray, end: np.ndarray, who: np.ndarray, short: int, gap: int) -> np.ndarray:
     """Places of short segments between two near ones of one other cluster; of several in a row every second, from the first on.
 
     Giving a segment to its neighbours makes it one of them, so that the next
@@ -59,7 +23,7 @@ def _sandwiched(start: np.ndarray, end: np.ndarray, who: np.ndarray, short: int,
     n = len(start)
     if n < 3:
         return np.zeros(0, int)
-    near = start[1:] - end[:-1] <= gap
+    near = (start[1:] - end[:-1] <= gap) & (key[1:] == key[:-1])
     fits = np.zeros(n, bool)
     fits[1:-1] = (who[:-2] == who[2:]) & (who[1:-1] != who[2:]) & (end[1:-1] - start[1:-1] <= short) & near[:-1] & near[1:]
     place = np.arange(n)
@@ -67,55 +31,53 @@ def _sandwiched(start: np.ndarray, end: np.ndarray, who: np.ndarray, short: int,
     return np.flatnonzero(fits & ((place - before) % 2 == 1))
 
 
-def smooth(rows: list[tuple[int, int, object]], short: int = SHORT, gap: int = MERGE_GAP, length: int = MERGE_LENGTH) -> tuple[list[tuple[int, int, object]], int]:
-    """Segments joined and short ones between two of one other cluster given to it, until none is given; and how many were."""
-    rows = sorted(rows, key=lambda r: r[:2])
-    line = [np.array([r[i] for r in rows]) for i in range(3)]
-    total = 0
+def smooth(key: np.ndarray, start: np.ndarray, end: np.ndarray, who: np.ndarray, short: int = SHORT, gap: int = MERGE_GAP, length: int = MERGE_LENGTH) -> tuple[list[np.ndarray], np.ndarray]:
+    """Segments joined and short ones between two of one other cluster given to it, until none is given; and the keys of those given.
+
+    The rows of many keys lie behind each other, in order; a key's neighbours
+    are its own only, so all keys go through the rounds together.
+    """
+    line, given_keys = [key, start, end, who.copy()], []
     while True:
-        line = _joined(*line, gap, length)
+        key, start, end, who = line
+        first, last = stretches(parted(key, start, end, who, gap), start, end, length)
+        line = [key[first], start[first], end[last], who[first]]
         given = _sandwiched(*line, short, gap)
         if not len(given):
-            return list(zip(*[x.tolist() for x in line], strict=True)), total
-        total += len(given)
-        line[2][given] = line[2][given - 1]
-
+            return line, np.concatenate(given_keys) if given_keys else key[:0]
+        given_keys.append(line[0][given])
+        line[3][given] = line[3][given - 1]
 
-def per_group(rows: DataFrame, key: str, order: list[str], run, schema: str) -> DataFrame:
-    """run(key, list of row dicts in order) -> list of tuples, for each group; many small groups share one batch.
 
-    Rows are dealt and sorted by key, and groups are cut from the stream, so a
-    task holds one recording at a time and pays for pandas once a batch.
-    """
-    columns, names = rows.columns, [c.split()[0] for c in schema.split(", ")]
+def smooth_segments(segments: DataFrame, **limits) -> DataFrame:
+    """recording_id, start_ms, end_ms, cluster, absorbed of the smoothed segments of each recording; many recordings at a time."""
 
-    def stream(batches):
-        held, current = [], None
-        for batch in batches:
-            out = []
-            for row in zip(*[batch[c].tolist() for c in columns], strict=True):
-                row = dict(zip(columns, row, strict=True))
-                if row[key] != current and held:
-                    out += run(current, held)
-                    held = []
-                current = row[key]
-                held.append(row)
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if held:
-            yield pd.DataFrame(run(current, held), columns=names)
+    def run(batches):
+        for columns, _ in whole_keys(batches):
+            (key, start, end, who), given = smooth(*columns, **limits)
+            names, count = np.unique(given, return_counts=True)
+            absorbed = np.zeros(len(key), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, key), len(names) - 1)
+                absorbed = np.where(names[at] == key, count[at], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, start, end, who, absorbed)], ["recording_id", "start_ms", "end_ms", "cluster", "absorbed"])
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(stream, schema)
+    rows = segments.select("recording_id", "start_ms", "end_ms", "cluster").repartition("recording_id").sortWithinPartitions("recording_id", "start_ms", "end_ms")
+    return rows.mapInArrow(run, "recording_id long, start_ms long, end_ms long, cluster long, absorbed long")
 
 
-def smooth_segments(segments: DataFrame, **limits) -> DataFrame:
-    """recording_id, start_ms, end_ms, cluster, absorbed of the smoothed segments of each recording."""
+def per_group(rows: DataFrame, order: list[str], run, schema: str) -> DataFrame:
+    """run(key, columns of one key in order) -> list of tuples, for each value of the first column; many small groups share one batch."""
+    key, names = rows.columns[0], [c.split()[0] for c in schema.split(", ")]
 
-    def run(key: int, rows: list[dict]) -> list[tuple]:
-        out, given = smooth([(r["start_ms"], r["end_ms"], r["cluster"]) for r in rows], **limits)
-        return [(key, *r, given) for r in out]
+    def stream(batches):
+        for columns, begin in whole_keys(batches):
+            out = []
+            for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(columns[0])], strict=True):
+                out += run(columns[0][a], [c[a:b] for c in columns[1:]])
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=names), preserve_index=False)
 
-    return per_group(segments.select("recording_id", "start_ms", "end_ms", "cluster"), "recording_id", ["start_ms", "end_ms"], run, "recording_id long, start_ms long, end_ms long, cluster long, absorbed long")
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(stream, schema)
 
 
 def windows(rows: list[tuple[int, int]], target: int = WINDOW_TARGET, most: int = WINDOW_MOST, overlap: int = WINDOW_OVERLAP) -> list[tuple[int, int, int, int]]:
@@ -143,33 +105,22 @@ def windows(rows: list[tuple[int, int]], target: int = WINDOW_TARGET, most: int
 
 
 def speech_windows(segments: DataFrame, **limits) -> DataFrame:
-    """recording_id, window_index and the bounds of each recording's windows."""
-
-    def run(key: int, rows: list[dict]) -> list[tuple]:
-        return [(key, i, *w) for i, w in enumerate(windows([(r["start_ms"], r["end_ms"]) for r in rows], **limits))]
-
-    schema = "recording_id long, window_index long, input_start_ms long, input_end_ms long, core_start_ms long, core_end_ms long"
-    return per_group(segments.select("recording_id", "start_ms", "end_ms"), "recording_id", ["start_ms", "end_ms"], run, schema)
+    """recording_id, window_index, the bounds of each recording's windows, and segments: the ordinals of those that meet the window.
 
+    ordinal, if segments have none, is the place in order of start and end.
+    """
 
-def budget_batches(rows: DataFrame, key: str, order: str, size: str, budget: int) -> DataFrame:
-    """(key, batch, rows, total) of batches in order that start anew where a row would overflow the budget; a native fold."""
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("s"))
-    state = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("counts"), F.array().cast("array<bigint>").alias("totals"))
-
-    def step(acc, s):
-        new = (F.size(acc["counts"]) == 0) | (acc["sum"] + s["n"] > budget)
-        one = F.array(F.lit(1).cast("long"))
-        head = lambda a: F.slice(a, F.lit(1), F.greatest(F.lit(0), F.size(a) - 1))
-        tail = lambda a: F.try_element_at(a, F.lit(-1))
-        return F.struct(
-            F.when(new, s["n"]).otherwise(acc["sum"] + s["n"]).alias("sum"),
-            F.when(new, F.concat(acc["counts"], one)).otherwise(F.concat(head(acc["counts"]), F.array(tail(acc["counts"]) + 1))).alias("counts"),
-            F.when(new, F.concat(acc["totals"], F.array(s["n"]))).otherwise(F.concat(head(acc["totals"]), F.array(tail(acc["totals"]) + s["n"]))).alias("totals"),
-        )
+    def run(key: int, columns: list[np.ndarray]) -> list[tuple]:
+        start, end, ordinal = columns
+        out = []
+        for i, (a, b, c, d) in enumerate(windows(list(zip(start.tolist(), end.tolist(), strict=True)), **limits)):
+            inside = np.flatnonzero((start[: np.searchsorted(start, b)] < b) & (end[: np.searchsorted(start, b)] > a))
+            out.append((key, i, a, b, c, d, ordinal[inside].tolist()))
+        return out
 
-    folded = F.aggregate("s", state, step, lambda acc: F.arrays_zip(acc["counts"].alias("counts"), acc["totals"].alias("totals")))
-    return grouped.select(key, F.posexplode(folded).alias("batch", "b")).select(key, F.col("batch").cast("long"), F.col("b.counts").alias("rows"), F.col("b.totals").alias("total"))
+    schema = "recording_id long, window_index long, input_start_ms long, input_end_ms long, core_start_ms long, core_end_ms long, segments array<long>"
+    ordinal = F.col("ordinal") if "ordinal" in segments.columns else F.row_number().over(Window.partitionBy("recording_id").orderBy("start_ms", "end_ms"))
+    return per_group(segments.select("recording_id", "start_ms", "end_ms", ordinal.cast("long").alias("ordinal")), ["start_ms", "end_ms"], run, schema)
 
 
 def bounded_chunks(utterances: list[dict], count_tokens, most_tokens: int = 800, most_ms: int = 180_000, most_utterances: int = 30) -> list[dict]:
@@ -217,12 +168,15 @@ def estimated_tokens(text: str) -> int:
 def search_chunks(utterances: DataFrame, **limits) -> DataFrame:
     """recording_id, chunk_index, text, start_ms, end_ms, utterances of each recording's chunks."""
 
-    def run(key: int, rows: list[dict]) -> list[tuple]:
-        chunks = bounded_chunks([r | {"label": r["cluster"]} for r in rows], estimated_tokens, **limits)
+    names = ["utterance_index", "label", "text", "start_ms", "end_ms"]
+
+    def run(key: int, columns: list[np.ndarray]) -> list[tuple]:
+        rows = [dict(zip(names, r, strict=True)) for r in zip(*[c.tolist() for c in columns], strict=True)]
+        chunks = bounded_chunks(rows, estimated_tokens, **limits)
         return [(key, i, c["text"], c["start_ms"], c["end_ms"], len(c["utterances"])) for i, c in enumerate(chunks)]
 
     schema = "recording_id long, chunk_index long, text string, start_ms long, end_ms long, utterances long"
-    return per_group(utterances, "recording_id", ["utterance_index"], run, schema)
+    return per_group(utterances.select("recording_id", "utterance_index", "cluster", "text", "start_ms", "end_ms"), ["utterance_index"], run, schema)
 
 
 def topological_order(parents: dict[str, set[str]]) -> list[str]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as D
 from ..functions import text as T
+from ..operators import folds
 from ..operators import sequences as Q
 from ..sources.corpus import ctes, table, view
 from .registry import query
@@ -146,7 +147,7 @@ def full_original_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         THEN list_concat(a[:-2], [{'s': a[-1].s, 'e': x[1].e, 'c': a[-1].c}]) ELSE list_concat(a, x) END) AS m FROM o), u AS (SELECT recording_id, unnest(m) AS m FROM f)
     SELECT recording_id, m.s AS start_ms, m.e AS end_ms, m.c AS cluster FROM u""")
 def speaker_merge_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.merge_adjacent(view(spark, sf_dir, "seg")).select("recording_id", "start_ms", "end_ms", "cluster")
+    return folds.merge_adjacent(view(spark, sf_dir, "seg")).select("recording_id", "start_ms", "end_ms", "cluster")
 
 
 @query()
@@ -156,7 +157,7 @@ def rows_only_smoothed_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rows_only_speech_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.speech_windows(view(spark, sf_dir, "seg").select("recording_id", "start_ms", "end_ms"))
+    return Q.speech_windows(view(spark, sf_dir, "seg").select("recording_id", "start_ms", "end_ms", "ordinal"))
 
 
 @query()
@@ -170,7 +171,7 @@ def rows_only_search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT recording_id, CAST(batch AS BIGINT) AS batch, count(*) AS rows, CAST(max(total) AS BIGINT) AS total FROM r GROUP BY 1, 2""")
 def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     utt = view(spark, sf_dir, "utt").select("recording_id", "utterance_index", F.length("text").alias("n"))
-    return Q.budget_batches(utt, "recording_id", "utterance_index", "n", 3000)
+    return folds.budget_batches(utt, "recording_id", "utterance_index", "n", 3000)
 
 
 @query()

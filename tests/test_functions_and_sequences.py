@@ -1,9 +1,10 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import similarity as D
 from lumenspan.functions import text as T
-from lumenspan.operators import evaluation as E
+from lumenspan.operators import folds
 from lumenspan.operators import sequences as Q
 
 
@@ -67,12 +68,19 @@ def test_similarities():
 SECOND = 1000
 
 
+def smoothed(*recordings, **limits):
+    """The segments of each recording and how many were given away, all recordings smoothed together."""
+    rows = [(k, int(a * SECOND), int(b * SECOND), c) for k, own in enumerate(recordings) for a, b, c in own]
+    line, given = Q.smooth(*[np.array(x) for x in zip(*rows, strict=True)], **limits)
+    return [([(a / SECOND, b / SECOND, c) for k, a, b, c in zip(*[x.tolist() for x in line], strict=True) if k == i], int((given == i).sum())) for i in range(len(recordings))]
+
+
 def test_smoothing():
-    s = lambda *rows: [(int(a * SECOND), int(b * SECOND), c) for a, b, c in rows]
-    assert Q.smooth(s((0, 10, "A"), (10, 11.5, "B"), (11.5, 20, "A"))) == (s((0, 20, "A")), 1)
-    assert Q.smooth(s((0, 10, "A"), (10, 11, "B"), (11, 12, "A"), (12, 13, "B"), (13, 20, "A")))[0] == s((0, 20, "A"))
-    long = s((0, 10, "A"), (10, 12.001, "B"), (12.001, 20, "A"))
-    assert Q.smooth(long) == (long, 0)
+    one_, two, long = [(0, 10, "A"), (10, 11.5, "B"), (11.5, 20, "A")], [(0, 10, "A"), (10, 11, "B"), (11, 12, "A"), (12, 13, "B"), (13, 20, "A")], [(0, 10, "A"), (10, 12.001, "B"), (12.001, 20, "A")]
+    assert smoothed(one_) == [([(0, 20, "A")], 1)]
+    assert smoothed(long) == [(long, 0)]
+    together = smoothed(one_, two, long, one_)
+    assert [r for r, _ in together] == [[(0, 20, "A")], [(0, 20, "A")], long, [(0, 20, "A")]] and [n for _, n in together][::3] == [1, 1]
 
 
 def test_windows():
@@ -88,7 +96,7 @@ def test_chunks_and_batches(spark):
     assert len(chunks) == 1 and chunks[0]["utterances"] == [0, 1, 2, 3, 4] and chunks[0]["text"].startswith("A: Sentence 0. More.\n")
     assert len(Q.bounded_chunks(rows, Q.estimated_tokens, most_utterances=2)) == 3
     df = spark.createDataFrame([(1, i, n) for i, n in enumerate([5, 5, 5, 20, 1])], "k long, o long, n long")
-    got = [tuple(r) for r in Q.budget_batches(df, "k", "o", "n", 10).orderBy("batch").collect()]
+    got = [tuple(r) for r in folds.budget_batches(df, "k", "o", "n", 10).orderBy("batch").collect()]
     assert got == [(1, 0, 2, 10), (1, 1, 1, 5), (1, 2, 1, 20), (1, 3, 1, 1)]
 
 
@@ -97,10 +105,3 @@ def test_orders():
     with pytest.raises(ValueError):
         Q.topological_order({"a": {"b"}, "b": {"a"}})
     assert Q.pick_apart([(0, 5, 1.0, "x"), (3, 8, 2.0, "y"), (8, 9, 0.5, "z"), (20, 22, 0.1, "y")]) == [(3, 8, 2.0, "y"), (8, 9, 0.5, "z")]
-
-
-def test_correction_scoring():
-    gold = [{"chunk_id": 1, "start": 0, "end": 5, "accepted": ["alpha"]}, {"chunk_id": 1, "start": 3, "end": 9, "accepted": ["alpha", "beta"]}]
-    found = [{"chunk_id": 1, "start": 2, "end": 6, "resolved": "alpha"}, {"chunk_id": 1, "start": 4, "end": 8, "resolved": "betas"}]
-    assert E.score_corrections(gold, found) == [(0, 0, "exact"), (1, 1, "expression")]
-    assert E.score_corrections(gold, [found[0] | {"chunk_id": 2}]) == []
