@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, discard, written
+from .common import discard, marked, marks, written
 
-BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Words of a window that may repeat.
 WINDOW = 5
@@ -26,11 +25,11 @@ THRESHOLD = -60
 
 def _words(text: Column) -> Column:
     """The runs of characters other than the six ASCII blanks."""
-    return F.array_remove(F.split(F.translate(text, BLANKS[1:], " " * (len(BLANKS) - 1)), " "), "")
+    return F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
 
 
 def _bucket(mixed: Column) -> Column:
-    """The upper 16 of 32 bits."""
+    """The upper 16 of the lower 32 bits."""
     return F.shiftrightunsigned(mixed.bitwiseAND(F.lit(0xFFFFFFFF)), 32 - (BUCKETS.bit_length() - 1))
 
 
@@ -38,55 +37,63 @@ def _one(c: Column) -> Column:
     return _bucket(c * F.lit(1_640_531_527))
 
 
-def _two(c: Column, d: Column) -> Column:
-    return _bucket(c * F.lit(625_341_585) + d * F.lit(461_845_907))
-
-
 def _codes(words: str) -> Column:
     return F.transform(words, lambda w: F.crc32(w.cast("binary")))
 
 
-def _after(codes: str) -> Column:
-    """The places of all codes but the first."""
-    return F.when(F.size(codes) > 1, F.sequence(F.lit(1), F.size(codes) - 1)).otherwise(F.array().cast("array<int>"))
+def _beside(left: str, right: str, by: int, what) -> Column:
+    """what(x, y) of each item of left and the one of right that stands ``by`` places further on."""
+    n = F.greatest(F.lit(0), F.least(F.size(left), F.size(right) - by))
+    return F.zip_with(F.slice(left, F.lit(1), n), F.slice(right, F.lit(1 + by), n), what)
+
+
+def _pairs(codes: str) -> Column:
+    """A number for each two words in a row; its bucket is that of the two."""
+    return _beside(codes, codes, 1, lambda c, d: c * F.lit(625_341_585) + d * F.lit(461_845_907))
 
 
 def _counts(texts: DataFrame) -> DataFrame:
-    """(bucket, n) of the n-grams of one and two words of a table with the column text; combined before its shuffle."""
-    coded = texts.select(_words(F.col("text")).alias("words")).select(_codes("words").alias("codes"))
-    grams = F.concat(F.transform("codes", _one), F.transform(_after("codes"), lambda i: _two(F.get("codes", i - 1), F.get("codes", i))))
-    return coded.select(F.explode(grams).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
+    """(bucket, r, t): n-grams of one and two words of all rows (text, trusted), and of the trusted ones; combined before their shuffle."""
+    coded = texts.select("trusted", _words(F.col("text")).alias("words")).select("trusted", _codes("words").alias("codes")).select("trusted", "codes", _pairs("codes").alias("pairs"))
+    buckets = F.concat(F.transform("codes", _one), F.transform("pairs", _bucket))
+    return coded.select("trusted", F.explode(buckets).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("r"), F.count_if("trusted").alias("t"))
 
 
 def train(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """The weight of each bucket: UNIT times the logarithm of target over raw probability, rounded.
 
     docs has doc_id and text; every row counts in the raw corpus, and in the
-    target too if trusted (doc_id) holds its id.  Only texts that a bitmap of
-    the trusted ids marks are shuffled.  Without trusted text all weights are
-    0.  The result has BUCKETS numbers.
+    target too if trusted (doc_id) holds its id.  Which rows are trusted is
+    told without a shuffle of texts: a bitmap marks all trusted ids and a few
+    others, and a second bitmap, of those others, marks them and a few trusted
+    ones; only rows that both mark are joined.  Without trusted text all
+    weights are 0.  The result has BUCKETS numbers.
     """
+    key, of = F.xxhash64("doc_id"), F.xxhash64("__id")
+    docs = docs.where("text is not null")
     ids = written(trusted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("__id")).distinct(), "trusted")
-    marked = among(docs.select("doc_id", "text").where("doc_id is not null and text is not null"), F.xxhash64("doc_id"), ids.select(F.xxhash64("__id")), ids.count())
-    target = marked.join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
-    raw = _counts(docs.where("text is not null")).withColumn("kind", F.lit("raw"))
-    counts = written(raw.unionByName(_counts(target).withColumn("kind", F.lit("target"))), "counts")
-    n = counts.agg(F.sum(F.expr("case when kind = 'raw' then n end")).alias("raw"), F.sum(F.expr("case when kind = 'target' then n end")).alias("target")).first()
+    first = marks(ids.select(of), ids.count())
+    others = marked(docs.where("doc_id is not null").select("doc_id"), key, first).where("__hit").select(F.col("doc_id").alias("__id")).join(ids, "__id", "left_anti").distinct()
+    others = written(others, "marked-in-vain")
+    both = marked(marked(docs, key, first).withColumnRenamed("__hit", "__first"), key, marks(others.select(of), others.count()))
+    told = both.select("doc_id", "text", (F.col("__first") & ~F.col("__hit")).alias("trusted"), (F.col("__first") & F.col("__hit")).alias("doubtful"))
+    doubtful = told.where("doubtful").join(ids, F.col("doc_id") == F.col("__id"), "left_semi").select("text", F.lit(True).alias("trusted"))
+    counts = written(_counts(told.select("text", "trusted")).unionByName(_counts(doubtful).withColumn("r", F.lit(0).cast("long"))), "counts")
+    counts_ = counts.groupBy("bucket").agg(F.sum("r").alias("r"), F.sum("t").alias("t"))
+    n = counts.agg(F.sum("r").alias("raw"), F.sum("t").alias("target")).first()
     raw_n, target_n = n["raw"] or 0, n["target"] or 0
-    both = counts.groupBy("bucket").agg(F.sum(F.expr("case when kind = 'raw' then n else 0 end")).alias("r"), F.sum(F.expr("case when kind = 'target' then n else 0 end")).alias("t"))
     p = (F.col("r") + 1) / F.lit(float(raw_n + BUCKETS))
     weight = lambda r, t: F.floor(F.log((t + PRIOR * r) / float(target_n + PRIOR) / r) * UNIT + 0.5)
-    own = {r["bucket"]: r["w"] for r in both.select("bucket", weight(p, F.col("t")).alias("w")).collect()}  # BUCKETS rows at most
-    unseen = both.sparkSession.range(1).select(weight(F.lit(1.0), F.lit(0.0)).alias("w")).first()["w"]
-    discard(counts)
+    own = {r["bucket"]: r["w"] for r in counts_.select("bucket", weight(p, F.col("t")).alias("w")).collect()}  # BUCKETS rows at most
+    unseen = counts.sparkSession.range(1).select(weight(F.lit(1.0), F.lit(0.0)).alias("w")).first()["w"]
+    for table in (ids, others, counts):
+        discard(table)
     return [own.get(b, unseen) for b in range(BUCKETS)]
 
 
 def _statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, codes, n_words and the base statistics of every row."""
-    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    code = lambda i, k: F.get("codes", i + k)
-    keys = F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), lambda i: F.xxhash64(*[code(i, k) for k in range(WINDOW)]))
+    """doc_id, codes, pairs, n_words and the base statistics of every row."""
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     window = lambda i: F.concat_ws(" ", *[F.get("words", i + k) for k in range(WINDOW)])
     windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.col("n_words") - WINDOW), lambda i: F.struct(window(i).alias("s"), i.alias("i"))))
     same = lambda x, at: F.coalesce(F.get("windows", at)["s"] == x["s"], F.lit(False))
@@ -95,12 +102,13 @@ def _statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     out = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("words", _words(F.col("text")))
     out = out.withColumn("lines", lines).select(
         "doc_id", "words", F.size("words").alias("n_words"), _codes("words").alias("codes"),
-        F.length(F.translate("text", BLANKS, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
     # windows whose keys are all different are all different; only other texts look at the windows themselves
-    out = out.withColumn("keys", F.when(F.col("n_words") > WINDOW, keys))
+    out = out.withColumn("pairs", _pairs("codes")).withColumn("fours", _beside("pairs", "pairs", 2, lambda x, y: F.xxhash64(x, y)))
+    out = out.withColumn("keys", _beside("fours", "codes", WINDOW - 1, lambda x, y: F.xxhash64(x, y))).drop("fours")
     out = out.withColumn("windows", F.when(F.size("keys") > F.size(F.array_distinct("keys")), windows)).drop("keys", "words")
     out = out.withColumn("twice", twice).drop("windows")
     return out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("twice")
@@ -120,11 +128,9 @@ def apply_rules(docs: DataFrame, weights: list[int], id_col: str = "doc_id", tex
     and null ids get a row each, and other columns are not read.
     """
     weight = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")  # folded to one array when the plan is made
-    total = F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a + F.get(weight, _one(c))) + F.aggregate(
-        _after("codes"), F.lit(0).cast("long"), lambda a, i: a + F.get(weight, _two(F.get("codes", i - 1), F.get("codes", i)))
-    )
+    total = lambda items, bucket: F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + F.get(weight, bucket(x)))
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED)
-    out = _statistics(docs, id_col, text_col).withColumn("sum", total).withColumn("base_failed", failed)
+    out = _statistics(docs, id_col, text_col).withColumn("sum", total("codes", _one) + total("pairs", _bucket)).withColumn("base_failed", failed)
     grams = F.greatest(F.col("n_words") * 2 - 1, F.lit(0)).cast("long")
     return out.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
