@@ -23,11 +23,16 @@ THRESHOLD = 0.95
 #: Home vectors of one task; larger cells are cut into such parts, each of which meets the whole cell.
 PART = 4096
 MOST_PIVOTS = 1024
-#: Dot products in single precision are this exact at least; what lies nearer to the threshold is done again in double.
+#: Dot products nearer to the threshold than near() are done again in double precision.
 NEAR = 5e-5
 EDGE = 1e-7
 
 
+def near(dim: int) -> float:
+    """More than the error of a dot product of unit vectors in single precision, which grows with their length: each of ``dim`` terms and sums is off by 2^-24 at most."""
+    return max(NEAR, (dim + 8) / 2**23)
+
+
 def _vectors(rows: DataFrame) -> DataFrame:
     """(vec_id, key, v): v the components as doubles, key a digest of them; both null for vectors that link with nothing."""
 
@@ -129,7 +134,7 @@ def _cell_links(rows: DataFrame, threshold: float) -> DataFrame:
                 block, names = other[s : s + 2048], np.array(their[s : s + 2048])
                 dots = single @ block.astype(np.float32).T
                 linked = dots >= threshold
-                doubt = np.argwhere(np.abs(dots - threshold) < NEAR)
+                doubt = np.argwhere(np.abs(dots - threshold) < near(unit.shape[1]))
                 if len(doubt):
                     i, j = doubt.T
                     linked[i, j] = (unit[i] * block[j]).sum(1) >= threshold
@@ -192,14 +197,14 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     vectors = written(_vectors(rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))), "vectors")
     total = vectors.count()
     classes = vectors.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.min("v").alias("v"))
-    # an id that repeats with other vectors would name two classes: number them by the class's own digest instead
-    classes = written(classes.withColumn("node", F.xxhash64("key")), "classes")
+    # an id that repeats with other vectors would name two classes, so classes have numbers of their own, given once when they are written
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     radius = math.sqrt(max(0.0, 2 - 2 * threshold))
     pivots: dict[int, np.ndarray] = {}
     by_dim = classes.groupBy((F.octet_length("v") / 8).cast("int").alias("dim")).count().collect()
     for r in by_dim:
         k = max(1, min(MOST_PIVOTS, -(-r["count"] // PART)))
-        chosen = classes.where(F.octet_length("v") == r["dim"] * 8).orderBy("node").limit(k).select("v").collect()
+        chosen = classes.where(F.octet_length("v") == r["dim"] * 8).orderBy("key").limit(k).select("v").collect()
         pivots[r["dim"]] = _unit([bytes(x["v"]) for x in chosen])
     homes = written(_homes(classes.select(F.col("node").alias("rep"), "size", "v"), pivots, radius), "homes") if pivots else None
     if homes is None:

@@ -50,8 +50,8 @@ KEPT_WORDS = 120_000
 PLAIN = 32
 #: Numbers that a table of sums holds at most, unless one word needs more.
 CELLS = 1_000_000
-#: Languages at most; more mean that the column holds something else, and raise an error.
-MOST_LANGUAGES = 1_000
+#: Documented bound on labelled rows: so many languages are learned, those with the most rows; all documents are predicted.
+MOST_LANGUAGES = 200
 #: Added to every piece's expected count, as a share of the language's total count spread over the vocabulary.
 SMOOTHING = 0.01
 
@@ -249,15 +249,14 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text", lang_col: st
     ``train_documents`` rows is sampled by a hash of the id, the only bound.
     Word counts of the sample are one table; each round of expectation
     maximisation returns a row for each language and piece, at most
-    languages x vocabulary, whatever the sample's size.  More than
-    MOST_LANGUAGES different languages raise a ValueError.
+    languages x vocabulary, whatever the sample's size.  If there are more than
+    MOST_LANGUAGES different languages, those with the most rows are learned
+    (ties by name) and the rows of others teach nothing.
     """
     rows = small_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
         "lang is not null and text is not null"
     )
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"{lang_col} has more than {MOST_LANGUAGES} values")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return {"languages": [], "log_p": np.zeros((1, 0))}
