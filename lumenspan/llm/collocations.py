@@ -21,9 +21,9 @@ MOST_HASHES = 2_000_000
 #: Bits of that bitmap, 32 MB whatever the input.
 BITS = 1 << 28
 #: Different words that a task numbers before it gives out its counts and starts again.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 500_000
 #: Different phrases that a task counts before it gives them out.
-KEPT_PHRASES = 400_000
+KEPT_PHRASES = 1_200_000
 #: Bytes of text that are numbered at once.
 CHUNK = 1 << 19
 
