@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -42,15 +42,36 @@ def argmax_overlap(tokens: DataFrame, turns: DataFrame, key: str, token_id: list
 
 
 def nearest(points: DataFrame, turns: DataFrame, key: str, point_id: list[str], point: str = "point_ms") -> DataFrame:
-    """The turn nearest to each point of its key: 0 inside, else to the nearer end; ties by start, then end."""
-    t = turns.select(*[F.col(c).alias(f"r_{c}") for c in turns.columns])
-    inside = (F.col("r_start_ms") <= F.col(point)) & (F.col(point) < F.col("r_end_ms"))
-    away = F.least(F.abs(F.col(point) - F.col("r_start_ms")), F.abs(F.col(point) - F.col("r_end_ms")))
-    pairs = points.join(t, points[key] == t[f"r_{key}"]).withColumn("distance", F.when(inside, 0).otherwise(away))
-    # an aggregate, not a window: partial minima leave each task before anything is shuffled
-    others = [c for c in pairs.columns if c not in point_id]
-    best = pairs.groupBy(*point_id).agg(F.min(F.struct("distance", "r_start_ms", "r_end_ms", *[c for c in others if c not in ("distance", "r_start_ms", "r_end_ms")])).alias("b"))
-    return best.select(*point_id, "b.*")
+    """The turn nearest to each point of its key: 0 inside, else to the nearer end; ties by start, then end.
+
+    point_id tells points apart.  Of the turns that do not hold a point, the
+    nearest is the last to end before it or the first to start after it.  Both
+    come from running extremes along the key's line of ends, starts and
+    points, and the turns that hold it from an interval join, so a point never
+    meets all turns of its key.
+    """
+    turn = F.struct("start_ms", "end_ms", *[c for c in turns.columns if c not in ("start_ms", "end_ms")])
+    kind, own = turns.select(turn.alias("t")).schema["t"].dataType, points.columns
+    who = F.struct(*[F.col(c) for c in own])
+
+    def along(at: str, best: Column, forward: bool) -> DataFrame:
+        line = turns.select(F.col(key).alias("__k"), F.col(at).alias("__at"), F.lit(0).alias("__kind"), turn.alias("__t"), F.lit(None).cast(points.select(who.alias("p")).schema["p"].dataType).alias("__p"))
+        line = line.unionByName(points.select(F.col(key).alias("__k"), F.col(point).alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(kind).alias("__t"), who.alias("__p")))
+        order = Window.partitionBy("__k").orderBy(F.asc("__at") if forward else F.desc("__at"), "__kind")
+        found = line.withColumn("__b", best.over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        return found.where("__kind = 1 and __b is not null").select("__p.*", F.col("__b.t").alias("__t"))
+
+    last = F.max(F.when(F.col("__kind") == 0, F.struct(F.col("__t.end_ms").alias("e"), (-F.col("__t.start_ms")).alias("s"), F.col("__t").alias("t"))))
+    first = F.min(F.when(F.col("__kind") == 0, F.struct(F.col("__t.start_ms").alias("s"), F.col("__t.end_ms").alias("e"), F.col("__t").alias("t"))))
+    at = points.select(*own, F.col(point).alias("start_ms"), F.col(point).alias("end_ms"))
+    inside = interval_join(at, turns, key).where((F.col("r_start_ms") <= F.col(point)) & (F.col(point) < F.col("r_end_ms")))
+    inside = inside.select(*own, F.struct(*[F.col(f"r_{f.name}").alias(f.name) for f in kind]).alias("__t"))
+    every = along("end_ms", last, True).unionByName(along("start_ms", first, False)).unionByName(inside)
+    start, end = F.col("__t.start_ms"), F.col("__t.end_ms")
+    away = F.when((start <= F.col(point)) & (F.col(point) < end), 0).otherwise(F.least(F.abs(F.col(point) - start), F.abs(F.col(point) - end)))
+    rest = [c for c in own if c not in point_id]
+    best = every.withColumn("distance", away).groupBy(*point_id).agg(F.min(F.struct("distance", F.col("__t"), *rest)).alias("b"))
+    return best.select(*point_id, *[f"b.{c}" for c in rest], "b.distance", *[F.col(f"b.__t.{f.name}").alias(f"r_{f.name}") for f in kind])
 
 
 #: Rows of a table of anchors that are broadcast at most; beyond, it is joined.

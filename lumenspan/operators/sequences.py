@@ -80,8 +80,8 @@ def per_group(rows: DataFrame, order: list[str], run, schema: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(stream, schema)
 
 
-def windows(rows: list[tuple[int, int]], target: int = WINDOW_TARGET, most: int = WINDOW_MOST, overlap: int = WINDOW_OVERLAP) -> list[tuple[int, int, int, int]]:
-    """(input start, input end, core start, core end) of speech windows.
+def windows(rows: list[tuple[int, int]], target: int = WINDOW_TARGET, most: int = WINDOW_MOST, overlap: int = WINDOW_OVERLAP) -> list[tuple[int, int, int, int, int]]:
+    """(input start, input end, core start, core end, segments seen at the core's end) of speech windows.
 
     Cores follow each other without gaps from the first segment's start.  A
     core ends with the segment that brings it to the target length; a segment
@@ -90,31 +90,38 @@ def windows(rows: list[tuple[int, int]], target: int = WINDOW_TARGET, most: int
     by the overlap.
     """
     target, overlap = max(1, target), max(0, overlap)
-    most, edges, reach = max(target, most), [], 0
-    for start, end in sorted(r for r in rows if r[0] < r[1]):
+    most, edges, seen, reach, n = max(target, most), [], [], 0, 0
+    for n, (start, end) in enumerate(sorted(r for r in rows if r[0] < r[1])):
         if not edges:
             edges, reach = [start], start
-        forced = -((most - (end - edges[-1])) // target)
+        forced = max(0, -((most - (end - edges[-1])) // target))
         edges += [edges[-1] + target * i for i in range(1, forced + 1)]
+        seen += [n] * forced
         reach = max(reach, end)
         if reach >= edges[-1] + target:
             edges.append(reach)
+            seen.append(n + 1)
     if edges and reach > edges[-1]:
         edges.append(reach)
-    return [(max(0, a - overlap), b + overlap, a, b) for a, b in zip(edges, edges[1:], strict=False)]
+        seen.append(n + 1)
+    return [(max(0, a - overlap), b + overlap, a, b, k) for a, b, k in zip(edges, edges[1:], seen, strict=False)]
 
 
 def speech_windows(segments: DataFrame, **limits) -> DataFrame:
-    """recording_id, window_index, the bounds of each recording's windows, and segments: the ordinals of those that meet the window.
+    """recording_id, window_index, the bounds of each recording's windows, and segments: the ordinals of those in its core.
 
-    ordinal, if segments have none, is the place in order of start and end.
+    A segment is in the cores it meets, but a core that is cut before a long
+    segment does not have that one.  ordinal, if segments have none, is the
+    place in order of start and end.
     """
 
     def run(key: int, columns: list[np.ndarray]) -> list[tuple]:
-        start, end, ordinal = columns
-        out = []
-        for i, (a, b, c, d) in enumerate(windows(list(zip(start.tolist(), end.tolist(), strict=True)), **limits)):
-            inside = np.flatnonzero((start[: np.searchsorted(start, b)] < b) & (end[: np.searchsorted(start, b)] > a))
+        start, end, ordinal = (c[columns[1] > columns[0]] for c in columns)
+        out, first = [], 0
+        latest = np.maximum.accumulate(end) if len(end) else end
+        for i, (a, b, c, d, seen) in enumerate(windows(list(zip(start.tolist(), end.tolist(), strict=True)), **limits)):
+            first = first + int(np.searchsorted(latest[first:], c, "right"))  # all before have ended
+            inside = first + np.flatnonzero((end[first:seen] > c) & (start[first:seen] < d))
             out.append((key, i, a, b, c, d, ordinal[inside].tolist()))
         return out
 

@@ -154,13 +154,16 @@ def exact_interval_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("recording_id"), F.col("l_quantity").alias("q")).agg(F.min("l_linenumber").alias("first_line"))
 
 
-@query("""WITH v AS (SELECT item_id, split_part(text, ' ', 1) AS word FROM benchmark), h AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS n
-    FROM v JOIN documents d ON strpos(d.text, word) > 0) SELECT item_id, doc_id, CAST(n AS BIGINT) AS place FROM h WHERE n <= 3""")
+@query("""WITH k AS (SELECT DISTINCT item_id, unnest(list_filter(string_split(text, ' '), lambda w: length(w) > 4)) AS w FROM benchmark), d AS (SELECT DISTINCT doc_id, n_chars, unnest(string_split(text, ' ')) AS w FROM documents),
+    h AS (SELECT item_id, w AS word, doc_id, row_number() OVER (PARTITION BY item_id, w ORDER BY n_chars, doc_id) AS n FROM k JOIN d USING (w)) SELECT item_id, word, doc_id, CAST(n AS BIGINT) AS place FROM h WHERE n <= 3""")
 def lateral_topk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.split_part("text", F.lit(" "), F.lit(1)).alias("word")))  # a stated set of queries
-    hits = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text").join(words, F.expr("instr(text, word) > 0"))
-    n = F.row_number().over(Window.partitionBy("item_id").orderBy("n_chars", "doc_id"))
-    return hits.select("item_id", "doc_id", "n_chars").withColumn("n", n).where("n <= 3").select("item_id", "doc_id", F.col("n").cast("long").alias("place"))
+    """For every longer word of every benchmark item the three shortest documents that hold it."""
+    longer = F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) > 4))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", F.explode(longer).alias("word"))
+    asked = F.broadcast(asked) if asked.count() <= J.BROADCAST_ROWS else asked
+    hits = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(longer).alias("word")).join(asked, "word")
+    n = F.row_number().over(Window.partitionBy("item_id", "word").orderBy("n_chars", "doc_id"))
+    return hits.withColumn("n", n).where("n <= 3").select("item_id", "word", "doc_id", F.col("n").cast("long").alias("place"))
 
 
 @query("SELECT id AS doc_id FROM (SELECT doc_id AS id FROM documents WHERE lang = 'en' UNION SELECT vec_id FROM embeddings UNION SELECT doc_id FROM labels WHERE toxic = 1) EXCEPT SELECT item_id FROM benchmark")

@@ -193,13 +193,13 @@ def evidence_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(vector, lexical): two ranked lanes of documents that overlap, by size from either end."""
-    docs = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("chunk_id"), "n_chars")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars")
     a = docs.where("chunk_id % 3 <> 1").orderBy("n_chars", "chunk_id").limit(20).withColumn("score", 1.0 / (1 + F.col("n_chars")))
     b = docs.where("chunk_id % 3 <> 2").orderBy("n_chars", "chunk_id").limit(20).withColumn("score", F.lit(0.5))
     return R.ranked(a, "n_chars", "chunk_id"), R.ranked(b, "n_chars", "chunk_id")
 
 
-LANES = """d AS (SELECT doc_id AS chunk_id, n_chars FROM documents WHERE doc_id % 2 = 0),
+LANES = """d AS (SELECT doc_id AS chunk_id, n_chars FROM documents),
     v AS (SELECT chunk_id, row_number() OVER (ORDER BY n_chars, chunk_id) AS rank FROM d WHERE chunk_id % 3 <> 1 ORDER BY rank LIMIT 20),
     l AS (SELECT chunk_id, row_number() OVER (ORDER BY n_chars, chunk_id) AS rank FROM d WHERE chunk_id % 3 <> 2 ORDER BY rank LIMIT 20),
     f AS (SELECT chunk_id, sum(w / (60 + rank)) AS s, min(rank) AS best FROM (SELECT chunk_id, rank, 0.7::DOUBLE AS w FROM v UNION ALL SELECT chunk_id, rank, 0.1::DOUBLE FROM l) x GROUP BY 1),

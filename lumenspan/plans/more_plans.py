@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.joins import interval_join
+from ..operators.joins import BROADCAST_ROWS, interval_join
 from ..sources.corpus import ctes, table, view
 from .registry import query
 
@@ -77,29 +77,35 @@ def alone_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seg.join(met, ["recording_id", "ordinal"], "left_anti").select("recording_id", "ordinal")
 
 
-@query("SELECT conv_id, string_agg(role || ':' || left(text, 20), '|' ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) c WHERE n <= 3 GROUP BY 1")
+@query("SELECT conv_id, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) c WHERE n <= 3 GROUP BY 1")
 def last_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
     last = table(spark, sf_dir, "conversations").withColumn("n", n).where("n <= 3")
-    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), F.left("text", F.lit(20))).alias("t"))))
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["t"]), "|").alias("history"))
+    rows = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(":"), "text").alias("t"))))
+    return last.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(rows, lambda r: r["t"]), "|")).alias("history"))
 
 
-@query("""WITH v AS (SELECT item_id, doc_id, k AS variant, row_number() OVER (PARTITION BY item_id, k ORDER BY n_chars, doc_id) AS rank, k = 0 AS exact, CASE WHEN k = 0 THEN 1.0 ELSE 0.95 END / n_chars AS score
-    FROM benchmark b, (SELECT 0 AS k UNION ALL SELECT 1) s, documents d WHERE strpos(d.text, split_part(b.text, ' ', k + 1)) > 0 AND length(split_part(b.text, ' ', k + 1)) > 4)
+@query("""WITH q AS (SELECT item_id, w, min(p) AS p FROM (SELECT item_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS p FROM benchmark) WHERE length(w) > 4 GROUP BY 1, 2),
+    k AS (SELECT item_id, w, row_number() OVER (PARTITION BY item_id ORDER BY p) - 1 AS k FROM q), d AS (SELECT DISTINCT doc_id, n_chars, unnest(string_split(text, ' ')) AS w FROM documents),
+    v AS (SELECT item_id, doc_id, k AS variant, row_number() OVER (PARTITION BY item_id, k ORDER BY n_chars, doc_id) AS rank, k = 0 AS exact, CASE WHEN k = 0 THEN 1.0 ELSE 0.95 END / n_chars AS score FROM k JOIN d USING (w))
     SELECT item_id, doc_id, CAST(arg_min(variant, (CASE WHEN exact THEN 0 ELSE 1 END, -score, variant, rank)) AS BIGINT) AS variant FROM v GROUP BY 1, 2""")
 def alias_variant_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best of a document's hits by variants of a query: exact first, then score, variant, rank."""
-    b = table(spark, sf_dir, "benchmark")
-    lanes = [b.select("item_id", F.lit(k).alias("variant"), F.split_part("text", F.lit(" "), F.lit(k + 1)).alias("word")) for k in (0, 1)]
-    words = F.broadcast(lanes[0].unionByName(lanes[1]).where("length(word) > 4"))  # two words for each stated query
-    hits = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "text").join(words, F.expr("instr(text, word) > 0"))
+    """The best of a document's hits by variants of a query, all its longer words: exact first, then score, variant, rank."""
+    hits = word_hits(spark, sf_dir)
     rank = F.row_number().over(Window.partitionBy("item_id", "variant").orderBy("n_chars", "doc_id"))
     score = F.when(F.col("variant") == 0, 1.0).otherwise(0.95) / F.col("n_chars")
     hits = hits.withColumn("rank", rank).withColumn("place", F.struct(F.when(F.col("variant") == 0, 0).otherwise(1), -score, "variant", "rank"))
     return hits.groupBy("item_id", "doc_id").agg(F.min_by("variant", "place").cast("long").alias("variant"))
 
 
+def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, variant, doc_id, n_chars: documents that hold a word of more than 4 characters of a benchmark item, the variants in the item's order; an equi-join over words."""
+    longer = F.array_distinct(F.filter(F.split("text", " "), lambda w: F.length(w) > 4))
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(longer).alias("variant", "w"))
+    words = F.broadcast(words) if words.count() <= BROADCAST_ROWS else words
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(longer).alias("w")).join(words, "w").drop("w")
+
+
 @query("""SELECT conv_id, turn, regexp_extract('x {"k": ' || turn || '} y', '(\\{[^}]*\\})', 1) AS found, trim(regexp_replace('  ' || role || '  ', '^ +| +$', '', 'g')) <> '' AS named FROM conversations""")
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('x {"k": '), F.col("turn").cast("string"), F.lit("} y"))

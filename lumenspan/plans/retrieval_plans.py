@@ -112,13 +112,14 @@ def hybrid_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("chunk_id", F.round("score", 9).alias("score"), "best_rank", "match_type")
 
 
-@query("""WITH c AS (SELECT doc_id, CAST(ceil(octet_length(encode(text)) / 4.0) AS BIGINT) + 4 AS tokens FROM documents
-    WHERE NOT regexp_matches(text, '[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]')),
-    r AS (SELECT doc_id, tokens, CAST(sum(tokens) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM (SELECT * FROM c ORDER BY doc_id LIMIT 100))
+@query("""WITH c AS (SELECT doc_id, source, CAST(ceil(octet_length(encode(regexp_replace(text, '[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]', '', 'g'))) / 4.0) AS BIGINT) + 4
+        + length(text) - length(regexp_replace(text, '[\\x{3400}-\\x{9fff}\\x{f900}-\\x{faff}]', '', 'g')) AS tokens FROM documents),
+    r AS (SELECT doc_id, source, tokens, CAST(sum(tokens) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running FROM c)
     SELECT * FROM r WHERE running <= 16000""")
 def rerank_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens")).orderBy("doc_id").limit(100)
-    return R.budget_prefix(rows, "tokens", 16_000, ["doc_id"]).select("doc_id", "tokens", "running")
+    """Of each source as many documents, in order, as a token budget allows; each has 4 tokens and more."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", T.token_estimate(F.col("text")).alias("tokens"))
+    return R.budget_prefix(rows, "tokens", 16_000, ["doc_id"], "source", least=4).select("doc_id", "source", "tokens", "running")
 
 
 @query(ctes("seg") + """, r AS (SELECT *, max(end_ms) OVER (PARTITION BY recording_id ORDER BY start_ms, end_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM seg),

@@ -85,8 +85,8 @@ def test_smoothing():
 
 def test_windows():
     assert Q.windows([]) == []
-    assert Q.windows([(0, 10_000), (10_000, 35_000), (36_000, 40_000)]) == [(0, 35_500, 0, 35_000), (34_500, 40_500, 35_000, 40_000)]
-    cores = [w[2:] for w in Q.windows([(0, 200_000)])]
+    assert Q.windows([(0, 10_000), (10_000, 35_000), (36_000, 40_000)]) == [(0, 35_500, 0, 35_000, 2), (34_500, 40_500, 35_000, 40_000, 3)]
+    cores = [w[2:4] for w in Q.windows([(0, 200_000)])]
     assert cores[0] == (0, 30_000) and cores[-1][1] == 200_000 and all(a[1] == b[0] for a, b in zip(cores, cores[1:], strict=False))
 
 
