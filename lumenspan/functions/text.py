@@ -107,6 +107,25 @@ def cited(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), F.lit(1)))
 
 
+def renumbered(text: Column, known: Column) -> Column:
+    """struct(text, cited, unknown): citation marks of known numbers (an array of whole numbers) counted anew by first appearance, others taken out.
+
+    cited holds the known numbers in their new order, unknown the others, each
+    once and in order.
+    """
+    number = lambda: F.transform(F.regexp_extract_all(text, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda n: n.cast("decimal(38,0)"))
+    has = lambda n: F.exists(known, lambda k: (k == n) & (k >= 1))
+    marks = F.array(F.struct(number().alias("n"), F.split(text, r"\[[0-9]+\]").alias("pieces")))
+    order = lambda m: F.array_distinct(F.filter(m["n"], has))
+
+    def rewritten(m: Column, cited: Column) -> Column:
+        mark = lambda i: F.when(has(F.get(m["n"], i)), F.concat(F.lit("["), F.array_position(cited, F.get(m["n"], i)).cast("string"), F.lit("]")))
+        return F.array_join(F.transform(m["pieces"], lambda p, i: F.concat(p, F.coalesce(mark(i), F.lit("")))), "")
+
+    one = lambda m: F.get(F.transform(F.array(order(m)), lambda c: F.struct(rewritten(m, c).alias("text"), c.alias("cited"), F.array_distinct(F.filter(m["n"], lambda n: ~has(n))).alias("unknown"))), F.lit(0))
+    return F.get(F.transform(marks, one), F.lit(0))
+
+
 @F.pandas_udf(StringType())
 def casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -130,40 +132,69 @@ def speech_windows(segments: DataFrame, **limits) -> DataFrame:
     return per_group(segments.select("recording_id", "start_ms", "end_ms", ordinal.cast("long").alias("ordinal")), ["start_ms", "end_ms"], run, schema)
 
 
-def bounded_chunks(utterances: list[dict], count_tokens, most_tokens: int = 800, most_ms: int = 180_000, most_utterances: int = 30) -> list[dict]:
-    """Chunks of whole sentences, closed before tokens, time or utterances would exceed a limit."""
-    import re
+class Chunks:
+    """Chunks of whole sentences of one recording's utterances, which come in order.
+
+    A chunk closes where the section changes, and before its search text (topic,
+    terms and context, then the speakers' lines) would have too many tokens, or
+    it too much time or too many utterances.  Only the open chunk is held.
+    """
 
-    def text_of(pieces: list[tuple[dict, str]]) -> str:
+    def __init__(self, count_tokens, most_tokens: int = 800, most_ms: int = 180_000, most_utterances: int = 30):
+        self.count, self.most = count_tokens, (most_tokens, most_ms, most_utterances)
+        self.held: list[tuple[dict, str]] = []
+
+    @staticmethod
+    def lines(pieces: list[tuple[dict, str]]) -> str:
         lines: dict[int, list[str]] = {}
         for u, s in pieces:
             lines.setdefault(u["utterance_index"], [u["label"], ""])[1] += s
         return "\n".join(f"{label}: {t.strip()}" for label, t in lines.values())
 
-    chunks, held = [], []
-
-    def close() -> None:
-        if held:
-            chunks.append({
-                "text": text_of(held), "start_ms": held[0][0]["start_ms"], "end_ms": held[-1][0]["end_ms"],
-                "utterances": list(dict.fromkeys(u["utterance_index"] for u, _ in held)),
-            })
-            held.clear()
-
-    for u in utterances:
-        for piece in re.split(r"(?<=。)|(?<=(?<![0-9])\.)|(?<=\.)(?![0-9])", u["text"]):
-            if not piece.strip():
-                continue
-            next_ = [*held, (u, piece)]
-            over = held and (
-                count_tokens(text_of(next_)) > most_tokens or u["end_ms"] - held[0][0]["start_ms"] > most_ms
-                or len({x["utterance_index"] for x, _ in next_}) > most_utterances
-            )
-            if over:
-                close()
-            held.append((u, piece))
-    close()
-    return chunks
+    @staticmethod
+    def terms(u: dict) -> list[str]:
+        terms = u.get("terms")
+        return list(dict.fromkeys(t.strip() for t in (terms if terms is not None else []) if t.strip()))
+
+    def search_text(self, pieces: list[tuple[dict, str]]) -> str:
+        u = pieces[0][0]
+        head = [(u.get("topic") or "").strip(), " ".join(self.terms(u)), (u.get("search_context") or "").strip()]
+        return "\n".join([*filter(None, head), self.lines(pieces)])
+
+    def _full(self, piece: tuple[dict, str]) -> bool:
+        tokens, ms, utterances = self.most
+        more = [*self.held, piece]
+        return piece[0]["end_ms"] - self.held[0][0]["start_ms"] > ms or len({u["utterance_index"] for u, _ in more}) > utterances or self.count(self.search_text(more)) > tokens
+
+    def close(self) -> list[dict]:
+        if not self.held:
+            return []
+        first, own = self.held[0][0], list(dict.fromkeys(u["utterance_index"] for u, _ in self.held))
+        out = {
+            "text": self.lines(self.held), "search_text": self.search_text(self.held), "start_ms": first["start_ms"], "end_ms": self.held[-1][0]["end_ms"],
+            "utterances": own, "section": first.get("section"), "topic": (first.get("topic") or "").strip() or None, "terms": self.terms(first),
+        }
+        self.held = []
+        return [out]
+
+    def add(self, u: dict) -> list[dict]:
+        out = self.close() if self.held and self.held[0][0].get("section") != u.get("section") else []
+        for piece in _SENTENCE_END.split(u["text"] or ""):
+            if piece.strip():
+                if self.held and self._full((u, piece)):
+                    out += self.close()
+                self.held.append((u, piece))
+        return out
+
+
+_SENTENCE_END = re.compile(r"(?<=。)|(?<=(?<![0-9])\.)|(?<=\.)(?![0-9])")
+
+
+def bounded_chunks(utterances: list[dict], count_tokens, **limits) -> list[dict]:
+    """The chunks of one recording's utterances."""
+    chunks = Chunks(count_tokens, **limits)
+    out = [c for u in utterances for c in chunks.add(u)]
+    return out + chunks.close()
 
 
 def estimated_tokens(text: str) -> int:
@@ -172,18 +203,67 @@ def estimated_tokens(text: str) -> int:
     return cjk + -(-other // 4)
 
 
-def search_chunks(utterances: DataFrame, **limits) -> DataFrame:
-    """recording_id, chunk_index, text, start_ms, end_ms, utterances of each recording's chunks."""
+def search_chunks(utterances: DataFrame, sections: DataFrame | None = None, **limits) -> DataFrame:
+    """recording_id, chunk_index, text, search_text, start_ms, end_ms, utterances, section, topic, terms of each recording's chunks.
+
+    sections has recording_id, section, first_index, last_index, topic, terms
+    (array) and search_context; they do not overlap, and utterances outside of
+    all are left out.  Without sections a recording is one.  Rows stream past
+    in order; a task holds the open chunk, however long the recording.
+    """
+    names = ["recording_id", "utterance_index", "label", "text", "start_ms", "end_ms"]
+    rows = utterances.select("recording_id", "utterance_index", F.col("cluster").alias("label"), "text", "start_ms", "end_ms")
+    if sections is None:
+        rows = rows.select(*names, F.lit(None).cast("long").alias("section"), F.lit(None).cast("string").alias("topic"), F.array().cast("array<string>").alias("terms"), F.lit(None).cast("string").alias("search_context"))
+    else:
+        own = sections.select(F.col("recording_id").alias("__r"), "section", "first_index", "last_index", "topic", "terms", "search_context")
+        rows = rows.join(own, (F.col("recording_id") == F.col("__r")) & F.col("utterance_index").between(F.col("first_index"), F.col("last_index"))).select(*names, F.col("section").cast("long").alias("section"), "topic", "terms", "search_context")
+    keys = ["chunk_index", "text", "search_text", "start_ms", "end_ms", "utterances", "section", "topic", "terms"]
+    kinds = ["long", "string", "string", "long", "long", "array<long>", "long", "string", "array<string>"]
+    arrow = {"long": pa.int64(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
+
+    def table(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], arrow[k]) for c, k in zip(["recording_id", *keys], ["long", *kinds], strict=True)], ["recording_id", *keys])
 
-    names = ["utterance_index", "label", "text", "start_ms", "end_ms"]
+    def run(batches):
+        chunks, key, n = Chunks(estimated_tokens, **limits), None, 0
 
-    def run(key: int, columns: list[np.ndarray]) -> list[tuple]:
-        rows = [dict(zip(names, r, strict=True)) for r in zip(*[c.tolist() for c in columns], strict=True)]
-        chunks = bounded_chunks(rows, estimated_tokens, **limits)
-        return [(key, i, c["text"], c["start_ms"], c["end_ms"], len(c["utterances"])) for i, c in enumerate(chunks)]
+        def named(found: list[dict]) -> list[dict]:
+            nonlocal n
+            n += len(found)
+            return [c | {"recording_id": key, "chunk_index": n - len(found) + i} for i, c in enumerate(found)]
+
+        for batch in batches:
+            out, columns = [], batch.schema.names
+            for values in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if values[0] != key:
+                    out += named(chunks.close())
+                    key, n = values[0], 0
+                out += named(chunks.add(dict(zip(columns, values, strict=True))))
+            yield table(out)
+        yield table(named(chunks.close()))
+
+    schema = ", ".join(["recording_id long", *[f"{c} {k}" for c, k in zip(keys, kinds, strict=True)]])
+    return rows.repartition("recording_id").sortWithinPartitions("recording_id", "utterance_index").mapInArrow(run, schema)
 
-    schema = "recording_id long, chunk_index long, text string, start_ms long, end_ms long, utterances long"
-    return per_group(utterances.select("recording_id", "utterance_index", "cluster", "text", "start_ms", "end_ms"), ["utterance_index"], run, schema)
+
+#: Fixed value: the longest stretch whose level is measured at once, in milliseconds.
+ANALYSIS_MS = 2_000
+
+
+def lone_windows(segments: DataFrame, most: int = ANALYSIS_MS, key: str = "recording_id", name: str = "ordinal") -> DataFrame:
+    """key, name, window (from 0), start_ms, end_ms: segments that no other of their key overlaps, in stretches of ``most`` at most.
+
+    In order of start, a segment overlaps another if one before it ends after
+    its start or the next begins before its end; so two neighbours say it, and
+    no pairs are made.  Segments without duration are left out.
+    """
+    by = Window.partitionBy(key).orderBy("start_ms", "end_ms", name)
+    rows = segments.where("end_ms > start_ms").select(key, name, "start_ms", "end_ms")
+    reach, following = F.max("end_ms").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lead("start_ms").over(by)
+    alone = rows.withColumn("__reach", reach).withColumn("__next", following).where("coalesce(__reach <= start_ms, true) and coalesce(__next >= end_ms, true)")
+    cut = alone.select(key, name, "end_ms", F.posexplode(F.sequence(F.col("start_ms"), F.col("end_ms") - 1, F.lit(most).cast("long"))).alias("window", "start_ms"))
+    return cut.select(key, name, F.col("window").cast("long").alias("window"), "start_ms", F.least(F.col("end_ms"), F.col("start_ms") + most).alias("end_ms"))
 
 
 def topological_order(parents: dict[str, set[str]]) -> list[str]:

@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import alignment, documents, folds
 from ..operators import retrieval as R
+from ..operators import sequences as Q
+from ..operators.evaluation import match_gold
 from ..operators.joins import BROADCAST_ROWS
 from ..sources.corpus import ctes, table, view
 from ..sources.snapshots import Versions, shared_folder
@@ -183,3 +186,53 @@ def frozen_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = versions.freeze(labels, versions.preview(labels))
     again = versions.freeze(labels.orderBy("quality", "doc_id"), versions.preview(labels))
     return versions.read().select("doc_id", "quality", F.lit(first.version).alias("version"), F.lit(again == first).alias("reused"))
+
+
+#: Every sixth word of a turn is followed by a mark, of which only the numbers up to 2 plus a part of the turn are known.
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) - 1 AS i FROM conversations),
+    m AS (SELECT *, CASE WHEN i % 6 = 5 THEN length(w) % 7 END AS n FROM w),
+    f AS (SELECT conv_id, turn, n, row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(i)) AS place FROM m WHERE n BETWEEN 1 AND 2 + turn % 4 GROUP BY 1, 2, 3),
+    u AS (SELECT conv_id, turn, count(DISTINCT n) AS unknown FROM m WHERE n IS NOT NULL AND NOT n BETWEEN 1 AND 2 + turn % 4 GROUP BY 1, 2)
+    SELECT conv_id, turn, md5(string_agg(w || CASE WHEN place IS NOT NULL THEN '[' || place || ']' ELSE '' END, ' ' ORDER BY i)) AS answer,
+        coalesce((SELECT string_agg(n, ',' ORDER BY place) FROM f WHERE f.conv_id = m.conv_id AND f.turn = m.turn), '') AS cited, coalesce(max(unknown), 0) AS unknown
+    FROM m LEFT JOIN f USING (conv_id, turn, n) LEFT JOIN u USING (conv_id, turn) GROUP BY conv_id, turn""")
+def renumbered_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers whose citation marks are counted anew by first appearance, marks of unknown sources taken out."""
+    marked = F.array_join(F.transform(F.split("text", " "), lambda w, i: F.when(i % 6 == 5, F.concat(w, F.lit("["), F.length(w) % 7, F.lit("]"))).otherwise(w)), " ")
+    known = F.sequence(F.lit(1), (2 + F.col("turn") % 4).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", T.renumbered(marked, known).alias("r"))
+    return rows.select("conv_id", "turn", F.md5("r.text").alias("answer"), F.array_join(F.transform("r.cited", lambda n: n.cast("string")), ",").alias("cited"), F.size("r.unknown").cast("long").alias("unknown"))
+
+
+@query(ctes("seg") + """, alone AS (SELECT * FROM seg s WHERE end_ms > start_ms AND NOT EXISTS (SELECT 1 FROM seg o WHERE o.recording_id = s.recording_id AND o.ordinal <> s.ordinal AND o.end_ms > o.start_ms AND o.start_ms < s.end_ms AND s.start_ms < o.end_ms))
+    SELECT recording_id, ordinal, CAST(k AS BIGINT) AS window, start_ms + 2000 * k AS start_ms, least(end_ms, start_ms + 2000 * (k + 1)) AS end_ms FROM (SELECT *, unnest(range((end_ms - start_ms + 1999) // 2000)) AS k FROM alone)""")
+def lone_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments that nothing else is said over, in stretches of two seconds whose level can be measured."""
+    return Q.lone_windows(view(spark, sf_dir, "seg"))
+
+
+@query()
+def rows_only_topic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search chunks that keep to sections of four turns, each with a topic, terms and a context."""
+    utt = view(spark, sf_dir, "utt")
+    four = utt.withColumn("section", F.expr("utterance_index div 4"))
+    first = F.expr("min_by(text, utterance_index)")
+    sections = four.groupBy("recording_id", "section").agg(F.min("utterance_index").alias("first_index"), F.max("utterance_index").alias("last_index"), F.split_part(first, F.lit(" "), F.lit(1)).alias("topic"), F.slice(F.split(first, " "), 2, 3).alias("terms"), F.lit("context").alias("search_context"))
+    return Q.search_chunks(utt, sections)
+
+
+#: Each turn is gold under its number; what was retrieved covers a turn and the first part of the next, and names a chunk, quotes it, or neither.
+EVIDENCE = """SELECT recording_id AS case_id, recording_id, utterance_index AS evidence_id, utterance_index AS chunk_id, start_ms, end_ms, CAST(1 + utterance_index % 3 AS BIGINT) AS relevance, substr(text, 1, 40) AS quote FROM {utt} AS u WHERE text <> ''"""
+FOUND = """SELECT recording_id AS case_id, recording_id, utterance_index AS rank, CASE WHEN utterance_index % 3 = 0 THEN utterance_index ELSE -1 END AS chunk_id,
+    CASE WHEN utterance_index % 3 = 1 THEN start_ms ELSE end_ms - 1 END AS start_ms, CASE WHEN utterance_index % 3 = 1 THEN end_ms + 900 ELSE end_ms END AS end_ms, concat('... ', replace(text, ' ', '  ')) AS text FROM {utt} AS u WHERE text <> ''"""
+
+
+@query(ctes("utt") + ", g AS (" + EVIDENCE.format(utt="utt") + "), f AS (" + FOUND.format(utt="utt") + r"""), m AS (SELECT f.case_id, f.rank, g.evidence_id, g.relevance,
+        greatest(0, least(f.end_ms, g.end_ms) - greatest(f.start_ms, g.start_ms)) / greatest(1, g.end_ms - g.start_ms)::DOUBLE AS overlap, f.chunk_id = g.chunk_id AS same,
+        strpos(trim(regexp_replace(f.text, '\s+', ' ', 'g')), trim(regexp_replace(g.quote, '\s+', ' ', 'g'))) > 0 AS quoted FROM f JOIN g USING (case_id)),
+    k AS (SELECT *, CASE WHEN same THEN 3 WHEN overlap >= 0.5 THEN 2 WHEN quoted THEN 1 END AS p FROM m)
+    SELECT case_id, rank, evidence_id, relevance, ['quote', 'time_overlap', 'checksum'][p] AS kind, row_number() OVER (PARTITION BY case_id, rank ORDER BY p DESC, relevance DESC, overlap DESC, evidence_id DESC) = 1 AS primary_match FROM k WHERE p IS NOT NULL""")
+def gold_by_every_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold that retrieved stretches cover by chunk, by time, or by quoting it, and the primary one of each rank."""
+    utt = view(spark, sf_dir, "utt")
+    return match_gold(spark.sql(FOUND, utt=utt), spark.sql(EVIDENCE, utt=utt)).withColumnRenamed("primary", "primary_match")

@@ -100,6 +100,32 @@ def test_chunks_and_batches(spark):
     assert got == [(1, 0, 2, 10), (1, 1, 1, 5), (1, 2, 1, 20), (1, 3, 1, 1)]
 
 
+def test_chunks_keep_to_sections_and_count_their_search_text(spark):
+    utt = [(1, i, "Speaker A", f"第{i + 1}句。", i * 1_000, (i + 1) * 1_000) for i in range(4)] + [(2, 0, "B", "outside. of all", 0, 5), (2, 1, "B", "in. side", 5, 9)]
+    utterances = spark.createDataFrame(utt, "recording_id long, utterance_index long, cluster string, text string, start_ms long, end_ms long")
+    sections = spark.createDataFrame([(1, 0, 0, 0, " 公司营收 ", ["营收", "收入", "营收", " "], "这段对话"), (1, 1, 1, 3, "话题二", [], None), (2, 0, 1, 1, None, None, " ")], "recording_id long, section long, first_index long, last_index long, topic string, terms array<string>, search_context string")
+    got = Q.search_chunks(utterances, sections).orderBy("recording_id", "chunk_index").collect()
+    assert [(r.recording_id, r.chunk_index, r.utterances, r.topic, r.terms) for r in got] == [(1, 0, [0], "公司营收", ["营收", "收入"]), (1, 1, [1, 2, 3], "话题二", []), (2, 0, [1], None, [])]
+    assert got[0].search_text == "公司营收\n营收 收入\n这段对话\nSpeaker A: 第1句。" and got[0].text == "Speaker A: 第1句。"
+    tokens = Q.estimated_tokens(got[1].text)
+    assert len(Q.search_chunks(utterances, sections, most_tokens=tokens).where("recording_id = 1 and section = 1").collect()) == 2  # with its topic it has more
+    assert len(Q.search_chunks(utterances, most_tokens=tokens).where("recording_id = 1").collect()) == 2
+    assert Q.search_chunks(utterances.limit(0)).count() == 0
+
+
+def test_lone_windows(spark):
+    rows = [(1, 1, 0, 4_500), (1, 2, 4_500, 5_000), (1, 3, 6_000, 9_000), (1, 4, 8_999, 9_500), (1, 5, 9_400, 9_400), (1, 6, 20_000, 60_000), (1, 7, 30_000, 31_000), (1, 8, 59_999, 70_000), (2, 1, 0, 10)]
+    got = Q.lone_windows(spark.createDataFrame(rows, "recording_id long, ordinal long, start_ms long, end_ms long"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 0, 2_000), (1, 1, 1, 2_000, 4_000), (1, 1, 2, 4_000, 4_500), (1, 2, 0, 4_500, 5_000), (2, 1, 0, 0, 10)]
+
+
+def test_renumbered_citations(spark):
+    seen = lambda t, known: tuple(one(spark, T.renumbered(F.lit(t), F.lit(known).cast("array<int>")).alias("r"))[0])
+    plain = lambda r: (r[0], [int(x) for x in r[1]], [int(x) for x in r[2]])
+    assert plain(seen("a [3] b [1][3] c [9][0]", [0, 1, 3])) == ("a [1] b [2][1] c ", [3, 1], [9, 0])
+    assert plain(seen("none [x] []", [1])) == ("none [x] []", [], []) and plain(seen("[2]", [])) == ("", [], [2])
+
+
 def test_orders():
     assert Q.topological_order({"b": {"a"}, "a": set(), "c": {"a"}}) == ["a", "b", "c"]
     with pytest.raises(ValueError):
