@@ -89,9 +89,17 @@ def render_lines(rows: Column, default: str = "Unknown") -> Column:
 
 
 def overlapping_starts(text: Column, needle: Column) -> Column:
-    """All 1-based starts of needle in text, overlapping ones too."""
-    last = F.length(text) - F.length(needle) + 1
-    return F.when(last >= 1, F.filter(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.length(needle)) == needle)).otherwise(F.array().cast("array<int>"))
+    """All 1-based starts of needle in text, overlapping ones too; an empty needle has none."""
+    one = F.array(F.struct(F.split(text, "").alias("t"), F.split(needle, "").alias("n")))
+    last = lambda s: F.size(s["t"]) - F.size(s["n"]) + 1
+    starts = lambda s: F.when(last(s) >= 1, F.filter(F.sequence(F.lit(1), last(s)), lambda i: F.slice(s["t"], i, F.size(s["n"])) == s["n"]))
+    return F.when(F.length(needle) > 0, F.coalesce(F.get(F.transform(one, starts), F.lit(0)), F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
+
+
+def fenced_object(text: Column) -> Column:
+    """The object inside a fence of three back quotes, else the stretch from the first { to the last }; empty if there is none."""
+    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(\{.*\})\s*```", 1)
+    return F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)(\{.*\})", 1))
 
 
 def splice(text: Column, spans: Column) -> Column:
@@ -142,8 +150,13 @@ def speaker_label(index: Column) -> Column:
     return F.when(index < 26, F.concat(F.lit("Speaker "), F.chr(index + 65))).otherwise(F.concat(F.lit("Speaker "), (index + 1).cast("string")))
 
 
+@F.pandas_udf(StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 NORMALIZERS = {
-    ("strict", 1): lambda c: F.trim(F.udf(lambda t: None if t is None else unicodedata.normalize("NFC", t), "string", useArrow=True)(c)),
+    ("strict", 1): lambda c: F.trim(nfc(c)),
     ("zh_asr", 1): lambda c: F.regexp_replace(F.lower(nfkc(c)), r"[\p{P}\p{S}\s]", ""),
 }
 

@@ -106,10 +106,15 @@ def word_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.explode(longer).alias("w")).join(words, "w").drop("w")
 
 
-@query("""SELECT conv_id, turn, regexp_extract('x {"k": ' || turn || '} y', '(\\{[^}]*\\})', 1) AS found, trim(regexp_replace('  ' || role || '  ', '^ +| +$', '', 'g')) <> '' AS named FROM conversations""")
+#: Answers with an object: bare with others behind it, in a fence, in a fence that names it, or none; texts stand around and inside it.
+REPLY = """CASE turn % 4 WHEN 0 THEN role || ' {"k": ' || turn || ', "in": {}} and {' || text || '} end' WHEN 1 THEN 'x {a} ```json\n {"k": {"t": "' || replace(text, '"', '') || '"}}\n``` {b}'
+    WHEN 2 THEN '```' || '{"k": ' || turn || '}``` tail' ELSE 'none: ' || text END"""
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN md5('{\"k\": ' || turn || ', \"in\": {}} and {' || text || '}') WHEN 1 THEN md5('{\"k\": {\"t\": \"' || replace(text, '\"', '') || '\"}}') WHEN 2 THEN md5('{\"k\": ' || turn || '}') ELSE md5('') END AS found FROM conversations")
 def json_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit('x {"k": '), F.col("turn").cast("string"), F.lit("} y"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract(text, r"(?s)(\{.*\})", 1).alias("found"), (F.trim("role") != "").alias("named"))
+    reply = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(REPLY).alias("reply"))
+    return reply.select("conv_id", "turn", F.md5(T.fenced_object(F.col("reply"))).alias("found"))
 
 
 @query("""SELECT metric, CAST(count(*) AS BIGINT) AS n, round(sum(v), 6) AS total FROM (SELECT event_type, unnest(['value', 'k']) AS metric, unnest([value, CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE)]) AS v FROM events) u GROUP BY 1""")

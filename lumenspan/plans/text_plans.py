@@ -15,7 +15,11 @@ from .registry import query
 
 @query(r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '\p{P}', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM documents")
 def normalize_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_search(F.col("text"), unicode=False)).alias("digest"))
+    """Every second document is written in full width first, which its normal form undoes."""
+    narrow = "".join(map(chr, range(0x30, 0x7F)))
+    wide = F.translate("text", narrow, "".join(chr(ord(c) + 0xFEE0) for c in narrow))
+    text = F.when(F.col("doc_id") % 2 == 1, wide).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize_search(text)).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(concat_ws(chr(10), CASE WHEN doc_id % 2 = 0 THEN source END, lang || ' ' || source, CASE WHEN doc_id % 3 = 0 THEN 'context' END, text)) AS digest FROM documents""")
@@ -103,9 +107,12 @@ def guarded_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", T.is_near(F.col("b"), F.col("a")).alias("corrected"))
 
 
-@query("""SELECT conv_id, turn, CAST((length(text) - length(replace(text, 'th', ''))) // 2 AS BIGINT) AS starts FROM conversations""")
+@query("""WITH c AS (SELECT conv_id, turn, regexp_replace(lower(text), '[a-m]', 'a', 'g') AS t FROM conversations)
+    SELECT conv_id, turn, len(list_filter(range(1, length(t)), lambda i: substr(t, i, 2) = 'aa')) AS starts FROM c""")
 def overlapping_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.overlapping_starts(F.col("text"), F.lit("th"))).cast("long").alias("starts"))
+    """How often two letters of the alphabet's first half follow each other; such pairs overlap."""
+    t = F.regexp_replace(F.lower("text"), "[a-m]", "a")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(T.overlapping_starts(t, F.lit("aa"))).cast("long").alias("starts"))
 
 
 @query("""WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY t) - 1 AS i FROM f)
