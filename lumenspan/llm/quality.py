@@ -182,18 +182,16 @@ def _bin(score: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((score + 0.5) * BINS / 2), 0, BINS - 1).astype(np.int64)
 
 
-def scores(x: np.ndarray, model: dict | None) -> np.ndarray:
-    """Calibrated scores in [0, 1]; 0.5 without a model.
+def scores(x: np.ndarray, model: dict | None) -> tuple[np.ndarray, np.ndarray]:
+    """(calibrated scores in [0, 1], ridge scores); 0.5 and 0 without a model.
 
-    The isotonic steps are joined by straight lines between their bins, and
-    0.02 of the score is the raw score, so that texts of one step keep their
-    order; both leave the score a non-decreasing function of the raw one.
+    The calibrated score is the isotonic fit, whose steps are joined by straight
+    lines between their bins; the ridge score keeps texts of one step in order.
     """
     if model is None:
-        return np.full(len(x), 0.5)
+        return np.full(len(x), 0.5), np.zeros(len(x))
     raw = _mapped(x.astype(float), model) @ model["beta"]
-    fit = np.interp((raw + 0.5) * BINS / 2, model["bins"] + 0.5, model["fit"])
-    return np.clip(0.98 * fit + 0.02 * np.clip((raw + 0.5) / 2, 0, 1), 0.0, 1.0)
+    return np.clip(np.interp((raw + 0.5) * BINS / 2, model["bins"] + 0.5, model["fit"]), 0.0, 1.0), raw
 
 
 def is_held_out(id_col: str = "doc_id"):
@@ -201,7 +199,7 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, label_col: str = "quality") -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs.
+    """doc_id, held_out, score, predicted, ridge_score of every row of docs.
 
     Labels of held-out documents, null labels and labels of no document teach
     nothing; of a document labelled more than once each label counts.  Null
@@ -217,7 +215,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores(x, bound.value), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(s, pa.float64()) for s in scores(x, bound.value)]], ["doc_id", "score", "ridge_score"])
 
-    out = stats.mapInArrow(run, "doc_id long, score double")
-    return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = stats.mapInArrow(run, "doc_id long, score double, ridge_score double")
+    return out.select("doc_id", is_held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "ridge_score")

@@ -388,11 +388,17 @@ def test_quality(spark):
         labels.append((i, int(good)))
     rows += [(500, None), (501, ""), (502, "x" * 9999)]
     labels += [(3, None), (None, 1), (999, 1)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    rows += [(503, "one two three " * 4_000)] * 2 + [(3, rows[4][1]), (None, rows[4][1])]
+    docs = spark.createDataFrame([(*r, "c", "c", "c") for r in rows], "doc_id long, text string, score string, x string, y string")
+    found = quality.score_quality(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(found) == len(rows) and len({r.score for r in found if r.doc_id == 503}) == 1
+    assert {r.score for r in found if r.doc_id is None} == {r.score for r in found if r.doc_id == 4} <= {r.score for r in found if r.doc_id == 3}
+    order = sorted((r.ridge_score, r.score) for r in found)
+    assert all(a[1] <= b[1] for a, b in zip(order, order[1:], strict=False))  # the fit never falls
+    got = {r.doc_id: r for r in found}
     held = [(got[i].predicted, y) for i, y in labels[:400] if got[i].held_out]
-    assert len(got) == 403 and held and sum(a == b for a, b in held) / len(held) > 0.95
-    assert all(0 <= r.score <= 1 for r in got.values())
+    assert held and sum(a == b for a, b in held) / len(held) > 0.95
+    assert all(0 <= r.score <= 1 for r in found)
 
 
 def test_isotonic():
