@@ -78,23 +78,25 @@ def nearest(points: DataFrame, turns: DataFrame, key: str, point_id: list[str],
 BROADCAST_ROWS = 1_000_000
 
 
-def contains_join(docs: DataFrame, text: str, passages: DataFrame, passage: str, words: int = 3) -> DataFrame:
-    """Pairs of a text and a passage that it holds.
+def contains_join(docs: DataFrame, id_col: str, text: str, passages: DataFrame, passage: str, words: int = 3) -> DataFrame:
+    """Pairs of a text (its id is unique) and a passage that it holds.
 
     Words inside a passage, not its first and last, are whole words of every
     text that holds it.  Its longest ``words`` words in a row are its anchor;
     texts meet it over the hashes of all their words in a row, in an
-    equi-join, and hits are verified.  Passages too short for an anchor are
-    looked for in all texts, which is a product of these few with the texts.
+    equi-join that carries ids only.  Texts are joined to these hits, and
+    verified.  Passages too short for an anchor are looked for in all texts,
+    which is a product of these few with the texts.
     """
     run = lambda a, i: F.array_join(F.slice(a, i, F.lit(words)), " ")
     cut = passages.withColumn("__w", F.split(passage, " "))
     inner = F.transform(F.sequence(F.lit(2), F.size("__w") - words), lambda i: F.struct(F.length(run(F.col("__w"), i)).alias("n"), run(F.col("__w"), i).alias("a")))
     anchored = cut.where(F.size("__w") >= words + 2).withColumn("__a", F.xxhash64(F.array_max(inner)["a"])).drop("__w")
     grams = F.when(F.size("__t") >= words, F.transform(F.sequence(F.lit(1), F.size("__t") - words + 1), lambda i: F.xxhash64(run(F.col("__t"), i)))).otherwise(F.array().cast("array<bigint>"))
-    rows = docs.withColumn("__t", F.split(text, " ")).withColumn("__g", F.explode(F.array_distinct(grams))).drop("__t")
+    rows = docs.select(F.col(id_col).alias("__id"), F.split(text, " ").alias("__t")).select("__id", F.explode(F.array_distinct(grams)).alias("__g"))
     side = F.broadcast(anchored) if anchored.count() <= BROADCAST_ROWS else anchored
-    held = rows.join(side, F.col("__g") == F.col("__a")).drop("__g", "__a").where(F.position(F.col(passage), F.col(text)) > 0)
+    hits = rows.join(side, F.col("__g") == F.col("__a")).drop("__g", "__a")
+    held = docs.join(hits, F.col(id_col) == F.col("__id")).drop("__id").where(F.position(F.col(passage), F.col(text)) > 0)
     short = cut.where(F.size("__w") < words + 2).drop("__w")
     if short.isEmpty():
         return held

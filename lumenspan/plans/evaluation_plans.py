@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators.joins import contains_join
 from ..sources.corpus import ctes, table, view
+from ..sources.snapshots import shared_folder
 from .registry import query
 
 FLAT = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
@@ -19,7 +20,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), flat("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), flat("text").alias("body"))
-    return contains_join(docs, "body", items, "passage").select("case_id", "chunk_id", (1 + F.col("chunk_id") % 3).alias("relevance"))
+    return contains_join(docs, "chunk_id", "body", items, "passage").select("case_id", "chunk_id", (1 + F.col("chunk_id") % 3).alias("relevance"))
 
 
 def ranked(g: DataFrame) -> DataFrame:
@@ -42,7 +43,9 @@ MATCHED = GOLD + """, r AS (SELECT case_id, chunk_id, relevance, 2 * row_number(
     round(1.0 / min(rank), 9) AS reciprocal_rank, round(sum(CASE WHEN rank <= 10 THEN (power(2, relevance) - 1) / log2(rank + 1) ELSE 0 END) / max(ideal), 9) AS ndcg_at_10
     FROM i JOIN n USING (case_id) JOIN r USING (case_id) GROUP BY 1""")
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir).persist()  # the hits are few, and finding them reads all texts
+    path = shared_folder(spark, "gold")
+    gold(spark, sf_dir).write.parquet(path)  # the hits are few, and finding them reads all texts
+    g = spark.read.parquet(path)
     anchors = g.select("case_id", F.lit(1).alias("recording_id"), "chunk_id", F.col("chunk_id").alias("evidence_id"), "relevance", F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"), F.lit("\u0001").alias("quote"))
     items = ranked(g).select("case_id", "rank", F.lit(1).alias("recording_id"), "chunk_id", F.lit("").alias("text"), F.lit(0).alias("start_ms"), F.lit(0).alias("end_ms"))
     out = E.rank_metrics(E.match_gold(items, anchors), anchors)

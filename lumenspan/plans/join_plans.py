@@ -67,7 +67,7 @@ def display_name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     utt = view(spark, sf_dir, "utt")
     names = utt.where("cluster <> 'system'").select("recording_id", "cluster").distinct().withColumn("name", F.when(F.col("recording_id") % 3 != 0, F.concat(F.lit("name "), "cluster")))
     profiles = utt.where("cluster = 'user'").select("cluster").distinct().withColumn("profile", F.concat(F.lit("profile "), "cluster"))
-    out = utt.join(names, ["recording_id", "cluster"], "left").join(F.broadcast(profiles), "cluster", "left")  # a row for each role
+    out = utt.join(names, ["recording_id", "cluster"], "left").join(F.broadcast(profiles), "cluster", "left")  # one row at most: the distinct value of a single role
     label = F.coalesce(F.when(F.col("recording_id") % 5 == 0, F.col("profile")), "name", "cluster")
     return out.select("recording_id", "utterance_index", label.alias("label"))
 

@@ -87,7 +87,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def protected_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
-    hits = contains_join(docs, "text", items, "passage").select("query", "chunk_id", F.col("chunk_id").alias("rank"), F.lit(0.0).alias("score"), F.lit(True).alias("is_exact"))
+    hits = contains_join(docs, "chunk_id", "text", items, "passage").select("query", "chunk_id", F.col("chunk_id").alias("rank"), F.lit(0.0).alias("score"), F.lit(True).alias("is_exact"))
     return R.retain_protected(fused(spark, sf_dir), hits).select("chunk_id", "appended")
 
 
