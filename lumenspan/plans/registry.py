@@ -30,7 +30,7 @@ def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query
 
 
 def _load() -> None:
-    from . import aggregate_plans, evaluation_plans, join_plans, lifecycle_plans, more_plans, retrieval_plans, scope_plans, scoring_plans, state_plans, structure_plans, text_plans  # noqa: F401
+    from . import aggregate_plans, evaluation_plans, join_plans, lifecycle_plans, more_plans, retrieval_plans, scope_plans, scoring_plans, state_plans, structure_plans, text_plans, version_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -121,7 +121,11 @@ def test_window_counts_stream(spark, tmp_path):
     assert spark.table("windows").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["vector_topk", "rrf_fusion", "interval_overlap_join", "token_p90_by_operation", "outbox_head_of_line", "rank_metrics", "split_assignment", "speaker_merge_fold"])
+@pytest.mark.parametrize("name", ["vector_topk", "rrf_fusion", "interval_overlap_join", "token_p90_by_operation", "outbox_head_of_line", "rank_metrics", "split_assignment", "speaker_merge_fold",
+    "restored_tokens", "assembled_turns", "document_sections", "document_search_texts", "balanced_objects", "rolling_summary_chunks", "reranked", "renumbered_citations", "lone_windows",
+    "gold_by_every_path", "frozen_cases", "nearest_interval", "budget_batches", "lateral_topk_variants", "alias_variant_merge", "last_turns", "rerank_budget_prefix", "normalize_search",
+    "overlapping_occurrences", "json_objects", "protected_retention", "gold_match", "config_versions", "artifact_round_trip", "evaluation_normal_forms", "expression_forms", "failed_lanes",
+])
 def test_oracles(spark, name):
     from lumenspan.sources.corpus import TABLES
 
