@@ -35,7 +35,20 @@ def test_merge_in_rank_order_is_not_transitive(spark):
 def test_rerank_order_and_budget(spark):
     df = spark.createDataFrame([("a", 1, None, 5), ("b", 2, 0.5, 5), ("c", 3, 0.9, 5)], "chunk_id string, rank long, rerank_score double, n long")
     assert [r.chunk_id for r in R.rerank_order(df).orderBy("index").collect()] == ["c", "b", "a"]
-    assert R.budget_prefix(df, "n", 12, ["rank"]).count() == 2
+    of_one = df.withColumn("q", F.lit(1))
+    assert R.budget_prefix(of_one, "n", 12, ["rank"], "q").count() == 2 and R.budget_prefix(of_one.unionByName(of_one.withColumn("q", F.lit(2))), "n", 5, ["rank"], "q", least=5).count() == 2
+
+
+def test_a_lane_that_fails_is_empty(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, 0.5)], "chunk_id string, rank long, score double")
+    lane, error = R.tried_lane(lambda: rows, f"file://{tmp_path}/good")
+    assert error is None and lane.count() == 1
+    for i, build in enumerate([lambda: rows.withColumn("score", F.raise_error(F.lit("damaged")).cast("double")), lambda: spark.read.parquet(f"file://{tmp_path}/nowhere"), lambda: rows.select("none")]):
+        lane, error = R.tried_lane(build, f"file://{tmp_path}/bad{i}")
+        assert lane is None and error
+    with pytest.raises(RuntimeError):
+        R.search([lane], [lane])
+    assert R.search([lane], [rows]).first().score == pytest.approx(0.1 / 61)
 
 
 def test_interval_join_gives_each_pair_once(spark):
