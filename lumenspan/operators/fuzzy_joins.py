@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import alike
 from .joins import BROADCAST_ROWS
 
-#: Pieces of a needle that an occurrence leaves whole at least, where the needle is long enough.
-WHOLE = 2
+#: Pieces of a needle that an occurrence leaves whole at least, where the needle is long enough; one allows the longest, and so rarest, pieces.
+WHOLE = 1
 
 
 def _pieces(needles: DataFrame, threshold: float) -> DataFrame:
@@ -66,18 +66,23 @@ def fuzzy_occurrences(needles: DataFrame, texts: DataFrame, threshold: float = 8
         widths = sorted(r["width"] for r in pieces.select("width").distinct().collect())
         if not widths:
             return texts.select("text_id").limit(0).selectExpr("cast(null as bigint) as needle_id", "text_id", "0 as start", "0 as end", "0D as similarity")
+        needed = sorted(r["needed"] for r in pieces.select("needed").distinct().collect())
         few = pieces.count() <= BROADCAST_ROWS
     finally:
         pieces.unpersist()
     near = lambda df: F.broadcast(df) if few else df
     met = _grams(texts.where("text is not null"), widths).join(near(pieces.drop("needle")), ["width", "piece"])
-    lo = F.col("place") - F.col("at") - F.col("edits")
-    spans = met.select("needle_id", "text_id", "at", "needed", F.greatest(F.lit(0), lo).alias("lo"), (F.col("place") - F.col("at") + F.col("edits") + F.col("most")).alias("hi"))
-    by = Window.partitionBy("needle_id", "text_id").orderBy("lo", "hi", "at")
+    # a piece says where the needle would begin; of an occurrence that begins at s, enough say so within edits of s
+    begins = met.select("needle_id", "text_id", "needed", "edits", "most", (F.col("place") - F.col("at")).alias("begin"))
+    by = Window.partitionBy("needle_id", "text_id").orderBy("begin")
+    last = F.coalesce(*[F.when(F.col("needed") == k, F.lead("begin", k - 1).over(by)) for k in needed])
+    dense = begins.withColumn("last", last).where(F.col("last") - F.col("begin") <= 2 * F.col("edits"))
+    spans = dense.select("needle_id", "text_id", F.greatest(F.lit(0), F.col("last") - F.col("edits")).alias("lo"), (F.col("begin") + F.col("edits") + F.col("most")).alias("hi"))
+    by = Window.partitionBy("needle_id", "text_id").orderBy("lo", "hi")
     before = F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1))
     regions = spans.withColumn("new", F.when(F.col("lo") < before, 0).otherwise(1)).withColumn("region", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    regions = regions.groupBy("needle_id", "text_id", "region").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_distinct("at").alias("whole"), F.first("needed").alias("needed"))
-    regions = regions.where("whole >= needed").join(near(needles.select("needle_id", "needle")), "needle_id")
+    regions = regions.groupBy("needle_id", "text_id", "region").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    regions = regions.join(near(needles.select("needle_id", "needle")), "needle_id")
     own = texts.select("text_id", "text").join(regions, "text_id").select("needle_id", "text_id", "needle", "lo", F.substring(F.col("text"), F.col("lo") + 1, F.col("hi") - F.col("lo")).alias("stretch"))
     found = own.withColumn("w", F.explode(alike(F.col("needle"), F.col("stretch"), threshold)))
     return found.select("needle_id", "text_id", (F.col("lo") + F.col("w.start")).alias("start"), (F.col("lo") + F.col("w.end")).alias("end"), F.col("w.similarity").alias("similarity"))
