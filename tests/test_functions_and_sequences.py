@@ -101,12 +101,12 @@ def test_chunks_and_batches(spark):
 
 
 def test_chunks_keep_to_sections_and_count_their_search_text(spark):
-    utt = [(1, i, "Speaker A", f"第{i + 1}句。", i * 1_000, (i + 1) * 1_000) for i in range(4)] + [(2, 0, "B", "outside. of all", 0, 5), (2, 1, "B", "in. side", 5, 9)]
+    utt = [(1, i, "Speaker A", f"话{i + 1}。", i * 1_000, (i + 1) * 1_000) for i in range(4)] + [(2, 0, "B", "outside. of all", 0, 5), (2, 1, "B", "in. side", 5, 9)]
     utterances = spark.createDataFrame(utt, "recording_id long, utterance_index long, cluster string, text string, start_ms long, end_ms long")
-    sections = spark.createDataFrame([(1, 0, 0, 0, " 公司营收 ", ["营收", "收入", "营收", " "], "这段对话"), (1, 1, 1, 3, "话题二", [], None), (2, 0, 1, 1, None, None, " ")], "recording_id long, section long, first_index long, last_index long, topic string, terms array<string>, search_context string")
+    sections = spark.createDataFrame([(1, 0, 0, 0, " 花园 ", ["种子", "水", "种子", " "], "谁来浇水"), (1, 1, 1, 3, "其他", [], None), (2, 0, 1, 1, None, None, " ")], "recording_id long, section long, first_index long, last_index long, topic string, terms array<string>, search_context string")
     got = Q.search_chunks(utterances, sections).orderBy("recording_id", "chunk_index").collect()
-    assert [(r.recording_id, r.chunk_index, r.utterances, r.topic, r.terms) for r in got] == [(1, 0, [0], "公司营收", ["营收", "收入"]), (1, 1, [1, 2, 3], "话题二", []), (2, 0, [1], None, [])]
-    assert got[0].search_text == "公司营收\n营收 收入\n这段对话\nSpeaker A: 第1句。" and got[0].text == "Speaker A: 第1句。"
+    assert [(r.recording_id, r.chunk_index, r.utterances, r.topic, r.terms) for r in got] == [(1, 0, [0], "花园", ["种子", "水"]), (1, 1, [1, 2, 3], "其他", []), (2, 0, [1], None, [])]
+    assert got[0].search_text == "花园\n种子 水\n谁来浇水\nSpeaker A: 话1。" and got[0].text == "Speaker A: 话1。"
     tokens = Q.estimated_tokens(got[1].text)
     assert len(Q.search_chunks(utterances, sections, most_tokens=tokens).where("recording_id = 1 and section = 1").collect()) == 2  # with its topic it has more
     assert len(Q.search_chunks(utterances, most_tokens=tokens).where("recording_id = 1").collect()) == 2

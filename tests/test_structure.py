@@ -16,9 +16,9 @@ from lumenspan.sources.snapshots import Conflict, Versions
 
 def test_restored_tokens():
     assert alignment.restored("你好，世界！", ["你", "好", "世", "界"]) == ["你", "好，", "世", "界！"]
-    assert "".join(alignment.restored(" Hello, Qwen ASR.", ["Hello", "Qwen", "ASR"])) == " Hello, Qwen ASR."
+    assert "".join(alignment.restored(" Well, Red FOX.", ["Well", "Red", "FOX"])) == " Well, Red FOX."
     assert alignment.restored("你好，世界！", ["你好世界"]) == ["你好，世界！"]
-    assert alignment.restored("原始文本。", ["归一化文本"]) == ["归一化文本"]
+    assert alignment.restored("早上好。", ["晚安"]) == ["晚安"]
     assert alignment.restored("(Ａ１) ﬁn", ["a", "1", "fin"]) == ["(Ａ", "１) ", "ﬁn"]
     assert alignment.restored("a b", ["a", "--"]) == ["a", "--"] and alignment.restored("a", []) == [] and alignment.restored("", ["x"]) == ["x"]
 
@@ -48,16 +48,16 @@ TURNS = "recording_id long, turn string, start_ms long, end_ms long"
 
 def test_turns_are_put_together(spark):
     turns = spark.createDataFrame([(1, "a", 1000, 2000), (1, "b", 2000, 3000), (1, "empty", 9000, 9100), (1, "inner", 1400, 1600)], TURNS)
-    rows = [(1, 0, 1500, 1500, "一"), (1, 1, 1100, 1300, "次"), (1, 2, 1950, 2150, "投"), (1, 3, 3500, 3600, "片"), (1, 4, 2500, 2500, "额"), (1, 5, 500, 500, "度")]
+    rows = [(1, 0, 1500, 1500, "p"), (1, 1, 1100, 1300, "q"), (1, 2, 1950, 2150, "r"), (1, 3, 3500, 3600, "s"), (1, 4, 2500, 2500, "t"), (1, 5, 500, 500, "u")]
     tokens = spark.createDataFrame(rows, "recording_id long, token_index long, start_ms long, end_ms long, text string")
     told = alignment.attribute(tokens, turns)
     assert {r.token_index: (r.turn, r.status) for r in told.collect()} == {
         0: ("inner", "ambiguous"), 1: ("a", "matched"), 2: ("b", "matched"), 3: ("b", "unmatched"), 4: ("b", "matched"), 5: ("a", "unmatched"),
     }
     own = tokens.join(told, ["recording_id", "token_index"])
-    raw = own.where("turn = 'b' or turn = 'empty'").select("recording_id", "token_index", "turn", F.lit("r").alias("text"))
+    raw = own.where("turn = 'b' or turn = 'empty'").select("recording_id", "token_index", "turn", F.lit("0").alias("text"))
     got = {r.turn: (r.text, r.original_text) for r in alignment.assemble(own, turns, raw).collect()}
-    assert got == {"a": ("次度", None), "b": ("投片额", "rrr"), "inner": ("一", None)}
+    assert got == {"a": ("qu", None), "b": ("rst", "000"), "inner": ("p", None)}
     assert alignment.assemble(own, turns).where("original_text is not null").count() == 0
 
 
@@ -77,19 +77,19 @@ def test_nearest_equals_all_pairs(spark):
 SUMMARY = """
 ### 全局总结
 
-这段录音主要记录了项目技术方案汇报，以及专家的修改建议。
+大家谈了花园的计划，也谈了谁来浇水。
 
 ---
 
-### 项目背景与**技术方案**汇报 ##
+### 土地与**种子**的选择 ##
 
-项目主要解决 AI 算力互联瓶颈。后续还有很多技术细节。
+种子要在三月买好。土地以后再看。
 
 
 * 第二点
-### 答辩注意事项
+### 浇水
 
-- 必须穿正装；面对专家不能反驳。
+- 早上浇水；晚上不浇。
 """
 
 
@@ -98,22 +98,22 @@ def test_sections(spark):
     got = {}
     for r in documents.sections(docs).orderBy("doc_id", "section").collect():
         got.setdefault(r.doc_id, []).append((r.heading, r.body))
-    assert [h for h, _ in got[1]] == [None, "全局总结", "项目背景与技术方案汇报", "答辩注意事项"]
-    assert got[1][2][1] == "项目主要解决 AI 算力互联瓶颈。后续还有很多技术细节。\n\n第二点" and got[1][0][1] == ""
+    assert [h for h, _ in got[1]] == [None, "全局总结", "土地与种子的选择", "浇水"]
+    assert got[1][2][1] == "种子要在三月买好。土地以后再看。\n\n第二点" and got[1][0][1] == ""
     assert got[2] == [(None, "no heading\n\nat all")] and got[3] == [(None, "")] and 4 not in got
     assert got[5] == [(None, "pre"), ("A", ""), ("B", "x")] and got[6] == [(None, "####### seven\n#none"), ("three", "")]
 
 
 def test_search_documents(spark):
-    rows = [(1, "周一.m4a", SUMMARY), (2, "普通录音", "产品评审会议。\n\n第二段包含计划。"), (3, "长录音", "## 全局总结\n" + "项目汇报和专家评审。" * 100 + "\n## 答辩安排\n" + "确认答辩时间。" * 100), (4, " 标题 ", "  "), (5, "t", None)]
+    rows = [(1, "garden.wav", SUMMARY), (2, "普通", "今天的会议。\n\n第二段。"), (3, "长", "## 全局总结\n" + "花园和种子都好。" * 100 + "\n## 安排\n" + "明天再说。" * 100), (4, " 标题 ", "  "), (5, "t", None)]
     docs = spark.createDataFrame(rows, "doc_id long, title string, text string")
     made = lambda most, **k: {r.doc_id: r.document for r in documents.search_documents(docs, "title", most=most, **k).collect()}
     chars = made(512, count=F.length)
-    assert chars[1].startswith("录音标题：周一.m4a\n\n全局概述：\n这段录音") and "内容结构：\n- 项目背景与技术方案汇报\n- 答辩注意事项" in chars[1]
-    assert chars[1].endswith("章节要点：\n- 项目背景与技术方案汇报：项目主要解决 AI 算力互联瓶颈。\n- 答辩注意事项：必须穿正装；")
-    assert chars[2] == "录音标题：普通录音\n\n全局概述：\n产品评审会议。" and chars[4] == "录音标题：标题" and chars[5] == "录音标题：t"
+    assert chars[1].startswith("录音标题：garden.wav\n\n全局概述：\n大家谈了") and "内容结构：\n- 土地与种子的选择\n- 浇水" in chars[1]
+    assert chars[1].endswith("章节要点：\n- 土地与种子的选择：种子要在三月买好。\n- 浇水：早上浇水；")
+    assert chars[2] == "录音标题：普通\n\n全局概述：\n今天的会议。" and chars[4] == "录音标题：标题" and chars[5] == "录音标题：t"
     short = made(80, count=F.length)
-    assert len(short[3]) <= 80 and short[3].startswith("录音标题：长录音\n\n全局概述：\n项目汇报")
+    assert len(short[3]) <= 80 and short[3].startswith("录音标题：长\n\n全局概述：\n花园和")
     from lumenspan.functions.text import token_estimate
 
     for most in (8, 20, 57, 300):
