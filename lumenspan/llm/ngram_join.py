@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,6 +208,50 @@ def entries(flat: np.ndarray, at: np.ndarray, percent: int = PERCENT, costs: np.
 
 #: A set in a band, 16 bytes: each task that has entries of it gets these.  ``required`` holds twice the number, and 1 for the upper band.
 MEMBER = np.dtype([("doc", "<i8"), ("n", "<u4"), ("required", "<u4")])
+#: Bytes of a signature that an entry carries; its part tells more of it.
+KEY_BYTES = 5
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The items' first bytes, then their second bytes, and so on: bytes that hardly differ lie together."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _items(raw: bytes, kind: np.dtype) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def pack(members: np.ndarray, counts: np.ndarray, keys: np.ndarray) -> bytes:
+    """A block of members, each with so many of the keys, of which KEY_BYTES are kept.
+
+    With more input there are more parts, and a part has fewer entries of a
+    member, so members are compressed and an entry takes no other room.
+    """
+    head = zstandard.compress(_planes(members) + _planes(counts.astype("<u4")), 1)
+    tail = np.ascontiguousarray(keys, "<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+    return np.array([len(members), len(head)], "<u4").tobytes() + head + tail
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(members, keys, member of each key) of a block."""
+    k, size = np.frombuffer(block, "<u4", 2).tolist()
+    head = zstandard.decompress(block[8 : 8 + size])
+    members, counts = _items(head[: k * MEMBER.itemsize], MEMBER), _items(head[k * MEMBER.itemsize :], np.dtype("<u4"))
+    tail = np.frombuffer(block, np.uint8, -1, 8 + size).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(tail), 8), np.uint8)
+    keys[:, :KEY_BYTES] = tail
+    return members, keys.view("<u8").ravel(), np.repeat(np.arange(k), counts)
+
+
+def loosened(members: np.ndarray, keys: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """Members that require less by the number of their entries that look like another one of theirs, as those count once."""
+    both = np.sort((member.astype(U) << U(8 * KEY_BYTES)) | keys)
+    alike = (both[1:][both[1:] == both[:-1]] >> U(8 * KEY_BYTES)).astype(np.int64)
+    if len(alike):
+        members = members.copy()
+        less = np.bincount(alike, minlength=len(members))
+        members["required"] = np.maximum(1, _required(members) - less) * 2 + (members["required"] & 1)
+    return members
 
 
 def _bands(x: np.ndarray) -> np.ndarray:
@@ -244,7 +289,7 @@ def _costs(docs: DataFrame, words: int, percent: int) -> np.ndarray:
 
 
 def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
-    """The index as packed blocks (part, block); a block holds members and (signature, member) entries."""
+    """The index as packed blocks (part, block); a block holds members and their entries."""
 
     bound = docs.sparkSession.sparkContext.broadcast(_costs(docs, words, percent))
 
@@ -259,15 +304,18 @@ def _index(docs: DataFrame, parts: int, words: int, percent: int) -> DataFrame:
             signatures = np.concatenate([x[1] for x in held])
             member = np.concatenate([x[2] + b for x, b in zip(held, begin, strict=False)])
             held, n = [], 0
-            part = (signatures >> U(40)).astype(np.int64) % parts
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
+            keys = signatures & U((1 << 8 * KEY_BYTES) - 1)
+            members = loosened(members, keys, member)
+            part = (signatures >> U(8 * KEY_BYTES)).astype(np.int64) % parts
+            order = np.argsort(part * len(members) + member, kind="stable")
+            part, member, keys = part[order], member[order], keys[order]
+            first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (member[1:] != member[:-1])])
+            counts, used, home = np.diff(np.r_[first, len(part)]), members[member[first]], part[first]
+            cut, at = np.searchsorted(home, np.arange(parts + 1)), np.searchsorted(part, np.arange(parts + 1))
             ids, blocks = [], []
-            for p in np.flatnonzero(np.diff(cut)).tolist():
-                own = order[cut[p] : cut[p + 1]]
-                used, local = np.unique(member[own], return_inverse=True)
-                head = np.array([len(used), len(own)], "<i8").tobytes()
-                blocks.append(head + members[used].tobytes() + signatures[own].tobytes() + local.astype("<u4").tobytes())
+            for p in np.flatnonzero(np.diff(at)).tolist():
+                own = slice(cut[p], cut[p + 1])
+                blocks.append(pack(used[own], counts[own], keys[at[p] : at[p + 1]]))
                 ids.append(p)
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
@@ -379,13 +427,10 @@ def _groups(index: DataFrame, parts: int, percent: int) -> DataFrame:
 
         for batch in batches:
             for block in batch.column(1).to_pylist():
-                k, e = np.frombuffer(block, "<i8", 2).tolist()
-                at = 16 + k * MEMBER.itemsize
-                held.append((
-                    np.frombuffer(block, MEMBER, k, 16), np.frombuffer(block, "<u8", e, at),
-                    np.frombuffer(block, "<u4", e, at + 8 * e).astype(np.int64),
-                ))
-                n += e
+                members, keys, member = unpack(block)
+                # bands stay apart whatever the bytes of a signature that were left out
+                held.append((members, keys | (_bands(members)[member].astype(U) << U(8 * KEY_BYTES)), member))
+                n += len(keys)
                 if n >= limit:
                     yield from solve(False)
                     limit = max(limit, 2 * n)  # what is left is no hot group; look again when it has doubled
