@@ -33,6 +33,9 @@ GRAM = 20
 HOT_GRAM = 40
 #: Places of one minimizer in one task from which its cell is split.
 HOT_PLACES = 20_000
+#: Entries that a task packs at once, or so many for each part: blocks, each with costs of its own, then grow with the input and not with its square.
+HELD_PLACES, HELD_A_PART = 400_000, 1_500
+HELD_STRETCHES, STRETCHES_A_PART = 50_000, 150
 #: Windows of one stretch at most.
 LONGEST = 128
 #: Bytes indexed and streamed at once.
@@ -307,18 +310,20 @@ def _batches(ids: list, texts: list, hashes: list) -> Iterator[tuple[np.ndarray,
 def _blocks(parts: np.ndarray, count: int, nodes: np.ndarray, of: np.ndarray, columns: list[np.ndarray], tail: list[bytes] | None = None) -> pa.RecordBatch:
     """Rows (part, block), a block for each part that has entries: nodes, how many entries each has, columns, and packed texts."""
     order = np.lexsort((of, parts))
-    cut = np.searchsorted(parts[order], np.arange(count + 1))
-    ids, out = [], []
-    for p in np.flatnonzero(np.diff(cut)).tolist():
-        own = order[cut[p] : cut[p + 1]]
-        used, times = np.unique(of[own], return_counts=True)
-        block = [np.array([len(used), len(own)], "<i8").tobytes(), nodes[used].tobytes(), times.astype("<u4").tobytes()]
-        block += [c[own].tobytes() for c in columns]
+    parts, of, columns = parts[order], of[order], [c[order] for c in columns]
+    first = np.flatnonzero(np.r_[True, (parts[1:] != parts[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
+    used, times = nodes[of[first]], np.diff(np.r_[first, len(of)]).astype("<u4")
+    at = np.flatnonzero(np.r_[True, parts[1:] != parts[:-1]]) if len(of) else first
+    ends, heads = np.r_[at[1:], len(of)], np.searchsorted(first, np.r_[at, len(of)])
+    out, packer = [], zstandard.ZstdCompressor(level=1)
+    for k, (x, y) in enumerate(zip(at.tolist(), ends.tolist(), strict=False)):
+        own = slice(heads[k], heads[k + 1])
+        block = [np.array([heads[k + 1] - heads[k], y - x], "<i8").tobytes(), used[own].tobytes(), times[own].tobytes()]
+        block += [c[x:y].tobytes() for c in columns]
         if tail is not None:
-            block.append(zstandard.compress(b"".join([tail[i] for i in own.tolist()]), 1))
-        ids.append(p)
+            block.append(packer.compress(b"".join([tail[i] for i in order[x:y].tolist()])))
         out.append(b"".join(block))
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(out, pa.binary())], ["part", "block"])
+    return pa.RecordBatch.from_arrays([pa.array(parts[at].astype(np.int32)), pa.array(out, pa.binary())], ["part", "block"])
 
 
 def _opened(block: bytes, kinds: list[str]) -> tuple:
@@ -359,7 +364,7 @@ def _places(docs: DataFrame, parts: int) -> DataFrame:
                 one = np.r_[True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])]
                 held.append((nodes, doc[one], least[one]))
                 n += int(one.sum())
-                if n >= 400_000:
+                if n >= max(HELD_PLACES, HELD_A_PART * parts):
                     yield out()
                     held, n = [], 0
         if held:
@@ -475,7 +480,7 @@ def _collected(texts: DataFrame, parts: int) -> DataFrame:
                 strings = [raw[a:b] for a, b in zip(at.tolist(), (last + WINDOW).tolist(), strict=True)]
                 held.append((nodes, doc, least, at - begin[doc], last + WINDOW - at, strings))
                 n += len(doc)
-                if n >= 50_000:
+                if n >= max(HELD_STRETCHES, STRETCHES_A_PART * parts):
                     yield out()
                     held, n = [], 0
         if held:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lumenspan.llm import embedding_join, language_id, ngram_join
+from lumenspan.llm import embedding_join, language_id, ngram_join, repeats
 from lumenspan.llm.queries import piece_model
 
 
@@ -86,3 +86,13 @@ def test_links_hold_when_entries_carry_few_bytes(spark, monkeypatch):
     for size in (5, 1):
         monkeypatch.setattr(ngram_join, "KEY_BYTES", size)
         assert {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()} == want
+
+
+def test_blocks_of_places_grow_with_the_input_and_not_with_its_square(spark, monkeypatch):
+    """More parts come with more input; a task then holds more before it packs a block for each part."""
+    rng = np.random.default_rng(4)
+    rows = [(i, "".join(map(chr, rng.integers(97, 123, 20_000))), i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h long").coalesce(1)
+    monkeypatch.setattr(repeats, "HELD_PLACES", 1)
+    parts = 40  # 40 documents give about 50,000 places, fewer than 1,500 a part
+    assert repeats._places(docs, parts).count() == parts
