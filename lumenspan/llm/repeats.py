@@ -33,9 +33,11 @@ GRAM = 20
 HOT_GRAM = 40
 #: Places of one minimizer in one task from which its cell is split.
 HOT_PLACES = 20_000
-#: Entries that a task packs at once, or so many for each part: blocks, each with costs of its own, then grow with the input and not with its square.
+#: Entries that a task packs at once, or so many for each part: blocks, each with costs of its own, then grow with the input and not with its square (up to MOST_PLACES).
 HELD_PLACES, HELD_A_PART = 400_000, 1_500
 HELD_STRETCHES, STRETCHES_A_PART = 50_000, 150
+#: What a task holds at most, so that its memory has a bound; beyond, blocks become smaller.
+MOST_PLACES, MOST_STRETCHES = 3_000_000, 300_000
 #: Windows of one stretch at most.
 LONGEST = 128
 #: Bytes indexed and streamed at once.
@@ -364,7 +366,7 @@ def _places(docs: DataFrame, parts: int) -> DataFrame:
                 one = np.r_[True, (doc[1:] != doc[:-1]) | (least[1:] != least[:-1])]
                 held.append((nodes, doc[one], least[one]))
                 n += int(one.sum())
-                if n >= max(HELD_PLACES, HELD_A_PART * parts):
+                if n >= max(HELD_PLACES, min(MOST_PLACES, HELD_A_PART * parts)):
                     yield out()
                     held, n = [], 0
         if held:
@@ -480,7 +482,7 @@ def _collected(texts: DataFrame, parts: int) -> DataFrame:
                 strings = [raw[a:b] for a, b in zip(at.tolist(), (last + WINDOW).tolist(), strict=True)]
                 held.append((nodes, doc, least, at - begin[doc], last + WINDOW - at, strings))
                 n += len(doc)
-                if n >= max(HELD_STRETCHES, STRETCHES_A_PART * parts):
+                if n >= max(HELD_STRETCHES, min(MOST_STRETCHES, STRETCHES_A_PART * parts)):
                     yield out()
                     held, n = [], 0
         if held:
