@@ -31,8 +31,17 @@ LEAST_SEGMENTS = 16
 SLACK = 0.4
 #: Entries of up to this many sets give all their pairs at once; larger ones are solved by families.
 SMALL_GROUP = 4
-#: Sets of a family's block on average; a task compares the sets of two blocks.
+#: Families of more sets are compared with pivots first, and spread over tasks that compare so many sets with so many at least.
 BLOCK = 256
+#: Tasks of a family before its blocks grow, and how many times larger than BLOCK squared a task's comparisons become then.
+FAMILY_TASKS = 16
+TASK_BLOCKS = 64
+#: Shingles that a task's held block has on average at most.
+BLOCK_SHINGLES = 1_000_000
+#: Shingles of their prefixes that two linked sets must share; sets of fewer give what they can.
+SHARED = 16
+#: Prefix shingles of up to this many sets give all their pairs.
+FEW = 4
 #: Sets that all of a larger family are compared with before its blocks are.
 PIVOTS = 2
 #: Bins in which entries are counted to price them; a table of so many numbers is broadcast, whatever the input.
@@ -528,45 +537,81 @@ def _pivot_links(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def _refined(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, family) of the sets that share a shingle of their prefixes, directly or over others.
+    """(node, family) of the sets that may share enough shingles of their prefixes, directly or over others.
 
     A linked partner has at least the share ``percent`` of a set's shingles,
-    so of its rarest ones, as many as the others leave over and one more, one
-    at least is the partner's too, and in the partner's own prefix.  Rare goes
-    by counts in COUNT_BINS bins and then by hash; any order of all shingles
-    would keep every link.  Sets that only share a passage with many others
-    have rarer shingles of their own to fill their prefix, and so leave.
+    so of its rarest ones, as many as the others leave over and SHARED more,
+    SHARED at least are the partner's too, and in the partner's own prefix if
+    that ends later.  Rare goes by counts in COUNT_BINS bins and then by hash;
+    any order of all shingles would keep every link.  Sets that only share a
+    passage with many others have rarer shingles of their own to fill their
+    prefix, and so leave.
+
+    A few shingles are alike by chance, more of them the more sets there are.
+    So pairs are counted over shingles of few sets, and joined if these
+    suffice.  Any other linked pair shares shingles of many sets; each of the
+    two then has enough of those for what its nearest set leaves open, and
+    only such sets are joined by them.
     """
     spark = sets.sparkSession
     counted = sets.select(F.explode("set").alias("e")).groupBy(F.pmod("e", F.lit(COUNT_BINS)).cast("int").alias("bin")).agg(F.least(F.count("*"), F.lit((1 << 31) - 1)).cast("int").alias("n")).where("n > 1").toArrow()
     counts = np.zeros(COUNT_BINS, np.int32)
     counts[counted.column("bin").to_numpy()] = counted.column("n").to_numpy()
     bound = spark.sparkContext.broadcast(counts)
+    most = SHARED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = bound.value
         for batch in batches:
             column = batch.column(1)
             flat, at, nodes = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), batch.column(0).to_numpy()
-            out, of = [], []
+            out, of, sizes = [], [], []
             for i, node in enumerate(nodes.tolist()):
                 own = flat[at[i] : at[i + 1]]
                 times = counts[own & (COUNT_BINS - 1)]
-                first = np.lexsort((own, times))[: len(own) - -(-len(own) * percent // 100) + 1]
+                common = -(-len(own) * percent // 100)
+                first = np.lexsort((own, times))[: len(own) - common + min(most, common)]
                 first = first[times[first] > 0]  # a bin of one shingle that one set has
                 out.append(own[first])
                 of.append(np.full(len(first), node, np.int64))
+                sizes.append(np.full(len(first), common, np.int64))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(of))], ["e", "node"])
-
-    prefixes = written(sets.select("node", "set").mapInArrow(run, "e long, node long").select(F.col("e").cast("string").alias("e"), "node"), "prefixes")
-    shared = written(prefixes.groupBy("e").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "shared")
-    edges = attach(prefixes, shared, "e", "size", prefixes.count(), F.col("node")).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    out = components(edges).withColumnRenamed("component", "family")
+                # two linked sets share ``need`` of the one that needs less, and a partner never needs less than ``low``
+                common = np.concatenate(sizes)
+                need, low = np.minimum(most, common), np.minimum(most, -(-common * percent // 100))
+                columns = [np.concatenate(out), np.concatenate(of), need.astype(np.int32), low.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["e", "node", "need", "low"])
+
+    rows = sets.select("node", "set").mapInArrow(run, "e long, node long, need int, low int")
+    prefixes = written(rows.select(F.col("e").cast("string").alias("e"), "node", "need", "low"), "prefixes")
+    groups = written(prefixes.groupBy("e").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    placed = written(attach(prefixes, groups, "e", "size", prefixes.count(), F.col("node")).where("size > 1"), "placed")
     discard(prefixes)
+    few = placed.where(F.col("size") <= FEW).groupBy("e").agg(F.array_sort(F.collect_list(F.struct("node", "need"))).alias("x"))
+    pair = few.select("x", F.posexplode("x").alias("i", "left")).select("left", F.explode(F.slice("x", F.col("i") + 2, FEW)).alias("right")).where("left.node < right.node")
+    near = pair.groupBy(F.col("left.node").alias("a"), F.col("right.node").alias("b")).agg(F.count("*").alias("s"), F.min(F.least("left.need", "right.need")).alias("t"))
+    near = written(near, "near")
+    best = near.select(F.explode(F.array("a", "b")).alias("__n"), "s").groupBy("__n").agg(F.max("s").alias("s"))
+    many = placed.where(F.col("size") > FEW)
+    own = many.groupBy("node").agg(F.count("*").alias("g"), F.min("low").alias("low")).join(best, F.col("node") == F.col("__n"), "left")
+    own = own.where(F.col("g") + F.coalesce("s", F.lit(0)) >= F.col("low")).select("node")
+    many = written(many.select("e", "node").join(own, "node"), "many")
+    heads = written(many.groupBy("e").agg(F.min("node").alias("head"), F.count("*").alias("size")).where("size > 1"), "heads")
+    edges = attach(many, heads, "e", "size", many.count(), F.col("node")).where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    out = components(edges.unionByName(near.where("s >= t").select("a", "b"))).withColumnRenamed("component", "family")
+    for x in (placed, near, many):
+        discard(x)
     return out
 
 
+def family_blocks(families: DataFrame) -> DataFrame:
+    """(family, ni, nj): into how many blocks the others (o, of ``held`` shingles) and all members (n) of a family are cut."""
+    work = F.col("o") * F.col("n") / (BLOCK * BLOCK)
+    tasks = F.greatest(F.ceil(work / TASK_BLOCKS), F.least(F.ceil(work), F.lit(FAMILY_TASKS)))
+    ni = F.greatest(F.ceil(F.sqrt(tasks * F.col("o") / F.col("n"))), F.ceil(F.col("held") / BLOCK_SHINGLES))
+    return families.withColumn("ni", ni).select("family", F.col("ni").cast("int").alias("ni"), F.greatest(F.lit(1), F.ceil(tasks / F.col("ni"))).cast("int").alias("nj"))
+
+
 def _family_links(sets: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) that span the links of each family; sets is a written table of node, family, l, set.
 
@@ -575,7 +620,9 @@ def _family_links(sets: DataFrame, percent: int) -> DataFrame:
     others, those outside the family's largest joined part, with all.  For
     that the others are cut into blocks, all members too, and a task compares
     one block of others with one of all: its share is bounded, and a family of
-    any size spreads over as many tasks as it has pairs of blocks.  The task
+    any size spreads over as many tasks as it has pairs of blocks.  A set is
+    sent to one task for each block of the other kind, so a family has few
+    blocks, FAMILY_TASKS pairs of them until a task's share is full.  The task
     holds an inverted index of the others' block; the other block's sets
     stream past and count what they share.  Of a member's links one edge
     leaves, and what it joins is united in the task, so pairs are never given
@@ -584,7 +631,7 @@ def _family_links(sets: DataFrame, percent: int) -> DataFrame:
     sizes = written(sets.groupBy("family").agg(F.count("*").alias("n")), "sizes")
     large = sizes.where(F.col("n") > BLOCK)
     pivots = None if large.isEmpty() else _pivot_links(sets, large, percent)
-    members = sets.select("node", "family")
+    members = sets.select("node", "family", F.size("set").alias("size"))
     if pivots is None:
         place = members.withColumn("other", F.lit(True))
     else:
@@ -592,10 +639,9 @@ def _family_links(sets: DataFrame, percent: int) -> DataFrame:
         place = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         main = place.groupBy("family", "label").agg(F.count("*").alias("c")).where("c > 1").groupBy("family").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
         place = place.join(_small(written(main, "main")), "family", "left").withColumn("other", F.coalesce(F.col("label") != F.col("main"), F.lit(True)))
-    place = written(place.select("node", "family", "other"), "places")
-    blocks = place.groupBy("family").agg(
-        F.ceil(F.count_if("other") / BLOCK).cast("int").alias("ni"), F.ceil(F.count("*") / BLOCK).cast("int").alias("nj")
-    ).where("ni > 0")
+    place = written(place.select("node", "family", "other", "size"), "places")
+    blocks = place.groupBy("family").agg(F.count_if("other").alias("o"), F.count("*").alias("n"), F.sum(F.when(F.col("other"), F.col("size"))).alias("held")).where("o > 0")
+    blocks = family_blocks(blocks)
     rows = sets.join(place.select("node", "other"), "node").join(_small(written(blocks, "blocks")), "family")
     block = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -681,7 +727,7 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     2. A linked pair not seen in 1 shares the smaller of its two ``required``
        entries of large groups at least.  Sets in so many large groups, by
        their own number or a partner's, are uncovered; those of them that
-       share a shingle of their prefixes form families, and each family is
+       share enough shingles of their prefixes form families, and each family is
        compared within itself.
     """
     spark = docs.sparkSession
@@ -699,11 +745,15 @@ def links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, total: in
     # pairs inside a family are left to it
     if not uncovered.isEmpty():
         weight = many.groupBy("node").agg(F.sum("l").alias("l"))
-        sets = written(_sets_of(docs, uncovered.select(F.col("node").alias("doc_id")), words), "sets").select(F.col("doc_id").alias("node"), "set")
+        own = written(_sets_of(docs, uncovered.select(F.col("node").alias("doc_id")), words), "sets")
+        sets = own.select(F.col("doc_id").alias("node"), "set")
         families = written(_refined(sets, percent), "families")
         fa, fb = (families.select(F.col("node").alias(x), F.col("family").alias(f"f{x}")) for x in "ab")
         pairs = pairs.join(fa, "a", "left").join(fb, "b", "left").where("fa is null or fb is null or fa <> fb").select("a", "b")
-        inside = _family_links(written(sets.join(families.join(weight, "node"), "node").select("node", "family", "l", "set"), "family-sets"), percent)
+        sets = written(sets.join(families.join(weight, "node"), "node").select("node", "family", "l", "set"), "family-sets")
+        discard(own)
+        inside = _family_links(sets, percent)
+        discard(sets)
     pairs = written(pairs, "pairs")
     out = _verified(docs, pairs, words, percent)
     return out if uncovered.isEmpty() else out.unionByName(inside)

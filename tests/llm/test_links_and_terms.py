@@ -186,3 +186,29 @@ def test_a_link_of_a_set_whose_shingles_fell_into_one_segment(spark):
             words = more
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words, new(), new()])), (3, " ".join(new() for _ in range(12)))], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in ngram_join.near_groups(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_chance_neighbours_make_no_family(spark, monkeypatch):
+    """Sets in a chain, each sharing one shingle with the next and one with all, and two near copies; no shingle looks rarer than others."""
+    monkeypatch.setattr(ngram_join, "COUNT_BINS", 1)
+    own = lambda i: [1_000 * (i + 1) + k for k in range(60)]
+    sets = [[-900, -500 + i, -499 + i, *own(i)] for i in range(40)]
+    sets.append([-900, -497, -496, 8, *own(3)[:-2]])
+    rows = spark.createDataFrame(list(enumerate(sets)), "node long, set array<long>")
+    assert {(r.node, r.family) for r in ngram_join._refined(rows, 75).collect()} == {(3, 3), (40, 3)}
+
+
+@pytest.mark.parametrize("few,shared", [(2, 1), (4, 3), (3, 40)])
+def test_families_however_many_shingles_must_be_shared(spark, monkeypatch, few, shared):
+    for name, value in (("FEW", few), ("SHARED", shared), ("TASK_BLOCKS", 1), ("FAMILY_TASKS", 1), ("BLOCK_SHINGLES", 200)):
+        monkeypatch.setattr(ngram_join, name, value)
+    test_families_larger_than_a_block(spark, monkeypatch, few)
+
+
+def test_a_family_is_not_sent_as_often_as_it_has_members(spark):
+    """A family 12 times as large is sent to tasks as often a member, or hardly more."""
+    rows = [(k, 400 * k, 924 * k, 394 * 400 * k) for k in (1, 12)]
+    got = {r.family: (r.ni, r.nj) for r in ngram_join.family_blocks(spark.createDataFrame(rows, "family long, o long, n long, held long")).collect()}
+    sent = {k: (400 * k * got[k][1] + 924 * k * got[k][0]) / (924 * k) for k in got}
+    assert sent[12] <= 2 * sent[1] and sent[12] < 8
+    assert got[12][0] * got[12][1] >= 400 * 924 * 144 / (ngram_join.BLOCK**2 * ngram_join.TASK_BLOCKS)
