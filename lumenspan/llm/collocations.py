@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,8 @@ TOP = 2000
 UNKNOWN = "und"
 #: Phrases of a level whose hashes are broadcast as they are, 16 MB; beyond, a bitmap takes their place.
 MOST_HASHES = 2_000_000
+#: Different words of a level's phrases that are broadcast with them at most; beyond, tasks number all words they meet.
+MOST_VOCABULARY = 300_000
 #: Bits of that bitmap, 32 MB whatever the input.
 BITS = 1 << 28
 #: Different words that a task numbers before it gives out its counts and starts again.
@@ -57,10 +61,13 @@ def _phrase_hash(lang: str, words: np.ndarray) -> np.ndarray:
 
 
 class Frequent:
-    """Tells which hashes are those of a level's phrases; of others, a bitmap may let a few pass, which are counted in vain."""
+    """Tells which hashes are those of a level's phrases; of others, a bitmap may let a few pass, which are counted in vain.
 
-    def __init__(self, hashes: np.ndarray | None = None, bitmap: np.ndarray | None = None):
-        self.hashes, self.bitmap = hashes, bitmap
+    ``words`` are those that the phrases consist of, if there are not too many.
+    """
+
+    def __init__(self, hashes: np.ndarray | None = None, bitmap: np.ndarray | None = None, words: list[bytes] | None = None):
+        self.hashes, self.bitmap, self.words = hashes, bitmap, words
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         if self.bitmap is not None:
@@ -75,27 +82,41 @@ class Frequent:
 class Counter:
     """Counts of the phrases of k words in texts, a language at a time; all counts are exact.
 
-    Words get numbers as they come, and a phrase's key is its words' numbers.
+    A phrase's key is its words' numbers.  Words get these as they come, or
+    only those of the level below have one: any other word ends a phrase as a
+    gap does, since no phrase with it can be frequent.
     """
 
     def __init__(self, k: int, known: Frequent | None):
         self.k, self.known = k, known
+        self.fixed = known is not None and known.words is not None
+        if self.fixed:
+            self.words = {GAP: 0} | {w: i for i, w in enumerate(known.words, 1)}
+            self.hashes = np.array([_word_hash(w) for w in self.words], U)
+            self.flags: dict[str, np.ndarray] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self.words, self.hashes = Words(), np.zeros(0, U)
-        self.words[GAP]  # number 0
+        if not self.fixed:
+            self.words, self.hashes = Words(), np.zeros(0, U)
+            self.words[GAP]  # number 0
+            self.flags = {}
         self.held: dict[str, list[np.ndarray]] = {}
         self.totals: dict[str, int] = {}
-        self.flags: dict[str, np.ndarray] = {}
         self.size, self.limit = 0, KEPT_PHRASES
 
-    def add(self, lang: str, texts: list[bytes]) -> None:
-        raw = GAP.join(texts).lower().translate(_TABLE).replace(GAP, b" " + GAP + b" ")
+    def _numbers(self, raw: bytes) -> np.ndarray:
+        if self.fixed:
+            return np.fromiter(map(self.words.get, raw.split(), repeat(0)), np.int64)
         ids = np.fromiter(map(self.words.__getitem__, raw.split()), np.int64)
         if new := self.words.new:
             self.words.new = []
             self.hashes = np.concatenate([self.hashes, np.array([_word_hash(w) for w in new], U)])
+        return ids
+
+    def add(self, lang: str, texts: list[bytes]) -> None:
+        raw = GAP.join(texts).lower().translate(_TABLE).replace(GAP, b" " + GAP + b" ")
+        ids = self._numbers(raw)
         if self.k == 1:
             ids = ids[ids > 0]
             self.totals[lang] = self.totals.get(lang, 0) + len(ids)
@@ -137,18 +158,19 @@ class Counter:
             self.limit = max(KEPT_PHRASES, 2 * self.size)
 
     def full(self) -> bool:
-        return len(self.words) > KEPT_WORDS or self.limit > KEPT_PHRASES
+        return (not self.fixed and len(self.words) > KEPT_WORDS) or self.limit > KEPT_PHRASES
 
     def out(self) -> Iterator[pa.RecordBatch]:
         """(lang, phrase, n) of all that is held; for words, the languages' totals too, with a null phrase."""
-        names = list(self.words)
+        names = pa.array(list(self.words), pa.binary())
         for lang, parts in self.held.items():
             every = np.concatenate(parts)
             every = _counted(every[:, :-1], every[:, -1])
             for s in range(0, len(every), 50_000):
                 part = every[s : s + 50_000]
-                phrases = [b" ".join(map(names.__getitem__, row)) for row in part[:, :-1].tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(part[:, -1])], ["lang", "phrase", "n"])
+                columns = [names.take(pa.array(part[:, j])) for j in range(self.k)]
+                phrases = columns[0] if self.k == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(part)), phrases.cast(pa.string()), pa.array(part[:, -1])], ["lang", "phrase", "n"])
         if self.totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(self.totals), pa.string()), pa.nulls(len(self.totals), pa.string()), pa.array(list(self.totals.values()), pa.int64())], ["lang", "phrase", "n"])
         self._reset()
@@ -211,15 +233,18 @@ def _known(level: DataFrame) -> Frequent:
 
     phrases = level.where("phrase is not null").select("lang", "phrase")
     hashes = phrases.mapInArrow(run, "h long")
+    own = written(phrases.select(F.explode(F.split("phrase", " ")).alias("word")).distinct(), "vocabulary")
+    words = own.toArrow().column("word").cast(pa.binary()).to_pylist() if own.count() <= MOST_VOCABULARY else None
+    discard(own)
     if phrases.count() <= MOST_HASHES:
-        return Frequent(np.sort(hashes.toArrow().column("h").to_numpy().view(U)))
+        return Frequent(np.sort(hashes.toArrow().column("h").to_numpy().view(U)), words=words)
     place = F.col("h").bitwiseAND(F.lit(BITS - 1)) + 1
     rows = hashes.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("at")).groupBy("part").agg(F.bitmap_construct_agg("at").alias("map"))
     bitmap = np.zeros(BITS // 8, np.uint8)
     for r in rows.collect():  # 4 KB a row, 32 MB in all
         own = np.frombuffer(r["map"], np.uint8)
         bitmap[(r["part"] - 1) * len(own) : r["part"] * len(own)] = own
-    return Frequent(bitmap=bitmap)
+    return Frequent(bitmap=bitmap, words=words)
 
 
 def levels(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, text_col: str = "text", lang_col: str = "lang") -> list[DataFrame]:

@@ -217,3 +217,22 @@ def test_rules_run_no_python(spark, tmp_path):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
     assert out.where(F.col("n_repeat_words") != 30).count() == 0
+
+
+def test_only_words_of_the_level_below_are_numbered():
+    """Words of no frequent phrase take no room in a task, however many there are; counts are the same."""
+    h = lambda *p: [int(collocations._phrase_hash("en", np.array([[collocations._word_hash(w) for w in p]], np.uint64))[0])]
+    known = np.sort(np.array(h(b"a", b"b") + h(b"b", b"c"), np.uint64))
+    text = b" ".join(b"a b c x%d a b" % i for i in range(1000)) + b". c, a b c"
+    counts = []
+    for words in ([b"a", b"b", b"c"], None):
+        counter = collocations.Counter(3, collocations.Frequent(known, words=words))
+        counter.add("en", [text, b"b c"])
+        assert len(counter.words) == (4 if words else 1004)
+        counts.append([r for b in counter.out() for r in b.to_pylist()])
+    assert counts[0] == counts[1] == [{"lang": "en", "phrase": "a b c", "n": 1001}]
+
+
+def test_phrases_beyond_the_vocabulary_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "MOST_VOCABULARY", 0)
+    test_phrases_equal_brute_force(spark, monkeypatch, (40, 60, 2_000_000))
