@@ -57,10 +57,11 @@ def expression_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'lexical' AS failed, chunk_id, round(0.7::DOUBLE / (60 + rank), 9) AS score FROM v UNION ALL SELECT 'vector', chunk_id, round(0.1::DOUBLE / (60 + rank), 9) FROM l""")
 def failed_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Searches one of whose lanes fails while it runs: it is left empty, and the other keeps its own weight."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars", (1.0 / F.col("n_chars")).alias("score"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "n_chars", F.try_divide(F.lit(1.0), "n_chars").alias("score"))
     broken = docs.withColumn("score", F.raise_error(F.lit("the index is damaged")).cast("double"))
-    short = lambda df: R.ranked(df.orderBy("n_chars", "chunk_id").limit(20), "n_chars", "chunk_id")
-    long = lambda df: R.ranked(df.orderBy(F.desc("n_chars"), "chunk_id").limit(20), F.desc("n_chars"), "chunk_id")
+    lane = lambda df, *order: R.ranked(df.orderBy(*order).limit(20), *order)
+    short = lambda df: lane(df, F.asc_nulls_last("n_chars"), F.asc_nulls_last("chunk_id"))
+    long = lambda df: lane(df, F.desc_nulls_last("n_chars"), F.asc_nulls_last("chunk_id"))
     tried = lambda build: R.tried_lane(build, shared_folder(spark, "lane"))[0]
     ways = {"lexical": ([tried(lambda: short(docs))], [tried(lambda: long(broken))]), "vector": ([tried(lambda: short(broken))], [tried(lambda: long(docs))])}
     found = [R.search(v, x).select(F.lit(way).alias("failed"), "chunk_id", F.round("score", 9).alias("score")) for way, (v, x) in ways.items()]

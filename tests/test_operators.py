@@ -51,6 +51,26 @@ def test_a_lane_that_fails_is_empty(spark, tmp_path):
     assert R.search([lane], [rows]).first().score == pytest.approx(0.1 / 61)
 
 
+def test_a_lane_over_damaged_files_fails_alone(spark, tmp_path):
+    spark.range(100).selectExpr("cast(id as string) as chunk_id", "id as rank", "0.5D as score").write.parquet(f"file://{tmp_path}/index")
+    for part in (tmp_path / "index").glob("part-*"):
+        body = part.read_bytes()
+        part.write_bytes(body[:4] + b"\xff" * 50 + body[54:])
+        part.with_name(f".{part.name}.crc").unlink()
+    lane, error = R.tried_lane(lambda: spark.read.parquet(f"file://{tmp_path}/index"), f"file://{tmp_path}/lane")
+    assert lane is None and "SparkException" in error
+
+
+def test_failed_lanes_with_empty_texts_and_nulls(spark, tmp_path):
+    rows = [(i, None if i % 7 == 6 else i % 5) for i in range(15)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").repartition(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()["failed_lanes"]).fetchall()
+    got = registry.queries()["failed_lanes"](spark, str(tmp_path)).collect()
+    assert sorted(want) == sorted((r.failed, r.chunk_id, r.score) for r in got) and len(want) == 30
+
+
 def test_interval_join_gives_each_pair_once(spark):
     a = spark.createDataFrame([(1, 0, 200_000), (1, 190_000, 191_000), (2, 0, 5)], "k long, start_ms long, end_ms long")
     assert J.interval_join(a, a, "k").count() == 5
