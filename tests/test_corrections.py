@@ -68,6 +68,38 @@ def test_fuzzy_join_equals_the_plain_scan(spark, threshold):
     assert "Cartesian" not in (plan := got._jdf.queryExecution().toString()) and "NestedLoop" not in plan
 
 
+def test_many_needles_and_few_find_the_same(spark, monkeypatch):
+    """Needles that every task has, those that are joined, and all windows one after another."""
+    from lumenspan.operators import fuzzy_joins
+
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcd é字") for _ in range(n))
+    needles = [(f"n{i}", word(n)) for i, n in enumerate((1, 2, 5, 8, 13, 18, 19, 20, 23, 40, 63, 64, 70))]
+    texts = [(f"t{i}", word(rng.randint(0, 20)) + rng.choice(needles)[1].replace("b", rng.choice(["b", "bx", ""]), 2) + word(9)) for i in range(40)] + [("t_", None)]
+    n, t = spark.createDataFrame(needles, "needle_id string, needle string"), spark.createDataFrame(texts, "text_id string, text string")
+    want = sorted((i, j, *w) for i, needle in needles for j, text in texts if text for w in alike_windows(needle, text, 85.0))
+    plans = []
+    for most in (fuzzy_joins.MOST_NEEDLES, 0):
+        monkeypatch.setattr(fuzzy_joins, "MOST_NEEDLES", most)
+        got = fuzzy_occurrences(n, t, 85.0)
+        plans.append(got._jdf.queryExecution().toString())
+        assert sorted(map(tuple, got.collect())) == want and len(want) > 40
+    assert "Exchange" not in plans[0] and "Join" in plans[1]  # with few needles no stretch of a text is shuffled
+
+
+def test_long_texts_are_searched_in_slices(spark):
+    from lumenspan.operators.fuzzy_joins import BATCH_CHARS
+
+    rng = random.Random(3)
+    needle, noise = "the seventh gate", "".join(rng.choice("abcdefgh ") for _ in range(5_000))
+    text = (noise * (2 * BATCH_CHARS // 5_000 + 2))[: 2 * BATCH_CHARS + 40]
+    for at in (0, BATCH_CHARS - 16, 2 * BATCH_CHARS - 8, len(text) - 16):
+        text = text[:at] + rng.choice([needle, "the seventy gate"]) + text[at + 16 :]
+    got = fuzzy_occurrences(spark.createDataFrame([(7, needle)], "needle_id long, needle string"), spark.createDataFrame([(1, noise), (2, text)], "text_id long, text string"), 90.0)
+    want = sorted((7, j, *w) for j, x in ((1, noise), (2, text)) for w in alike_windows(needle, x, 90.0))
+    assert sorted(map(tuple, got.collect())) == want and len({s // 40 for _, _, s, _, _ in want}) >= 4
+
+
 def test_no_needles_and_no_texts(spark):
     needles, texts = spark.createDataFrame([], "needle_id long, needle string"), spark.createDataFrame([(1, "ab")], "text_id long, text string")
     assert fuzzy_occurrences(needles, texts).count() == 0
