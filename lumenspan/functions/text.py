@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -145,6 +146,12 @@ def normalize_expression(text: Column) -> Column:
     return F.regexp_replace(collapsed, r"(?<=[a-z0-9]) (?=[\x{4e00}-\x{9fff}])|(?<=[\x{4e00}-\x{9fff}]) (?=[a-z0-9])", "")
 
 
+def plain_expression(text: str) -> str:
+    """normalize_expression() of one text, for functions that have it in Python already."""
+    collapsed = re.sub(r"[ \t\n\x0b\f\r]+", " ", unicodedata.normalize("NFKC", text).casefold()).strip(" ")
+    return re.sub(r"(?<=[a-z0-9]) (?=[\u4e00-\u9fff])|(?<=[\u4e00-\u9fff]) (?=[a-z0-9])", "", collapsed)
+
+
 def speaker_label(index: Column) -> Column:
     """Speaker A to Speaker Z, then numbers; the index counts from 0."""
     return F.when(index < 26, F.concat(F.lit("Speaker "), F.chr(index + 65))).otherwise(F.concat(F.lit("Speaker "), (index + 1).cast("string")))

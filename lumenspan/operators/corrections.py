@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.fuzzy import alike
-from ..functions.similarity import indel_ratio_column
-from ..functions.text import normalize_expression
+from ..functions.fuzzy import alike_windows_of
+from ..functions.similarity import indel_ratio
+from ..functions.text import plain_expression as plain
 from .joins import interval_join
 
 #: Least similarity of a local replacement, and of a stretch of the replaced text with an accepted expression.
@@ -24,43 +22,40 @@ def _cut(text: str, start: Column, end: Column) -> Column:
 
 
 def overlaps(gold: DataFrame, predictions: DataFrame, sources: DataFrame) -> DataFrame:
-    """Gold and predictions of one chunk whose spans share a character, with the chunk's text.
+    """Gold and predictions of one chunk whose spans share a character, with the chunk's text, dealt out by chunk.
 
-    Columns of predictions carry the prefix r_.  Spans meet over chunk and
-    place, so a long chunk with very many spans is dealt to several tasks.
+    Columns of predictions carry the prefix r_; first and last bound all gold
+    that a prediction meets.  Spans meet over chunk and place, so a long chunk
+    with very many spans is dealt to several tasks.  A text is joined to its
+    chunk's pairs where they are and is not shuffled with each of them.
     """
     key = F.concat_ws("\u0001", *UNIT).alias("unit")
-    inside = lambda df: df.select("*", key, F.col("start_char").alias("start_ms"), (F.col("end_char") - 1).alias("end_ms")).where("start_char < end_char")
-    met = interval_join(inside(gold), inside(predictions), "unit", 2_000)
-    return met.drop("start_ms", "end_ms", "r_start_ms", "r_end_ms", "r_unit", *[f"r_{c}" for c in UNIT]).join(sources, UNIT)
-
-
-def _local(pairs: DataFrame, least: float) -> DataFrame:
-    """The best accepted expression of each pair by what the prediction makes of the words around it: exact, or alike enough."""
+    whole = " and ".join(f"{c} is not null" for c in UNIT)
+    inside = lambda df, *columns: df.where(whole).select(*columns, key, F.col("start_char").alias("start_ms"), (F.col("end_char") - 1).alias("end_ms")).where("start_ms <= end_ms")
+    met = interval_join(inside(gold, "case_id", "gold_index", "accepted", "weight"), inside(predictions, "prediction_index", "original", "resolved"), "unit", 2_000)
+    ends = [F.col(f"{r}start_ms").alias(f"{r}start_char") for r in ("", "r_")] + [(F.col(f"{r}end_ms") + 1).alias(f"{r}end_char") for r in ("", "r_")]
+    pairs = met.select("case_id", "unit", "gold_index", "accepted", "weight", "r_prediction_index", "r_original", "r_resolved", *ends).repartition("unit")
+    of_prediction = Window.partitionBy("unit", "r_prediction_index")
+    pairs = pairs.select("*", F.min("start_char").over(of_prediction).alias("first"), F.max("end_char").over(of_prediction).alias("last"))
+    return pairs.join(sources.where(whole).select(key, "source_text"), "unit")
+
+
+def _parts(pairs: DataFrame) -> DataFrame:
+    """Each pair with the words around it: what it is compared by is made of these.
+
+    left and right are what the gold covers beyond the prediction, own_left and
+    own_right what the prediction covers beyond the gold, before and after what
+    all gold that the prediction meets covers beyond it.  made, the
+    prediction's result, is null where its original is not what stands there.
+    """
+    valid = _cut("source_text", F.col("r_start_char"), F.col("r_end_char")) == F.col("r_original")
     lo, hi = F.least("start_char", "r_start_char"), F.greatest("end_char", "r_end_char")
-    rows = pairs.select("*", F.posexplode("accepted").alias("place", "expression"))
-    actual = F.concat(_cut("source_text", lo, F.col("r_start_char")), "r_resolved", _cut("source_text", F.col("r_end_char"), hi))
-    expected = F.concat(_cut("source_text", lo, F.col("start_char")), "expression", _cut("source_text", F.col("end_char"), hi))
-    rows = rows.withColumn("a", normalize_expression(actual)).withColumn("e", normalize_expression(expected))
-    rows = rows.withColumn("exact", F.col("a") == F.col("e")).withColumn("similarity", F.when(F.col("exact"), F.lit(100.0)).otherwise(indel_ratio_column("a", "e")))
-    best = F.max_by(F.struct("exact", "similarity", "place", "expression"), F.struct("exact", "similarity", -F.col("place")))
-    kept = rows.where(F.col("exact") | (F.col("similarity") >= least)).groupBy(*UNIT, "unit", "gold_index", F.col("r_prediction_index").alias("prediction_index")).agg(best.alias("b"))
-    return kept.select(*UNIT, "unit", "gold_index", "prediction_index", "b.*")
-
-
-def _covered(pairs: DataFrame, least: float) -> DataFrame:
-    """Stretches of a prediction's result that are alike an accepted expression of any gold it overlaps, and that it has a part in."""
-    whole = pairs.groupBy("unit", "r_prediction_index").agg(F.min("start_char").alias("first"), F.max("end_char").alias("last"))
-    rows = pairs.join(whole, ["unit", "r_prediction_index"])
-    before = _cut("source_text", F.least("first", "r_start_char"), F.col("r_start_char"))
-    changed = F.concat(before, "r_resolved")
-    actual = F.concat(changed, _cut("source_text", F.col("r_end_char"), F.greatest("last", "r_end_char")))
-    rows = rows.select("*", normalize_expression(actual).alias("actual"), F.length(normalize_expression(before)).alias("from"), F.length(normalize_expression(changed)).alias("to"))
-    rows = rows.select(*UNIT, "unit", "gold_index", F.col("r_prediction_index").alias("prediction_index"), "actual", "from", "to", F.posexplode("accepted").alias("place", "expression"))
-    rows = rows.withColumn("w", F.explode(alike(normalize_expression(F.col("expression")), F.col("actual"), least)))
-    return rows.where((F.col("w.start") < F.col("to")) & (F.col("from") < F.col("w.end"))).select(
-        *UNIT, "unit", "gold_index", "prediction_index", "place", "expression", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col("w.similarity").alias("similarity")
-    )
+    cuts = {
+        "left": (lo, F.col("r_start_char")), "right": (F.col("r_end_char"), hi), "own_left": (lo, F.col("start_char")), "own_right": (F.col("end_char"), hi),
+        "before": (F.least("first", "r_start_char"), F.col("r_start_char")), "after": (F.col("r_end_char"), F.greatest("last", "r_end_char")),
+    }
+    made = F.when(valid, F.col("r_resolved")).alias("made")
+    return pairs.select("case_id", "unit", "gold_index", F.col("r_prediction_index").alias("prediction_index"), "weight", "accepted", made, *[_cut("source_text", *c).alias(k) for k, c in cuts.items()])
 
 
 def _matching(options: dict[int, list[int]]) -> dict[int, int]:
@@ -132,37 +127,72 @@ class _Unit:
         return list(self.out.values())
 
 
-MATCH = "case_id long, evidence_index long, chunk_id string, gold_index long, prediction_index long, kind string, basis string, similarity double, expression string"
+PAIR = "case_id long, gold_index long, prediction_index long, weight double, kind string, basis string, similarity double, expression string"
 
 
-def assign(candidates: DataFrame) -> DataFrame:
-    """One match at most for each gold.
+def _candidates(rows: list[dict], local: float, expression: float) -> list[dict]:
+    """The candidates of a chunk in the order in which they are tried.
+
+    Of each pair the best accepted expression by what the prediction makes of
+    the words around it, exact or alike enough; and the stretches alike an
+    accepted expression, of all that the prediction makes of the text of the
+    gold it meets, in which it has a part.
+    """
+    near, asks, out = [], [], []
+    for r in rows:
+        if r["made"] is None:
+            continue
+        best, actual, changed = None, plain(r["left"] + r["made"] + r["right"]), r["before"] + r["made"]
+        result, start, end = plain(changed + r["after"]), len(plain(r["before"])), len(plain(changed))
+        for place, e in enumerate(r["accepted"] or ()):
+            if e is None:
+                continue
+            asks.append((r, place, e, plain(e), result, start, end))
+            expected = plain(r["own_left"] + e + r["own_right"])
+            exact = actual == expected
+            tried = (exact, 100.0 if exact else indel_ratio(actual, expected), -place, e)
+            if (exact or tried[1] >= local) and (best is None or tried[:3] > best[:3]):
+                best = tried
+        if best:
+            near.append((r, *best))
+    candidate = lambda r, stage, kind, basis, similarity, place, e, start, end: {
+        **{c: r[c] for c in ("case_id", "gold_index", "prediction_index", "weight")}, "stage": stage, "kind": kind, "basis": basis, "similarity": similarity, "place": place, "expression": e, "start": start, "end": end
+    }
+    whole: dict[tuple[int, int, int], tuple[int, int]] = {}
+    for (r, place, e, _, _, start, end), windows in zip(asks, alike_windows_of([x[3] for x in asks], [x[4] for x in asks], expression), strict=True):
+        for s, t, similarity in windows:
+            if s < end and start < t:
+                out.append(candidate(r, 1, "fuzzy", "expression", similarity, place, e, s, t))
+                if similarity == 100:
+                    whole.setdefault((r["gold_index"], r["prediction_index"], place), (s, t))  # windows come by start, then end
+    for r, exact, similarity, place, e in near:
+        span = whole.get((r["gold_index"], r["prediction_index"], -place), (-1, -1)) if exact else (-1, -1)
+        out.append(candidate(r, 0 if exact else 1, "exact" if exact else "fuzzy", "local", similarity, -place, e, *span))
+    return sorted(out, key=lambda c: (c["stage"], -c["similarity"], c["gold_index"], c["prediction_index"], c["basis"] != "local", c["place"], c["start"], c["end"]))
+
+
+def assign(pairs: DataFrame, local: float, expression: float) -> DataFrame:
+    """Every pair once, with the match if it is one; one match at most for each gold.
 
     Exact candidates are matched so that as many gold as possible have one.
     The others follow by falling similarity, gold, prediction: a prediction
     serves one gold by its local text, and any number by stretches of its
     result that do not overlap each other.  Candidates link within a chunk
-    only; they are dealt and sorted by chunk and stream past, and a task holds
-    one chunk's matches.
+    only, and a task holds one chunk's.  Pairs that are dealt out by chunk stay
+    where they are.
     """
-    names = [x.split()[0] for x in MATCH.split(", ")]
+    names = [x.split()[0] for x in PAIR.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unit, current, done = None, None, []
-        table = lambda rows: pd.DataFrame([[r[c] for c in names] for r in rows], columns=names)
+    def run(chunk: pa.Table) -> pa.Table:
+        rows, unit = chunk.to_pylist(), _Unit()
+        for r in _candidates(rows, local, expression):
+            unit.add(r)
+        matches = {(m["gold_index"], m["prediction_index"]): m for m in unit.matches()}
+        out = [matches.get((r["gold_index"], r["prediction_index"]), r) for r in rows]
+        kinds = [pa.int64()] * 3 + [pa.float64(), pa.string(), pa.string(), pa.float64(), pa.string()]
+        return pa.table([pa.array([r.get(c) for r in out], kind) for c, kind in zip(names, kinds, strict=True)], names)
 
-        for batch in batches:
-            for r in batch.to_dict("records"):
-                if r["unit"] != current:
-                    done += unit.matches() if unit else []
-                    unit, current = _Unit(), r["unit"]
-                unit.add(r)
-            yield table(done)
-            done = []
-        yield table(unit.matches() if unit else [])
-
-    order = ["unit", "stage", F.desc("similarity"), "gold_index", "prediction_index", F.desc("basis"), "place", "start", "end"]
-    return candidates.repartition("unit").sortWithinPartitions(*order).mapInPandas(run, MATCH)
+    return pairs.groupBy("unit").applyInArrow(run, PAIR)
 
 
 def score_corrections(gold: DataFrame, predictions: DataFrame, sources: DataFrame, local: float = LOCAL, expression: float = EXPRESSION) -> tuple[DataFrame, DataFrame]:
@@ -179,28 +209,13 @@ def score_corrections(gold: DataFrame, predictions: DataFrame, sources: DataFram
     the strict (relaxed) credit of a prediction is the weight of its exact
     (all) matches over the weight of the gold it overlaps, 0 without any.
     """
-    pairs = overlaps(gold, predictions, sources)
-    valid = pairs.where(_cut("source_text", F.col("r_start_char"), F.col("r_end_char")) == F.col("r_original"))
-    near, covered = _local(valid, local), _covered(valid, expression)
-    whole = covered.where("similarity = 100").groupBy("unit", "gold_index", "prediction_index", "place").agg(F.min(F.struct("start", "end")).alias("w"))
-    exact = near.where("exact").join(whole, ["unit", "gold_index", "prediction_index", "place"], "left").select(
-        *UNIT, "unit", "gold_index", "prediction_index", F.lit(0).alias("stage"), F.lit("exact").alias("kind"), F.lit("local").alias("basis"),
-        "similarity", "place", "expression", F.coalesce("w.start", F.lit(-1)).alias("start"), F.coalesce("w.end", F.lit(-1)).alias("end"),
-    )
-    fuzzy = lambda df, basis, start, end: df.select(
-        *UNIT, "unit", "gold_index", "prediction_index", F.lit(1).alias("stage"), F.lit("fuzzy").alias("kind"), F.lit(basis).alias("basis"), "similarity", "place", "expression", start.alias("start"), end.alias("end")
-    )
-    none = F.lit(-1)
-    matches = assign(exact.unionByName(fuzzy(near.where("not exact"), "local", none, none)).unionByName(fuzzy(covered, "expression", F.col("start"), F.col("end"))))
-    seen = pairs.select("case_id", "gold_index").distinct().withColumn("overlapping", F.lit(True))
-    of_gold = matches.select("case_id", "gold_index", "prediction_index", "kind", "basis", "similarity", F.col("expression").alias("matched_expression"))
-    corrections = gold.select("case_id", "gold_index", "weight").join(of_gold, ["case_id", "gold_index"], "left").join(seen, ["case_id", "gold_index"], "left")
+    pairs = assign(_parts(overlaps(gold, predictions, sources)), local, expression)
+    match = F.when(F.col("kind").isNotNull(), F.struct("prediction_index", "kind", "basis", "similarity", F.col("expression").alias("matched_expression")))
+    of_gold = pairs.groupBy("case_id", "gold_index").agg(F.max(match).alias("m"), F.lit(True).alias("overlapping"))
+    corrections = gold.select("case_id", "gold_index", "weight").join(of_gold, ["case_id", "gold_index"], "left").select("case_id", "gold_index", "weight", "m.*", "overlapping")
     corrections = corrections.withColumn("kind", F.coalesce("kind", F.lit("unmatched"))).withColumn("overlapping", F.coalesce("overlapping", F.lit(False)))
-    own = pairs.select("case_id", "gold_index", F.col("r_prediction_index").alias("prediction_index"), "weight").join(
-        of_gold.select("case_id", "gold_index", "prediction_index", "kind", "similarity"), ["case_id", "gold_index", "prediction_index"], "left"
-    )
     weight = lambda c: F.sum(F.when(c, F.col("weight")).otherwise(0.0))
-    sums = own.groupBy("case_id", "prediction_index").agg(
+    sums = pairs.groupBy("case_id", "prediction_index").agg(
         F.sum("weight").alias("w"), weight(F.col("kind") == "exact").alias("strict"), weight(F.col("kind").isNotNull()).alias("relaxed"), F.min("similarity").alias("least"),
         F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.col("gold_index")))).alias("matched_gold"),
     )

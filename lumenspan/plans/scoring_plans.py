@@ -35,7 +35,7 @@ PREDICTED = """SELECT case_id, evidence_index, chunk_id, row_number() OVER (PART
 def corrections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(gold, predictions, sources) of every conversation: its turns are the chunks."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
-    words = spark.sql(WORDS, conversations=turns)
+    words = spark.sql(WORDS, conversations=turns.repartition("conv_id"))  # words and numbers are counted where a conversation's turns are
     sources = turns.select(F.col("conv_id").alias("case_id"), F.col("turn").cast("long").alias("evidence_index"), F.concat("conv_id", F.lit("-"), "turn").alias("chunk_id"), F.col("text").alias("source_text"))
     return spark.sql(GOLD, words=words), spark.sql(PREDICTED, words=words), sources
 

@@ -239,3 +239,35 @@ def test_more_gold_is_matched_exactly_than_the_first_choices_allow(spark):
     found = [(1, 1, "k", 0, 0, 5, text, "x y"), (1, 1, "k", 1, 0, 2, "ab", "x"), (1, 1, "k", 2, 3, 5, "cd", "y")]
     corrections, _ = score_corrections(spark.createDataFrame(gold, GOLD), spark.createDataFrame(found, PREDICTED), spark.createDataFrame([(1, 1, "k", text)], SOURCES))
     assert {r.gold_index: (r.prediction_index, r.kind) for r in corrections.where(F.col("kind") == "exact").collect()} == {0: (1, "exact"), 1: (2, "exact")}
+
+
+def test_texts_are_shuffled_once_and_not_with_pairs(spark):
+    text = "ab cd ef gh"
+    gold = spark.createDataFrame([(1, 1, "k", i, 3 * i, 3 * i + 2, ["x"], 1.0) for i in range(4)], GOLD)
+    found = spark.createDataFrame([(1, 1, "k", i, 3 * i, 3 * i + 2, text[3 * i : 3 * i + 2], "x") for i in range(4)], PREDICTED)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        credits = score_corrections(gold, found, spark.createDataFrame([(1, 1, "k", text)], SOURCES))[1]
+        plan = credits._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") <= 6 and {r.kind for r in credits.collect()} == {"exact"}
+
+
+def test_odd_gold_and_predictions(spark):
+    """Keys and texts that are null match nothing; accepted expressions may be none, or null."""
+    text = "ab cd"
+    gold = [(1, 1, "k", 0, 0, 2, [None, "x"], 1.0), (1, 1, "k", 1, 3, 5, None, 0.5), (1, None, "k", 2, 0, 2, ["x"], 1.0), (2, 1, "k", 0, 0, 2, ["x"], 1.0), (3, 1, "k", 0, 2, 2, ["x"], 1.0)]
+    found = [(1, 1, "k", 0, 0, 2, "ab", "x"), (1, 1, "k", 1, 3, 5, "cd", None), (1, None, "k", 2, 0, 2, "ab", "x"), (2, 1, "k", 0, 0, 2, "ab", "x")]
+    corrections, credits = score_corrections(spark.createDataFrame(gold, GOLD), spark.createDataFrame(found, PREDICTED), spark.createDataFrame([(1, 1, "k", text), (1, None, "k", text), (3, 1, "k", text)], SOURCES))
+    assert {(r.case_id, r.gold_index): (r.kind, r.overlapping) for r in corrections.collect()} == {(1, 0): ("exact", True), (1, 1): ("unmatched", True), (1, 2): ("unmatched", False), (2, 0): ("unmatched", False), (3, 0): ("unmatched", False)}
+    assert {(r.case_id, r.prediction_index): r.relaxed_credit for r in credits.collect()} == {(1, 0): 1.0, (1, 1): 0.0, (1, 2): 0.0, (2, 0): 0.0}
+
+
+def test_expressions_have_one_normal_form(spark):
+    from lumenspan.functions.text import normalize_expression, plain_expression
+
+    texts = [" A\u00a0 b\t\n字 1 字", "ＧＰＴ 模 型 4", "ß\u2003x\x0b y", "\x1c a \x85 字 b", "", "é字 é a 字", "İstanbul 字 9 "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", normalize_expression(F.col("t")).alias("n")).collect()
+    assert [(r.t, plain_expression(r.t)) for r in rows] == [(r.t, r.n) for r in rows]
