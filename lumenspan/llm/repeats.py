@@ -28,7 +28,7 @@ from .exact_dedup import duplicate_groups
 WINDOW = 50
 #: Matching lengths are told apart up to here, in whole words of eight bytes.
 REACH = 56
-GRAM = 20
+GRAM = 28
 #: Grams of this length split the stretches of cells that very many documents share.
 HOT_GRAM = 40
 #: Places of one minimizer in one task from which its cell is split.
@@ -211,53 +211,55 @@ def earlier(strings: list[bytes], cells: np.ndarray, docs: np.ndarray) -> tuple[
     A cell's documents are ranked.  At each level, strings whose rank has that
     bit are streamed through an index of those without it whose higher bits
     are the same, so any two documents meet at one level, the smaller one in
-    the index, and a string passes as many indexes as its rank has bits.
-    Groups of all cells and levels share indexes of about INDEX_BYTES.
+    the index.  The highest bit comes first, and a string all of whose windows
+    are found goes no further: a window's smallest document never finds it and
+    so stays, for all others to meet.  Groups of all cells share indexes of
+    about INDEX_BYTES.
     """
     order = np.lexsort((docs, cells))
     cell, doc = cells[order], docs[order]
     head = np.r_[True, cell[1:] != cell[:-1]]
     number = np.cumsum(head | np.r_[True, doc[1:] != doc[:-1]]) - 1
     rank = number - np.maximum.accumulate(np.where(head, number, 0))
-    lengths = np.array([len(s) for s in strings], np.int64)[order]
-    cell, level, found = np.cumsum(head) - 1, 0, [np.zeros(0, np.int64)]
-    members, groups, roles, groups_so_far, size = [], [], [], 0, 0
-
-    def solve() -> None:
-        nonlocal members, groups, roles, groups_so_far, size
-        own, group, asks = (np.concatenate(x) for x in (members, groups, roles))
-        members, groups, roles, groups_so_far, size = [], [], [], 0, 0
-        index = RunLengthIndex([strings[i] for i in own[~asks].tolist()], group[~asks])
-        asking = own[asks]
-        for which, window, length, _ in index.statistics([strings[i] for i in asking.tolist()], group[asks]):
+    lengths = np.array([len(s) for s in strings], np.int64)
+    windows = np.maximum(0, lengths - WINDOW + 1)
+    begin = np.r_[0, np.cumsum(windows)]
+    found = np.zeros(begin[-1], bool)
+    cell, lengths = np.cumsum(head) - 1, lengths[order]
+    own = np.flatnonzero(windows[order] > 0)
+
+    def solve(members: np.ndarray, groups: np.ndarray, asks: np.ndarray) -> None:
+        index = RunLengthIndex([strings[i] for i in order[members[~asks]].tolist()], groups[~asks])
+        asking = order[members[asks]]
+        for which, window, length, _ in index.statistics([strings[i] for i in asking.tolist()], groups[asks]):
             long = length >= WINDOW
-            found.append((asking[which[long]] << 32) | window[long])
-
-    while rank.max(initial=0) >> level:
-        upper, asks = rank >> (level + 1), (rank >> level) & 1 == 1
-        group = np.cumsum(np.r_[True, (cell[1:] != cell[:-1]) | (upper[1:] != upper[:-1])]) - 1
-        used = np.flatnonzero((np.bincount(group[asks], minlength=group[-1] + 1) > 0)[group])
-        number = np.cumsum(np.r_[True, np.diff(group[used]) != 0]) - 1
+            found[begin[asking[which[long]]] + window[long]] = True
+
+    for level in reversed(range(int(rank.max(initial=0)).bit_length())):
+        if not len(own):
+            break
+        upper, asks = rank[own] >> (level + 1), (rank[own] >> level) & 1 == 1
+        group = np.cumsum(np.r_[True, (cell[own[1:]] != cell[own[:-1]]) | (upper[1:] != upper[:-1])]) - 1
+        both = np.bincount(group[asks], minlength=group[-1] + 1) * np.bincount(group[~asks], minlength=group[-1] + 1) > 0
+        used = both[group]
+        if not used.any():
+            continue
+        members, asks, group = own[used], asks[used], group[used]
+        number = np.cumsum(np.r_[True, np.diff(group) != 0]) - 1
         edge = np.searchsorted(number, np.arange(number[-1] + 2))
-        ends = np.cumsum(lengths[used])
+        ends = np.cumsum(lengths[members])[edge[1:] - 1]
         first = 0
         while first <= number[-1]:  # whole groups at a time
-            done = ends[edge[first] - 1] if first else 0
-            stop = max(first + 1, int(np.searchsorted(ends[edge[1:] - 1], done + INDEX_BYTES - size, side="right")))
+            done = ends[first - 1] if first else 0
+            stop = max(first + 1, int(np.searchsorted(ends, done + INDEX_BYTES, side="right")))
             take = slice(edge[first], edge[stop])
-            members.append(order[used[take]])
-            groups.append(number[take] - first + groups_so_far)
-            roles.append(asks[used[take]])
-            size += int(ends[edge[stop] - 1] - done)
-            groups_so_far += stop - first
+            solve(members[take], number[take] - first, asks[take])
             first = stop
-            if size >= INDEX_BYTES or first <= number[-1]:
-                solve()
-        level += 1
-    if members:
-        solve()
-    both = np.unique(np.concatenate(found))
-    return both >> 32, both & 0xFFFFFFFF
+        some = np.r_[0, np.cumsum(found, dtype=np.int32)]
+        own = own[(some[begin[1:]] - some[begin[:-1]] < windows)[order[own]]]
+    at = np.flatnonzero(found)
+    string = np.searchsorted(begin, at, side="right") - 1
+    return string, at - begin[string]
 
 
 def _suffixes(text: np.ndarray, owner: np.ndarray, ends: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -258,6 +258,16 @@ def test_levels_find_what_smaller_documents_hold(at_once, monkeypatch):
     assert set(zip(*[x.tolist() for x in repeats.earlier(strings, cells, docs)], strict=True)) == want
 
 
+def test_strings_that_are_wholly_found_are_not_searched_again(monkeypatch):
+    """Of a passage in 256 documents half are found at the first of eight levels, and half of the rest at each level after it."""
+    passage = bytes(97 + i * i % 23 for i in range(70))
+    strings = [passage[i % 9 :] for i in range(256)]
+    asked, plain = [], repeats.RunLengthIndex.statistics
+    monkeypatch.setattr(repeats.RunLengthIndex, "statistics", lambda self, own, groups: asked.append(len(own)) or plain(self, own, groups))
+    got = set(zip(*[x.tolist() for x in repeats.earlier(strings, np.zeros(256, np.uint64), np.arange(256))], strict=True))
+    assert got == {(i, w) for i, x in enumerate(strings) for w in range(len(x) - 49) if i} and sum(asked) == 255
+
+
 def test_repeats_in_hot_cells_and_periodic_texts(spark, monkeypatch):
     import random
 
