@@ -1,4 +1,4 @@
-"""Corrections scored against gold: candidates by joins, assignment over a sorted stream, credits by aggregation."""
+"""Corrections scored against gold: pairs by joins, comparison and assignment a chunk at a time, credits by aggregation."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Approximate substring search as joins: needles meet texts over pieces, and only what meets is compared."""
+"""Approximate substring search: needles meet texts over pieces, where the texts are or in a join, and only what meets is compared."""
 
 from __future__ import annotations
 
